@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
@@ -125,7 +126,7 @@ def matrices(batches: list[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.nd
     out: dict[int, tuple[list, list]] = {}
     for batch in batches:
         ids, column = batch.column(0), batch.column(1)
-        lengths = np.array([-1 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()])
+        lengths = np.array([-1 if n is None else n for n in pc.list_value_length(column).to_pylist()])
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         for d in np.unique(lengths[lengths > 0]).tolist():
             rows = np.flatnonzero((lengths == d) & known)
