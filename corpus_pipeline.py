@@ -1,15 +1,53 @@
-"""The document pipeline: stages applied one after another to ``documents``."""
+"""The document pipeline: stages applied one after another to ``documents``.
+
+Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again
+as the next one's docs. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from sessionloom.llm import bpe_matrix, decontaminate, jaccard_join, quality
+from sessionloom.llm.queries import table, vocabulary
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model, "quality_score").where(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and a digest of what they decode to."""
+    encoded = bpe_matrix.encode(docs, vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return encoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("jaccard_join", keep_one_of_each),
+    ("decontamination", keep_uncontaminated),
+    ("byte_bpe", encode),
+]
 
-STAGES: list = []
+#: the classifier cannot be put in SQL; tests hold the stages against brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, without the files in between."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

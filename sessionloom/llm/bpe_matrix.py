@@ -51,7 +51,7 @@ class Vocabulary:
             self.values[taken] = pairs[put, 2].astype(np.int32)
             left = np.setdiff1d(left, put, assume_unique=True)
             slot[left] = (slot[left] + 1) & (size - 1)
-        self.cache: dict[int, tuple[int, str, bytes]] = {}
+        self.cache: dict[int, tuple[int, str, bytes, bytes]] = {}
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -138,9 +138,9 @@ def vocabulary(raw: bytes) -> Vocabulary:
     return _known[key]
 
 
-def encode_slice(column: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, list[list[tuple[int, str, bytes]]], np.ndarray]:
-    """Distinct pre-tokens as (number of ids, ids as text, decoded bytes), each text's list of
-    them, and each text's number of ids."""
+def encode_slice(column: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, list[list[tuple[int, str, bytes, bytes]]], np.ndarray]:
+    """The number of ids of each pre-token; each text's pre-tokens as (number of ids, ids as text,
+    decoded bytes, ids as 32-bit numbers); and each text's number of ids."""
     data, offsets = bytekit.flat(column)
     starts, ends = pretoken.spans(data, offsets)
     hashes = bytekit.span_hash(bytekit.prefix_hash(data), starts, ends)
@@ -154,8 +154,8 @@ def encode_slice(column: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, list[
         keys = distinct[missing].tolist()
         room = CACHE - len(cache)
         for i, h, ids in zip(missing, keys, vocab.encode_words([text[a:b] for a, b in zip(lows, highs)])):
-            ids = ids.tolist()
-            found[i] = (len(ids), ",".join(map(str, ids)), vocab.decode(ids))
+            packed, ids = ids.astype(np.int32).tobytes(), ids.tolist()
+            found[i] = (len(ids), ",".join(map(str, ids)), vocab.decode(ids), packed)
             if room > 0:
                 cache[h] = found[i]
                 room -= 1
@@ -174,14 +174,16 @@ def encoder(raw: bytes, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]],
         for batch in batches:
             for part in bytekit.slices(batch, "text"):
                 _, texts, n = encode_slice(part.column("text"), vocab)
-                joined = [",".join([w[1] for w in t]) for t in texts]
                 decoded = [b"".join([w[2] for w in t]) for t in texts]
                 columns = [*part.columns, pa.array(n)]
                 names = [*part.schema.names, "n_tokens"]
                 if with_ids:
-                    columns += [pa.array([[int(x) for x in j.split(",")] if j else [] for j in joined], pa.list_(pa.int32())), pa.array(decoded, pa.binary())]
+                    ids = np.frombuffer(b"".join([w[3] for t in texts for w in t]), np.int32)
+                    edges = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    columns += [pa.ListArray.from_arrays(pa.array(edges), pa.array(ids)), pa.array(decoded, pa.binary())]
                     names += ["ids", "decoded"]
                 else:
+                    joined = [",".join([w[1] for w in t]) for t in texts]
                     columns += [pa.array([sha256(j.encode()).hexdigest() for j in joined]), pa.array([sha256(d).hexdigest() for d in decoded])]
                     names += ["ids_sha256", "decoded_sha256"]
                     keep = [i for i, c in enumerate(names) if c != "text"]
