@@ -1,0 +1,46 @@
+"""Installed skills and settings, as tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Window as W
+
+from sessionloom.functions import pytext as P
+
+FRONT = r"(?s)\A---\s*\n(.*?)\n---"
+
+
+def front_matter(text: F.Column, key: str) -> F.Column:
+    """A scalar of a file's front matter; continued lines are joined by a space."""
+    block = F.concat(F.regexp_extract(text, FRONT, 1), F.lit("\n"))
+    value = F.regexp_extract(block, rf"(?m)^{key}:[ \t]*(.*(?:\n(?:[ \t].*)?)*?)(?=\n[A-Za-z_-]+:|\n\z)", 1)
+    return P.words_joined(F.regexp_replace(value, r"\A\s*[>|]-?(?=\s|\z)", ""))
+
+
+def skills(spark: SparkSession, path: str, kind: str, origin: str | None = None) -> DataFrame:
+    """Skill files (a glob of ``*/SKILL.md``); plugins take their origin from the folder behind
+    ``marketplaces`` or ``cache``."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    named = F.coalesce(P.blank_to_null(front_matter(F.col("text"), "name")), F.element_at(F.split("path", "/"), -2))
+    found = F.coalesce(P.blank_to_null(F.regexp_extract("path", r"/(?:marketplaces|cache)/([^/]+)/", 1)), F.lit("plugin"))
+    return files.select(named.alias("name"), front_matter(F.col("text"), "description").alias("description"), F.lit(kind).alias("kind"), (F.lit(origin) if origin else found).alias("origin"), "path")
+
+
+def installed(parts: list[DataFrame]) -> DataFrame:
+    """All skills, one for each (origin, name): that of the first part, then of the first path."""
+    out = None
+    for at, part in enumerate(parts):
+        part = part.withColumn("at", F.lit(at))
+        out = part if out is None else out.unionByName(part)
+    first = W.partitionBy("origin", "name").orderBy("at", "path")
+    return out.withColumn("rank", F.row_number().over(first)).where("rank = 1 AND name <> ''").drop("rank", "at").orderBy("kind", "origin", "name")
+
+
+def settings(spark: SparkSession, path: str, finder: str = "finder") -> DataFrame:
+    """One row: enabled plugins and known marketplaces, sorted, and whether one is a finder."""
+    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    on = F.map_filter(F.expr("try_variant_get(v, '$.enabledPlugins', 'map<string,variant>')"), lambda k, v: ~F.coalesce(F.call_function("try_variant_get", v, F.lit("$"), F.lit("string")), F.lit("")).isin("", "false", "0", "[]", "{}"))
+    empty = F.array().cast("array<string>")
+    plugins = F.coalesce(F.array_sort(F.map_keys(on)), empty)
+    markets = F.coalesce(F.array_sort(F.map_keys(F.expr("try_variant_get(v, '$.extraKnownMarketplaces', 'map<string,variant>')"))), empty)
+    return raw.select(plugins.alias("plugins"), markets.alias("marketplaces"), F.exists(plugins, lambda p: F.contains(p, F.lit(finder))).alias("finder"))

@@ -36,8 +36,8 @@ def mangled(folder: str) -> str:
 
 def current(files: DataFrame, session_id: str | None = None) -> DataFrame:
     """The newest file, or the one with that stem; an unknown stem falls back to the newest."""
-    wanted = (F.col("stem") == session_id).cast("int") if session_id else F.lit(0)
-    return files.orderBy(wanted.desc(), F.col("modified").desc(), "path").limit(1)
+    newest = [F.col("modified").desc(), F.col("path")]
+    return files.orderBy(*([(F.col("stem") == session_id).desc()] if session_id else []), *newest).limit(1)
 
 
 def read_files(spark: SparkSession, path: str, read_cap: int = READ_CAP) -> DataFrame:
