@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
         parser().error("a folder or file is needed")
     single = a.root.endswith(".jsonl")
     files = transcripts.read_files(spark, a.root if single else f"{a.root}/projects/*/*.jsonl").cache()
-    model = transcripts.parse(files).cache()
+    model = transcripts.parse(files, store=True)
     if a.census:
         rows = formats.census(model.record_types).collect()
         print(formats.census_text(rows))

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from sessionloom.functions import pytext as P
 from sessionloom.plans.model import Model
+from sessionloom.session import ensure_checkpoint_dir
 
 READ_CAP = 24 * 1024 * 1024
 
@@ -112,10 +113,17 @@ def _joined_text(blocks: Column, want_type: bool) -> Column:
     return F.array_join(F.transform(F.filter(blocks, is_text), take), "\n")
 
 
-def parse(files: DataFrame) -> Model:
-    """The model of ``read_files`` (``session``, ``content``, ``truncated``, ``dropped_bytes``)."""
+def parse(files: DataFrame, store: bool = False) -> Model:
+    """The model of ``read_files`` (``session``, ``content``, ``truncated``, ``dropped_bytes``).
+
+    With ``store`` the placed records and the tables go to the shared folder: a corpus is parsed
+    once, later plans begin at files and stay short, and a lost executor costs no second parse.
+    """
+    if store:
+        ensure_checkpoint_dir(files.sparkSession)
+    kept = (lambda df: df.checkpoint()) if store else (lambda df: df)
     every = records(files)
-    record_types = every.groupBy("session", "kind").agg(F.count(F.lit(1)).alias("n"))
+    record_types = kept(every.groupBy("session", "kind").agg(F.count(F.lit(1)).alias("n")))
     good = every.where(~F.col("kind").isin("<unparsed>", "<not-an-object>"))
     stamped = _true("$.timestamp")
     first = F.struct((~stamped).cast("int"), F.when(stamped, F.col("n")).otherwise(-F.col("n")))
@@ -161,6 +169,7 @@ def parse(files: DataFrame) -> Model:
         .withColumn("asked", F.sum(F.col("prompt").isNotNull().cast("long")).over(so_far))
         .withColumn("carried", F.last(F.expr("nullif(own_depth, 0)"), ignorenulls=True).over(so_far))
     )
+    placed = kept(placed)
     merged = F.aggregate(
         F.slice("texts", 2, F.greatest(F.size("texts") - 1, F.lit(0))),
         F.element_at("texts", 1),
@@ -181,10 +190,12 @@ def parse(files: DataFrame) -> Model:
         .withColumn("text", merged)
         .drop("texts")
     )
+    steps = kept(steps)
     turns = placed.where("prompt IS NOT NULL").select("session", (F.col("asked") - 1).alias("turn"), "prompt", F.col("steps").alias("first_step"))
-    calls = _calls(placed, steps)
-    seams = _seams(placed, steps, turns)
-    return Model(summarise(files.select("session", "path", "modified", "truncated", "dropped_bytes"), heads, turns, steps, calls, seams), turns, steps, calls, seams, record_types)
+    calls = kept(_calls(placed, steps))
+    seams = kept(_seams(placed, steps, turns))
+    sessions = summarise(files.select("session", "path", "modified", "truncated", "dropped_bytes"), heads, turns, steps, calls, seams)
+    return Model(kept(sessions), turns, steps, calls, seams, record_types)
 
 
 def _calls(placed: DataFrame, steps: DataFrame) -> DataFrame:
@@ -311,5 +322,5 @@ def summarise(files: DataFrame, heads: DataFrame | None, turns: DataFrame, steps
     return out.na.fill(0, ["n_steps", "n_turns", "n_calls", "n_seams", "depth"])
 
 
-def load(spark: SparkSession, path: str, read_cap: int = READ_CAP) -> Model:
-    return parse(read_files(spark, path, read_cap))
+def load(spark: SparkSession, path: str, read_cap: int = READ_CAP, store: bool = False) -> Model:
+    return parse(read_files(spark, path, read_cap), store)

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(cores=8, memory="6g", spark__sql__shuffle__partitions="4")
+    session = local_session(cores=8, memory="6g", spark__sql__shuffle__partitions="4", spark__sql__codegen__wholeStage="false")  # small data: compiling costs more than it saves
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
 

@@ -10,7 +10,7 @@ from sessionloom.sources import transcripts
 
 @pytest.fixture
 def load(spark, write):
-    return lambda records, **k: transcripts.load(spark, write("s", records), **k)
+    return lambda records, **k: transcripts.load(spark, write("s", records), store=True, **k)
 
 
 def test_records_of_one_response_are_one_step(load):
