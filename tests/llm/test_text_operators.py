@@ -150,7 +150,7 @@ def test_decontamination_as_brute_force(spark, odd, empty):
     kept = decontaminate.remove_documents(odd, bench).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["2", "3", "4", "None"]
     cut = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(odd, bench).collect()}
-    assert cut[1] == "one " and cut[6] == "ünï🙂  " and cut[2] is None
+    assert cut[1] == "one " and cut[6] == "ünï🙂 " and cut[2] is None
     assert decontaminate.report(odd, bench.limit(0)).where("contaminated").count() == 0 and decontaminate.report(empty, bench).count() == 0
 
 
