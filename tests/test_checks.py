@@ -146,9 +146,9 @@ def test_spill(build):
 FAMILIES = [
         ("pip3 install --help", "pip3 install"),
         ("cd /tmp && gron --help", "gron"),
-        ("claude plugin marketplace add --help", "claude plugin marketplace add"),
+        ("acme plugin marketplace add --help", "acme plugin marketplace add"),
         ("sudo -A apt-get install --help", "apt-get install"),
-        ("python -m rotmeter --help", "-m rotmeter"),
+        ("python -m somemodule --help", "-m somemodule"),
         ("./bin/setup.sh --help", "setup.sh"),
         ("pip3 --version\npip3 install --help", "pip3 install"),
         ("echo \"did I run 'pip3 install --help'\"", ""),
