@@ -27,7 +27,7 @@ from sessionloom.llm import bytekit
 
 ORDER = 2
 PRIOR = 8.0
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 RANGE_BYTES = 16 << 20
 LOW = np.uint64((1 << 48) - 1)
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x52DCE729E6546B64)
