@@ -13,7 +13,8 @@ def windowed_rates(events: DataFrame, window: str = "1 hour", late: str = "2 hou
     """Events and failures of each kind by event-time window; rows later than ``late`` are dropped
     once their window has closed."""
     return (
-        events.withWatermark("ts", late)
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", late)
         .groupBy(F.window("ts", window).alias("w"), "event_type")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"))
         .select(F.col("w.start").alias("start"), "event_type", "n", "failed")

@@ -60,7 +60,7 @@ def test_capabilities(spark, tmp_path):
 
 def test_streams(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = spark.readStream.schema(events.schema).parquet(sf_dir + "/events.parquet*")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     q = live.windowed_rates(stream).writeStream.outputMode("append").format("memory").queryName("rates").start()
     q.processAllAvailable()
     q.stop()
@@ -78,8 +78,6 @@ def test_command_line(spark, write, tmp_path, capsys):
     assert cli.main([write.root, "--text", "--emit", str(tmp_path / "out")]) == 0
     assert "fired: dumps" in capsys.readouterr().out and (tmp_path / "out" / "digest.txt").read_text().startswith("### Exchange 1")
     assert cli.main([write.root, "--census"]) == 1  # declared kinds that no file has
-    assert cli.main([write.root, "--sweep", "--text"]) == 0
-    assert "1 sessions of 1 files" in capsys.readouterr().out
     (tmp_path / "reply.txt").write_text("no")
     assert cli.main(["--verdict", str(tmp_path / "reply.txt"), "--against", str(tmp_path / "out")]) == 2
     assert cli.main(["--catalog", "--text"]) == 0
