@@ -14,16 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty shards of all documents by one random order; law ``rows``."""
-    docs = table(spark, sf_dir, "documents").select(
+    """Forty shards of all documents by one random order; law ``rows``.
+
+    Whole documents are shuffled; size and digest are taken from the shuffled records.
+    """
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
+    docs = table(spark, sf_dir, "documents").withColumn("size", size)
+    return sharding.shuffle_shards(docs, 40, size="size").select(
         "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        size.alias("size"),
         F.crc32(F.col("text").cast("binary")).cast("long").alias("text_crc32"),
-    )
-    return sharding.shuffle_shards(docs, 40).select(
-        "doc_id",
-        "size",
-        "text_crc32",
         F.lit("rows").alias("law"),
         "shard",
         "slot",

@@ -42,6 +42,20 @@ def test_shards_hold_the_law(spark, sf_dir):
     assert all(r.text_crc32 == zlib.crc32(want[r.doc_id].encode()) and r.size == len(want[r.doc_id].encode()) + 16 for r in got.itertuples())
 
 
+def test_whole_documents_are_shuffled(spark, sf_dir, monkeypatch):
+    shuffle, calls = sharding.shuffle_shards, []
+
+    def changed(records, n_shards, size=None, **more):
+        calls.append((records.columns, size))
+        return shuffle(records, n_shards, size, **more).withColumn("text", F.lit("changed"))
+
+    monkeypatch.setattr(sharding, "shuffle_shards", changed)
+    got = queries.op1_sharding(spark, sf_dir).select("size", "text_crc32").distinct().collect()
+    assert [tuple(r) for r in got] == [(len("changed") + 16, zlib.crc32(b"changed"))]  # taken from what the shuffle gave back
+    columns, size = calls[0]
+    assert set(columns) == {*spark.read.parquet(f"{sf_dir}/documents.parquet").columns, "size"} and size == "size"
+
+
 def test_shuffle_is_uniform_and_bounded(spark):
     df = spark.range(6000).withColumn("pad", F.lit("x"))
     got = sharding.shuffle_shards(df, 4, bucket_rows=500).toPandas()
