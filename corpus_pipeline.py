@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sessionloom.llm import bpe_matrix, decontaminate, jaccard_join, quality
 from sessionloom.llm.queries import table, vocabulary
 
+NEAR = jaccard_join.Rule(words=5, share=80)
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
@@ -19,8 +21,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least id."""
-    return jaccard_join.one_of_each(docs)
+    """One document of each group of near duplicates: the one with the least id.
+
+    Near duplicates share 80 % of their five-word shingles; ``op3`` has a rule of its own.
+    """
+    return jaccard_join.one_of_each(docs, NEAR)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

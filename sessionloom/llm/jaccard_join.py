@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join over whole documents, exact, with a count-vector R-tree.
 
-A document is the set of its distinct four-word shingles. Two documents link when
-100 * |A & B| >= 85 * |A | B|; the result names each document's connected component.
+A document is the set of its distinct shingles. Two documents link when
+100 * |A & B| >= share * |A | B|; the result names each document's connected component. A ``Rule``
+holds the words of a shingle and the share: four words and 85 for ``op3``, unless another is given.
 
 1. Equal sets are one class (a fingerprint of the set); only classes are joined.
 2. The upper part of the index deals classes by group signatures. Shingles are hashed into G groups;
@@ -21,6 +22,7 @@ A document is the set of its distinct four-word shingles. Two documents link whe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -30,11 +32,9 @@ from pyspark.sql import types as T
 
 from sessionloom.llm import bytekit
 from sessionloom.llm.decontaminate import window_hashes
-from sessionloom.session import ensure_checkpoint_dir
+from sessionloom.session import drop_shuffles, ensure_checkpoint_dir
 
-WORDS = 4
-SHARE, WHOLE = 85, 100
-LEAST = 6  # smaller sets link to equal sets only: 85 % of 12 or fewer shingles leaves no difference
+WHOLE = 100
 BAND = 1.3
 SALTS = 3
 TILE = 1500
@@ -42,10 +42,30 @@ COORDINATES = 64
 FAN = 16
 
 
+@dataclass(frozen=True)
+class Rule:
+    """When two documents link: words in a shingle, and the least per cent of the union that is shared."""
+
+    words: int = 4
+    share: int = 85
+
+    @property
+    def least(self) -> int:
+        """Smaller sets link to equal sets only: n of n + 1 shingles are less than the share."""
+        return -(-self.share // (WHOLE - self.share))
+
+    @property
+    def band(self) -> float:
+        """How much wider each band is; a linked set is never two bands away."""
+        return max(BAND, 1.04 * WHOLE / self.share)
+
+
+RULE = Rule()
+
 # ---- shingle sets -------------------------------------------------------------------------------
 
 
-def shingle_sets(column: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(column: pa.Array, k: int = RULE.words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of all texts, sorted within each text, and row bounds."""
     data, offsets = bytekit.flat(column)
     data = bytekit.LOWER[data]
@@ -87,48 +107,48 @@ def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
 # ---- group signatures ---------------------------------------------------------------------------
 
 
-def difference(both: int) -> int:
+def difference(both: int, rule: Rule = RULE) -> int:
     """The most shingles in which linked sets of ``both`` shingles together can differ."""
-    return both * (WHOLE - SHARE) // (WHOLE + SHARE)
+    return both * (WHOLE - rule.share) // (WHOLE + rule.share)
 
 
 @lru_cache(maxsize=None)
-def band(j: int) -> tuple[int, int, int, int]:
+def band(j: int, rule: Rule = RULE) -> tuple[int, int, int, int]:
     """The least size of band j, one past the most, its groups, and how many of the groups that
     linked sets share can be empty without another deal."""
-    low = LEAST if j == 0 else band(j - 1)[1]
-    high = max(low + 1, int(low * BAND))
-    differ = difference(2 * (high - 1))
+    low = rule.least if j == 0 else band(j - 1, rule)[1]
+    high = max(low + 1, int(low * rule.band))
+    differ = difference(2 * (high - 1), rule)
     spare = 2
     for _ in range(20):
         groups = differ + 1 + spare
-        empty = groups * float(np.exp(-0.85 * low / groups))
+        empty = groups * float(np.exp(-rule.share / WHOLE * low / groups))
         spare = max(2, int(np.ceil(empty + 2 * empty**0.5)))
     return low, high, differ + 1 + spare, spare
 
 
-def bands_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bands_of(sizes: np.ndarray, rule: Rule = RULE) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row, band): the band of each size, and the next where it can hold a linked set."""
     top = int(sizes.max(initial=0))
     lows = []
     j = 0
     while True:
-        lows.append(band(j)[0])
-        if lows[-1] * SHARE > top * WHOLE:
+        lows.append(band(j, rule)[0])
+        if lows[-1] * rule.share > top * WHOLE:
             break
         j += 1
-    rows = np.flatnonzero(sizes >= LEAST)
+    rows = np.flatnonzero(sizes >= rule.least)
     at = np.searchsorted(lows, sizes[rows], side="right") - 1
     next_low = np.array([*lows, 1 << 60])[at + 1]
-    near = sizes[rows] * WHOLE >= next_low * SHARE
+    near = sizes[rows] * WHOLE >= next_low * rule.share
 
     return np.concatenate([rows, rows[near]]), np.concatenate([at, at[near] + 1])
 
 
-def signatures(hashes: np.ndarray, bounds: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(hashes: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, rule: Rule = RULE) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the wanted rows' sets: (row, signature)."""
     sizes = np.diff(bounds)
-    rows, band_no = bands_of(np.where(wanted, sizes, 0))
+    rows, band_no = bands_of(np.where(wanted, sizes, 0), rule)
     if not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     out_rows, out_signatures = [], []
@@ -137,7 +157,7 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, wanted: np.ndarray) -> tu
             out_rows.append(rows)
             out_signatures.append(bytekit.mix(band_no.astype(np.uint64) + np.uint64(0xABCDEF)))
             break
-        known = [band(j) for j in range(int(band_no.max()) + 1)]
+        known = [band(j, rule) for j in range(int(band_no.max()) + 1)]
         groups = np.array([b[2] for b in known])[band_no]
         n = sizes[rows]
         element = np.arange(n.sum()) + np.repeat(bounds[rows] - (np.cumsum(n) - n), n)
@@ -177,13 +197,13 @@ class CountTree:
             edges = np.arange(0, len(v), FAN)
             self.levels.append((np.maximum.reduceat(v, edges), np.minimum.reduceat(s, edges)))
 
-    def near(self, vector: np.ndarray, size: int) -> np.ndarray:
+    def near(self, vector: np.ndarray, size: int, rule: Rule = RULE) -> np.ndarray:
         """Points whose summed coordinate minima allow a link."""
         at = np.arange(len(self.levels[-1][0]))
         for level in range(len(self.levels) - 1, -1, -1):
             v, s = self.levels[level]
             bound = np.minimum(v[at], vector).sum(1)
-            at = at[(WHOLE + SHARE) * bound >= SHARE * (size + s[at])]
+            at = at[(WHOLE + rule.share) * bound >= rule.share * (size + s[at])]
             if level:
                 below = len(self.levels[level - 1][0])
                 at = (at[:, None] * FAN + np.arange(FAN)).ravel()
@@ -191,20 +211,20 @@ class CountTree:
         return at
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, rule: Rule = RULE) -> bool:
     at = np.searchsorted(b, a)
     both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return WHOLE * both >= SHARE * (len(a) + len(b) - both)
+    return WHOLE * both >= rule.share * (len(a) + len(b) - both)
 
 
-def links_within(sets: list[np.ndarray], left: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+def links_within(sets: list[np.ndarray], left: np.ndarray | None = None, rule: Rule = RULE) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links that connect whatever links of (left or any) x any connect, and component numbers."""
     n = len(sets)
     component = np.arange(n)
     found: list[tuple[int, int]] = []
     sizes = np.array([len(s) for s in sets])
     if n == 2:
-        if linked(sets[0], sets[1]):
+        if linked(sets[0], sets[1], rule):
             return [(0, 1)], np.zeros(2, np.int64)
         return [], component
     order = np.argsort(sizes, kind="stable")
@@ -215,14 +235,14 @@ def links_within(sets: list[np.ndarray], left: np.ndarray | None = None) -> tupl
     for p, i in enumerate(order.tolist()):
         if left is not None and not left[i]:
             continue
-        near = tree.near(vectors[p], int(sizes[i]))
+        near = tree.near(vectors[p], int(sizes[i]), rule)
         near = order[near[near > p] if left is None else near[near != p]]
         while True:
             near = near[component[near] != component[i]]
             if not len(near):
                 break
             j, near = int(near[0]), near[1:]
-            if linked(sets[i], sets[j]):
+            if linked(sets[i], sets[j], rule):
                 found.append((i, j))
                 component[component == component[j]] = component[i]
     return found, component
@@ -231,43 +251,43 @@ def links_within(sets: list[np.ndarray], left: np.ndarray | None = None) -> tupl
 # ---- Spark ----------------------------------------------------------------------------------------
 
 
-def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def per_document(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in bytekit.slices(batch, "text"):
-            hashes, bounds = shingle_sets(part.column("text"))
+            hashes, bounds = shingle_sets(part.column("text"), rule.words)
             a, b = fingerprints(hashes, bounds)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(a), pa.array(b)], ["doc_id", "n", "fp", "fp2"])
 
 
-def once(a: np.ndarray, sizes: np.ndarray, seen: set[int]) -> np.ndarray:
+def once(a: np.ndarray, sizes: np.ndarray, seen: set[int], least: int) -> np.ndarray:
     """Rows whose set this task has not met yet (copies need no second turn)."""
     new = np.zeros(len(a), bool)
     if len(seen) > 1_000_000:
         seen.clear()
     for i, (x, n) in enumerate(zip(a.tolist(), sizes.tolist())):
-        if n >= LEAST and x not in seen:
+        if n >= least and x not in seen:
             seen.add(x)
             new[i] = True
     return new
 
 
-def per_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def per_signature(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
         for part in bytekit.slices(batch, "text", 1 << 20):
-            hashes, bounds = shingle_sets(part.column("text"))
+            hashes, bounds = shingle_sets(part.column("text"), rule.words)
             fp = fingerprints(hashes, bounds)[0]
-            rows, signature = signatures(hashes, bounds, once(fp, np.diff(bounds), seen))
+            rows, signature = signatures(hashes, bounds, once(fp, np.diff(bounds), seen, rule.least), rule)
             yield pa.RecordBatch.from_arrays([pa.array(signature), pa.array(fp[rows])], ["sig", "fp"])
 
 
-def per_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def per_text(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
         for part in bytekit.slices(batch, "text"):
-            hashes, bounds = shingle_sets(part.column("text"))
+            hashes, bounds = shingle_sets(part.column("text"), rule.words)
             fp = fingerprints(hashes, bounds)[0]
-            keep = pa.array(np.flatnonzero(once(fp, np.diff(bounds), seen)))
+            keep = pa.array(np.flatnonzero(once(fp, np.diff(bounds), seen, rule.least)))
             yield pa.RecordBatch.from_arrays([pa.array(fp).take(keep), part.column("text").take(keep)], ["fp", "text"])
 
 
@@ -317,7 +337,7 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield held
 
 
-def tile_links(keys: list[str], with_rest: bool):
+def tile_links(keys: list[str], with_rest: bool, rule: Rule):
     """Links in each group; with ``with_rest``, also the classes that did not connect to the hub."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,14 +354,14 @@ def tile_links(keys: list[str], with_rest: bool):
             edges = np.flatnonzero(cut)
             sets: list[np.ndarray] = []
             for part in bytekit.slices(table.to_batches()[0], "text"):
-                hashes, bounds = shingle_sets(part.column("text"))
+                hashes, bounds = shingle_sets(part.column("text"), rule.words)
                 sets += [hashes[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             a, b, rest = [], [], []
             for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if hi - lo < 2:
                     continue
                 side = left[lo:hi]
-                found, component = links_within(sets[lo:hi], None if side.all() else side)
+                found, component = links_within(sets[lo:hi], None if side.all() else side, rule)
                 a += [fp[lo + i] for i, _ in found]
                 b += [fp[lo + j] for _, j in found]
                 if with_rest and tiles[lo] > 1:
@@ -378,13 +398,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def class_links(docs: DataFrame) -> DataFrame:
+def class_links(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """Links between classes, as fingerprints ``a`` and ``b``, that connect all linked classes."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     text = docs.select("text")
-    dealt = text.mapInArrow(per_signature, "sig long, fp long").repartition("sig").sortWithinPartitions("sig", "fp")
+    dealt = text.mapInArrow(lambda batches: per_signature(batches, rule), "sig long, fp long").repartition("sig").sortWithinPartitions("sig", "fp")
     met = dealt.mapInArrow(meetings, "hub long, fp long").distinct().checkpoint()
+    drop_shuffles(spark)
     sizes = met.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
     tiled = met.join(sizes, "hub").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
     members = tiled.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")).select("hub", "fp", "tile", "tiles")
@@ -393,11 +414,13 @@ def class_links(docs: DataFrame) -> DataFrame:
     every = hubs.select("hub", F.col("hub").alias("fp"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "tiles")
     placed = members.unionByName(every)
     needed = met.select("fp").unionByName(met.select(F.col("hub").alias("fp"))).distinct()
-    texts = text.mapInArrow(per_text, "fp long, text string").join(needed, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text"))
+    texts = text.mapInArrow(lambda batches: per_text(batches, rule), "fp long, text string").join(needed, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text"))
     texts = texts.checkpoint()
+    drop_shuffles(spark)
     order = ["hub", "tile"]
     ready = placed.join(texts, "fp").select("hub", "tile", "tiles", "fp", F.lit(True).alias("left"), "text")
-    first = ready.repartition(*order).sortWithinPartitions(*order, "fp").mapInArrow(tile_links(order, True), "kind int, a long, b long").checkpoint()
+    first = ready.repartition(*order).sortWithinPartitions(*order, "fp").mapInArrow(tile_links(order, True, rule), "kind int, a long, b long").checkpoint()
+    drop_shuffles(spark)
     edges = first.where("kind = 0").select("a", "b")
     rest = first.where("kind = 1").select(F.col("a").alias("hub"), F.col("b").alias("fp"))
     count = rest.groupBy("hub").agg(F.count(F.lit(1)).alias("rest"))
@@ -410,12 +433,12 @@ def class_links(docs: DataFrame) -> DataFrame:
         answers = members.where("tiles > 1").join(used, "hub").select("hub", "fp", "tiles", "part", "tile", F.lit(False).alias("left"))
         order = ["hub", "part", "tile"]
         ready = asks.unionByName(answers).groupBy(*order, "fp", "tiles").agg(F.max("left").alias("left")).join(texts, "fp")
-        more = ready.select(*order, "tiles", "fp", "left", "text").repartition(*order).sortWithinPartitions(*order, "fp").mapInArrow(tile_links(order, False), "kind int, a long, b long")
+        more = ready.select(*order, "tiles", "fp", "left", "text").repartition(*order).sortWithinPartitions(*order, "fp").mapInArrow(tile_links(order, False, rule), "kind int, a long, b long")
         edges = edges.unionByName(more.select("a", "b"))
     return edges
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs`` (``doc_id``, ``text``).
 
     A null or wordless text has no shingles, links with nothing and is a component of its own. Rows
@@ -424,10 +447,10 @@ def join(docs: DataFrame) -> DataFrame:
     columns are not read. Sets are compared by 64-bit hashes of their shingles.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = docs.select("doc_id", "text").mapInArrow(per_document, "doc_id long, n long, fp long, fp2 long").checkpoint()
+    rows = docs.select("doc_id", "text").mapInArrow(lambda batches: per_document(batches, rule), "doc_id long, n long, fp long, fp2 long").checkpoint()
     classes = rows.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("rep"))
     reps = classes.select("fp", "rep").checkpoint()
-    links = class_links(docs)
+    links = class_links(docs, rule)
     named = links.join(reps.withColumnRenamed("fp", "a").withColumnRenamed("rep", "ra"), "a").join(reps.withColumnRenamed("fp", "b").withColumnRenamed("rep", "rb"), "b")
     labels = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     of_class = classes.join(labels, classes.rep == labels.node, "left").select("fp", "fp2", "n", F.coalesce("label", "rep").alias("component_id"))
@@ -435,11 +458,11 @@ def join(docs: DataFrame) -> DataFrame:
     return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """The rows of ``docs`` whose id names their component: one document of each group.
 
     Rows that repeat an id are one document. Rows without an id cannot be named and stay.
     """
-    kept = join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = join(docs, rule).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

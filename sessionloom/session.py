@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -50,3 +51,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = os.path.join(tempfile.gettempdir(), "checkpoints", str(os.getpid()))
     context.setCheckpointDir(named)
     return named
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are checkpointed.
+
+    Spark deletes them once the driver has collected the plans that made them, which may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -80,6 +80,52 @@ def test_signatures_meet_for_every_link():
                 assert set(sig[rows == 0]) & set(sig[rows == 1])
 
 
+def brute_force(rows, k, share):
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and sets[i] and 100 * len(sets[i] & sets[j]) >= share * len(sets[i] | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {x: min(d for (d, _), y in zip(rows, label) if x == y) for x in set(label)}
+    return sorted((d, len(s), least[x]) for (d, _), s, x in zip(rows, sets, label))
+
+
+@pytest.mark.parametrize("words, share", [(5, 80), (3, 60), (4, 95)])
+def test_components_by_other_rules(spark, words, share):
+    # besides random families, sets of few shingles with one word more: links at the least size
+    rows = families(words, 40) + [(8000 + 2 * n + more, " ".join(f"s{n}x{i}" for i in range(n + more))) for n in range(1, 40) for more in (0, 1)]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), jaccard_join.Rule(words, share)).collect()
+    assert sorted(tuple(r) for r in got) == brute_force(rows, words, share)
+
+
+@pytest.mark.parametrize("share", [50, 60, 70, 80, 85, 90, 95])
+def test_linked_sizes_are_at_most_a_band_apart(share):
+    rule = jaccard_join.Rule(5, share)
+    sizes = np.arange(1, 3000)
+    rows, bands = jaccard_join.bands_of(sizes, rule)
+    of = {}
+    for n, b in zip(sizes[rows].tolist(), bands.tolist()):
+        of.setdefault(n, set()).add(b)
+    for a in range(1, 1500):
+        most = min(a * 100 // share, 2999)
+        assert a >= rule.least or most == a
+        assert a < rule.least or all(of[a] & of[b] for b in range(a, most + 1))
+
+
+def test_pipeline_drops_near_copies_of_its_own_rule(spark):
+    # six changed words of 104: 0.836 of the shingles of four words are shared, 0.818 of those of five
+    words = [f"w{i}" for i in range(104)]
+    changed = [f"n{i}" if 40 <= i < 46 else w for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, "something else of no kin to them")]
+    assert [c for *_, c in plain_components(rows)] == [1, 2, 3] and [c for *_, c in brute_force(rows, 5, 80)] == [1, 1, 3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()) == [1, 3]
+
+
 def test_tree_bound_loses_nothing():
     rng = np.random.default_rng(0)
     sets = [np.sort(rng.choice(1 << 40, size=int(rng.integers(20, 60)), replace=False).astype(np.uint64)) for _ in range(120)]
