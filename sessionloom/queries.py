@@ -82,7 +82,7 @@ def dispute_phrases(spark, sf_dir):
 def reply_markers(spark, sf_dir):
     opening = F.when(F.col("doc_id") % 4 == 0, "You're absolutely right. ").when(F.col("doc_id") % 4 == 1, "Well, it depends. ").when(F.col("doc_id") % 4 == 2, "Sorry, let me correct that. ").otherwise("Done. ")
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.array_join(P.markers(F.concat(opening, F.left("text", F.lit(80)))), ";").alias("markers"))
+    return docs.select("doc_id", F.array_join(P.markers(F.concat(opening, "text")), ";").alias("markers"))
 
 
 @query
@@ -322,7 +322,7 @@ def synthetic_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     body = F.concat(F.lit("{"), F.concat_ws(", ", *items[:5]), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit(", "), items[5])), F.lit(', "wasted_effort": []}'))
     raw = F.when(F.col("doc_id") % 11 == 0, "no JSON here").when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here you are:\n```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Sure. "), body, F.lit(" Bye.")))
-    hay = F.regexp_replace(F.left("text", F.lit(400)), r"[^\p{L} ]", " ")
+    hay = F.regexp_replace("text", r"[^\p{L} ]", " ")
     return rows.select(F.col("doc_id").alias("reply_id"), raw.alias("raw"), hay.alias("excerpt"))
 
 
