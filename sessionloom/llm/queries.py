@@ -75,9 +75,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata and conversion records of every page, without their blocks."""
+    """Metadata and conversion records of every page, with their blocks."""
     records = warc.responses(table(spark, sf_dir, "pages"))
-    return warc.derivatives(records, "page_id", "long", with_block=False)
+    return warc.derivatives(records, "page_id", "long")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -239,6 +239,17 @@ def test_derivatives_keep_links_and_digests(spark, sf_dir):
     assert queries.op10_warc(spark, sf_dir).count() == len(got)
 
 
+def test_query_gives_records_that_can_be_written(spark, sf_dir):
+    """Every row of the query makes a record whose block is whole and has the digest that it names."""
+    rows = queries.op10_warc(spark, sf_dir).collect()
+    for r in rows:
+        named, _, block = next(warc.parse(warc.as_record(r.asDict())))
+        assert named["warc-record-id"] == r["record_id"] and named["warc-block-digest"] == r["block_digest"] == warc.digest(block)
+        assert len(block) == r["content_length"] and (r["record_type"] == "metadata" or len(block.decode()) == r["n_chars"])
+    fields = [bytes(r["block"]) for r in rows if r["record_type"] == "metadata"]
+    assert fields and all(b"source-warc-record-id: " in b and b"http-content-type: " in b for b in fields)
+
+
 def test_archive_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "<title>T &amp; U</title><p>x<br>y <a href='/z'>z</a>"), (2, None, None), (3, "http://b/", "é")], "page_id long, url string, html string")
     rows = warc.derivatives(warc.responses(pages), "page_id", "long")
