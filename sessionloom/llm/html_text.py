@@ -32,7 +32,9 @@ BLOCK_TAGS = frozenset(
     "td textarea tfoot th thead title tr ul label".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea select xmp".split())
+RAW_TAGS = frozenset("script style noscript template svg annotation annotation-xml iframe canvas audio video title textarea select xmp".split())
+#: what may stand in a head; any other element closes one whose end tag is left out
+HEAD_TAGS = frozenset("head title meta link base basefont script style noscript template".split())
 CLOSES_P = BLOCK_TAGS - {"body", "html", "label", "button", "option"}
 SELF_NESTING = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "th": "th", "option": "option", "p": "p"}
 
@@ -108,6 +110,9 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue  # a comment or declaration
         tag = tag.lower()
+        if not m[1] and tag not in HEAD_TAGS and stack and stack[-1][0] == "head":
+            close_block()
+            pop_to("head")
         if m[1]:
             if tag in BLOCK_TAGS:
                 close_block()

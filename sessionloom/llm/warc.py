@@ -32,10 +32,10 @@ SCHEMA = (
 FIELDS = [x.split() for x in SCHEMA.split(", ")]
 ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
 
-DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|title|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
 TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.I | re.S)
 LINK = re.compile(r"""<(a|img|link|script|iframe|area|form|source)\b[^>]*?\s(?:href|src|action)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-BREAK = re.compile(r"</?(?:p|div|h[1-6]|li|ul|ol|tr|table|br|hr|section|article|header|footer|nav|aside|main|blockquote|pre|td|th|dd|dt|dl|form|title)\b[^>]*>", re.I)
+BREAK = re.compile(r"</?(?:p|div|h[1-6]|li|ul|ol|tr|table|br|hr|section|article|header|footer|nav|aside|main|blockquote|pre|td|th|dd|dt|dl|form|title|head)\b[^>]*>", re.I)
 ANY_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?([a-zA-Z0-9_.:-]+)", re.I)
 

@@ -216,6 +216,15 @@ def test_broken_markup(model):
     assert html_text.main_text(["", "<"], model)[0] == ""
 
 
+def test_head_without_end_tag_and_inline_fallback():
+    text = lambda p: [(b.text, b.path) for b in html_text.blocks(p)]
+    head = "<html><head><meta charset=utf-8><title>T</title><script>if (a) '<p>s</p>'</script>"
+    for rest in ("<body><p>x</p></body></html>", "<p>x", "<div>x</div>"):
+        assert text(head + rest) == text(head + "</head>" + rest) and [t for t, _ in text(head + rest)] == ["x"]
+        assert warc.plain_text(head + rest) == warc.plain_text(head + "</head>" + rest) == "x"
+    assert [t for t, _ in text("<p>so <math><mi>a</mi><mo>=</mo><mi>b</mi><annotation>tex</annotation></math> and <object data=u>a map</object>.</p>")] == ["so a=b and a map."]
+
+
 def test_odd_pages(spark, model):
     df = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 2), (2, None, "", 2), (None, "x", "<article><p>Hello there, this is some text that is long enough.</p></article>", 3)], "page_id long, url string, html string, text int")
     got = html_text.extract(df, model).collect()
