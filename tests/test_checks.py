@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import asst, human, result, rows
+from session_records import asst, human, result, rows
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 

@@ -2,7 +2,7 @@
 
 import json
 
-from conftest import asst, human, result, rows
+from session_records import asst, human, result, rows
 from pyspark.sql import functions as F
 
 from sessionloom import cli

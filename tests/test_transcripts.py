@@ -1,7 +1,7 @@
 """The log format: what makes a step, a turn, a result and a seam."""
 
 import pytest
-from conftest import asst, human, result, rows
+from session_records import asst, human, result, rows
 
 from sessionloom.operators import formats, turns as turn_checks
 from sessionloom.plans.registry import Context
