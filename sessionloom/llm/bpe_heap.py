@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 
 from sessionloom.llm import bytekit, pretoken
 
-CACHE = 1 << 20
+#: words that a worker remembers, and the longest of them in bytes
+CACHE, LONG = 1 << 20, 64
 
 
 def byte_symbols() -> list[str]:
@@ -119,11 +120,11 @@ class Merges:
         return n - merges
 
 
-_known: dict[int, tuple[Merges, dict[int, int], bytes]] = {}
+_known: dict[int, tuple[Merges, dict[bytes, int], bytes]] = {}
 
 
-def _tokenizer(raw: bytes) -> tuple[Merges, dict[int, int], bytes]:
-    """The merges, a cache of counts by word hash, and the special string; kept by the worker."""
+def _tokenizer(raw: bytes) -> tuple[Merges, dict[bytes, int], bytes]:
+    """The merges, a cache of counts by word, and the special string; kept by the worker."""
     key = crc32(raw)
     if key not in _known:
         specials = [t["content"].encode() for t in json.loads(raw).get("added_tokens", [])]
@@ -141,17 +142,18 @@ def count_slice(column: pa.Array, raw: bytes) -> np.ndarray:
     if special:
         cuts, marks = pretoken.with_cuts(data, offsets, special)
     starts, ends = pretoken.spans(data, cuts)
-    hashes = bytekit.span_hash(bytekit.prefix_hash(data), starts, ends)
-    distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    if len(cache) + len(distinct) > CACHE:
+    where, inverse = bytekit.distinct_spans(data, starts, ends)
+    if len(cache) + len(where) > CACHE:
         cache.clear()
-    counts = np.empty(len(distinct), np.int64)
+    counts = np.empty(len(where), np.int64)
     text = data.tobytes()
-    lows, highs = starts[where].tolist(), ends[where].tolist()
-    for i, h in enumerate(distinct.tolist()):
-        n = cache.get(h)
+    for i, (a, b) in enumerate(zip(starts[where].tolist(), ends[where].tolist())):
+        word = text[a:b]
+        n = cache.get(word)
         if n is None:
-            n = cache[h] = merges.count(text[lows[i] : highs[i]])
+            n = merges.count(word)
+            if b - a <= LONG:
+                cache[word] = n
         counts[i] = n
     each = counts[inverse]
     for mark in marks.tolist():  # a special string is one token, whatever its pieces
@@ -186,7 +188,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
 
     Null and empty texts have 0 bytes and 0 tokens; repeated rows give repeated rows; an empty
     table an empty result; null ``doc_id`` stays null; other columns are not read. Long texts
-    and long words are merged whole, in n log n steps.
+    and long words are merged whole, in n log n steps. Words are told apart by their bytes.
     """
     with open(vocabulary, "rb") as f:
         raw = f.read()

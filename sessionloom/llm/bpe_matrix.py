@@ -2,7 +2,9 @@
 
 The distinct pre-tokens of a slice are put into matrices by length, one word a row. In each
 round every row merges its leftmost pair of least rank; ranks are looked up in a hash table of
-symbol pairs, and the row is closed up. Rows without a ranked pair leave the matrix.
+symbol pairs, and the row is closed up. Rows without a ranked pair leave the matrix. A word of more
+than ``WIDEST`` bytes has a matrix to itself, whose rows are its pieces, so that closing up after a
+merge moves one piece and not the word.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sessionloom.llm import bytekit, pretoken
-from sessionloom.llm.bpe_heap import Merges
 
 NONE = np.int32(1 << 30)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-LONGEST = 128
-CACHE = 300_000
+WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 48, 128, 256, 512, 1024)
+WIDEST = WIDTHS[-1]
+#: words that a worker remembers, and the longest of them in bytes
+CACHE, LONG = 300_000, 64
 
 
 class Vocabulary:
@@ -31,11 +34,7 @@ class Vocabulary:
         self.token = {i: t for t, i in ranks.items()}
         self.first = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         made = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        made.sort(key=lambda x: x[2])
-        # pairs are ranked by the symbol they make, so one rank can have several pairs
-        self.slow = Merges(self.first.tolist(), made)
-        self.slow.rank = {a << 32 | b: i for a, b, i in made}
-        self.slow.made = list(range(max(ranks.values()) + 1))
+        # a pair's rank is the symbol it makes, so several pairs can have one rank
         pairs = np.array(made, np.uint64).reshape(-1, 3)
         self.bits = max(10, int(len(made) * 4).bit_length())
         size = 1 << self.bits
@@ -51,7 +50,7 @@ class Vocabulary:
             self.values[taken] = pairs[put, 2].astype(np.int32)
             left = np.setdiff1d(left, put, assume_unique=True)
             slot[left] = (slot[left] + 1) & (size - 1)
-        self.cache: dict[int, tuple[int, str, bytes, bytes]] = {}
+        self.cache: dict[bytes, tuple[int, str, bytes, bytes]] = {}
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -105,13 +104,64 @@ class Vocabulary:
             inner = np.flatnonzero(at > 0)
             rank[inner, at[inner] - 1] = self.look(ids[inner, at[inner] - 1], ids[inner, at[inner]])
 
+    def merge_pieces(self, word: bytes) -> np.ndarray:
+        """The final symbols of one long word: a matrix of its pieces, merged as one row would be.
+
+        ``rank[p, j]`` is the rank of symbol j of piece p with the symbol after it, which for a
+        piece's last symbol is the first of the next piece that has any.
+        """
+        n, width = len(word), int(len(word) ** 0.5) + 1
+        pieces = -(-n // width)
+        ids, rank = np.full(pieces * width, -1, np.int32), np.full(pieces * width, NONE, np.int32)
+        ids[:n] = self.first[np.frombuffer(word, np.uint8)]
+        rank[: n - 1] = self.look(ids[: n - 1], ids[1:n])
+        ids, rank = ids.reshape(pieces, width), rank.reshape(pieces, width)
+        size = np.minimum(width, n - width * np.arange(pieces)).tolist()
+        after, before = [*range(1, pieces), -1], list(range(-1, pieces - 1))
+        least = rank.min(1)
+
+        def close(p: int, j: int) -> None:
+            """Take symbol j out of piece p."""
+            k = size[p] = size[p] - 1
+            ids[p, j:k], rank[p, j:k] = ids[p, j + 1 : k + 1].copy(), rank[p, j + 1 : k + 1].copy()
+            ids[p, k], rank[p, k] = -1, NONE
+            if not k:
+                a, b = before[p], after[p]
+                if a >= 0:
+                    after[a] = b
+                if b >= 0:
+                    before[b] = a
+
+        while True:
+            p = int(least.argmin())
+            best = least[p]
+            if best == NONE:
+                return ids[ids >= 0]
+            j = int(rank[p].argmin())
+            ids[p, j] = best
+            q = after[p]
+            if j + 1 < size[p]:
+                close(p, j + 1)
+            else:
+                close(q, 0)
+                least[q] = rank[q].min()
+                q = after[p]
+            following = ids[p, j + 1] if j + 1 < size[p] else ids[q, 0] if q >= 0 else -1
+            r, i = (p, j - 1) if j else (before[p], size[before[p]] - 1)
+            now = self.look(np.array([best, ids[r, i] if r >= 0 else -1]), np.array([following, best]))
+            rank[p, j] = now[0]
+            if r >= 0:
+                rank[r, i] = now[1]
+                least[r] = rank[r].min()
+            least[p] = rank[p].min()
+
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
         lengths = np.array([len(w) for w in words], np.int64)
-        for i in np.flatnonzero(lengths > LONGEST).tolist():  # n log n in place of a wide matrix
-            out[i] = np.array(self.slow.merge(words[i]), np.int32)
+        for i in np.flatnonzero(lengths > WIDEST).tolist():
+            out[i] = self.merge_pieces(words[i])
         low = 0
-        for width in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 48, LONGEST):
+        for width in WIDTHS:
             rows = np.flatnonzero((lengths > low) & (lengths <= width))
             low = width
             if not len(rows):
@@ -143,21 +193,19 @@ def encode_slice(column: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, list[
     decoded bytes, ids as 32-bit numbers); and each text's number of ids."""
     data, offsets = bytekit.flat(column)
     starts, ends = pretoken.spans(data, offsets)
-    hashes = bytekit.span_hash(bytekit.prefix_hash(data), starts, ends)
-    distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    where, inverse = bytekit.distinct_spans(data, starts, ends)
     cache = vocab.cache
-    found = [cache.get(h) for h in distinct.tolist()]
+    text = data.tobytes()
+    words = [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist())]
+    found = [cache.get(w) for w in words]
     missing = [i for i, x in enumerate(found) if x is None]
     if missing:
-        text = data.tobytes()
-        lows, highs = starts[where[missing]].tolist(), ends[where[missing]].tolist()
-        keys = distinct[missing].tolist()
         room = CACHE - len(cache)
-        for i, h, ids in zip(missing, keys, vocab.encode_words([text[a:b] for a, b in zip(lows, highs)])):
+        for i, ids in zip(missing, vocab.encode_words([words[i] for i in missing])):
             packed, ids = ids.astype(np.int32).tobytes(), ids.tolist()
             found[i] = (len(ids), ",".join(map(str, ids)), vocab.decode(ids), packed)
-            if room > 0:
-                cache[h] = found[i]
+            if room > 0 and len(words[i]) <= LONG:
+                cache[words[i]] = found[i]
                 room -= 1
     each = np.array([x[0] for x in found], np.int64)[inverse] if len(found) else np.zeros(0, np.int64)
     total = np.zeros(len(each) + 1, np.int64)
@@ -204,7 +252,8 @@ def encode(docs: DataFrame, ranks: str, text: str = "text") -> DataFrame:
 
     ``ranks`` is the path of a rank file, read by the driver. Null and empty texts have no ids;
     repeated rows give repeated rows; an empty table an empty result; null ``doc_id`` stays
-    null; other columns are not read. No special token is recognised.
+    null; other columns are not read. No special token is recognised. Long texts and long words are
+    encoded whole. Words are told apart by their bytes.
     """
     return docs.select("doc_id", docs[text].alias("text")).mapInArrow(encoder(_read(ranks), True), "doc_id long, text string, n_tokens long, ids array<int>, decoded binary")
 

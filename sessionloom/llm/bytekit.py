@@ -14,7 +14,6 @@ import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-PRIME_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -63,31 +62,73 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
     yield batch.slice(start)
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """PRIME ** (0 .. n-1) modulo 2**64, or of its inverse."""
-    key = "inverse" if inverse else "forward"
-    known = _powers.get(key)
-    if known is None or len(known) < n:
-        size = max(n, 1 << 16)
-        table = np.full(size, PRIME_INVERSE if inverse else PRIME, np.uint64)
-        table[0] = 1
-        known = _powers[key] = np.multiply.accumulate(table)
-    return known[:n]
-
-
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Sums of (byte + 1) * PRIME ** position before each position; length len(data) + 1."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=sums[1:])
-    return sums
-
-
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span that depends on its bytes alone."""
-    return mix((sums[ends] - sums[starts]) * powers(len(sums), inverse=True)[starts])
+#: the low 0 .. 8 bytes of a word of 64 bits
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LENGTH = np.uint64(0xD1B54A32D192ED03)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def tails(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The spans of over eight bytes, and their blocks of eight behind the first: where each span's
+    blocks begin, and each block's number in its span, position and bytes inside the span."""
+    long = np.flatnonzero(sizes > 8)
+    blocks = (sizes[long] - 1) >> 3
+    first = np.cumsum(blocks) - blocks
+    number = np.arange(blocks.sum()) - np.repeat(first, blocks) + 1
+    at = np.repeat(starts[long], blocks) + 8 * number
+    inside = np.minimum(np.repeat(sizes[long], blocks) - 8 * number, 8)
+    return long, first, number, np.stack([at, inside])
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's bytes.
+
+    Blocks of eight bytes are keyed by their number in the span and mixed before they are added, so
+    the hash is not linear in the bytes. Spans of equal length up to eight bytes never share one.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    eight = eights(data)
+    out = mix((eight[starts] & MASK[np.minimum(sizes, 8)]) ^ PRIME)
+    long, first, number, (at, inside) = tails(starts, sizes)
+    if len(long):
+        out[long] += np.add.reduceat(mix((eight[at] & MASK[inside]) ^ mix(number.astype(np.uint64) * PRIME)), first)
+    return mix(out + sizes.astype(np.uint64) * LENGTH)
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One span of each byte string, and for each span the number of its string.
+
+    Spans are brought together by hash and compared byte by byte with the one they stand for.
+    """
+    _, where, inverse = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
+    if not len(starts):
+        return where, inverse
+    sizes, eight = ends - starts, eights(data)
+    other = starts[where][inverse]
+    cut = MASK[np.minimum(sizes, 8)]
+    same = (sizes[where][inverse] == sizes) & (eight[starts] & cut == eight[other] & cut)
+    long, first, number, (at, inside) = tails(starts, np.where(same, sizes, 0))
+    if len(long):
+        shift = np.repeat((other - starts)[long], np.diff(np.append(first, len(number))))
+        same[long] &= np.logical_and.reduceat(eight[at] & MASK[inside] == eight[at + shift] & MASK[inside], first)
+    if not same.all():  # two strings of one hash
+        raw, more, known = data.tobytes(), [], {}
+        for i in np.flatnonzero(~same).tolist():
+            key = raw[starts[i] : ends[i]]
+            if key not in known:
+                known[key] = len(where) + len(more)
+                more.append(i)
+            inverse[i] = known[key]
+        where = np.append(where, more)
+    return where, inverse
 
 
 def words(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -62,7 +62,7 @@ class Windows:
             keys = list(found)
             flat = b"".join(b"".join(x) for x in keys)
             edges = np.cumsum([0] + [len(w) for x in keys for w in x])
-            hashes = bytekit.span_hash(bytekit.prefix_hash(np.frombuffer(flat, np.uint8)), edges[:-1], edges[1:])
+            hashes = bytekit.span_hash(np.frombuffer(flat, np.uint8), edges[:-1], edges[1:])
             whole = window_hashes(hashes, k)[::k]
             order = np.argsort(whole, kind="stable")
             sieve = np.zeros(1 << 20, bool)
@@ -78,7 +78,7 @@ class Windows:
         bounds = bytekit.row_bounds(starts, offsets)
         hits: list[tuple[int, int, list[int]]] = []
         if len(starts):
-            hashes = bytekit.span_hash(bytekit.prefix_hash(data), starts, ends)
+            hashes = bytekit.span_hash(data, starts, ends)
             row = bytekit.row_of(bounds)
             raw = data.tobytes()
             for k, known, keys, items, sieve in self.tables:

@@ -153,7 +153,7 @@ def inputs(found: list[Block]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
     data, offsets = bytekit.flat(column)
     data = bytekit.LOWER[data]
     starts, ends = bytekit.words(~bytekit.SPACE[data], offsets)
-    words = (bytekit.span_hash(bytekit.prefix_hash(data), starts, ends) % np.uint64(WORD_BUCKETS)).astype(np.int64)
+    words = (bytekit.span_hash(data, starts, ends) % np.uint64(WORD_BUCKETS)).astype(np.int64)
     bounds = bytekit.row_bounds(starts, offsets)
     size = np.diff(offsets).astype(float)
     marks = np.concatenate([[0], np.cumsum(np.isin(data, np.frombuffer(b".,;:!?", np.uint8)))])

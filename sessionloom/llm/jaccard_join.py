@@ -71,7 +71,7 @@ def shingle_sets(column: pa.Array, k: int = RULE.words) -> tuple[np.ndarray, np.
     data = bytekit.LOWER[data]
     starts, ends = bytekit.words(~bytekit.SPACE[data], offsets)
     bounds = bytekit.row_bounds(starts, offsets)
-    words = bytekit.span_hash(bytekit.prefix_hash(data), starts, ends)
+    words = bytekit.span_hash(data, starts, ends)
     row = bytekit.row_of(bounds)
     count = np.diff(bounds)
     hashes, rows = [], []

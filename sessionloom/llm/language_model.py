@@ -45,7 +45,7 @@ def streams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first = bounds[:-1] + 2 * np.arange(rows)
     tokens[first] = BEGIN
     tokens[bounds[1:] + 2 * np.arange(rows) + 1] = END
-    tokens[np.arange(len(starts)) + 2 * bytekit.row_of(bounds) + 1] = bytekit.span_hash(bytekit.prefix_hash(data), starts, ends)
+    tokens[np.arange(len(starts)) + 2 * bytekit.row_of(bounds) + 1] = bytekit.span_hash(data, starts, ends)
     return tokens, np.append(first, len(tokens))
 
 

@@ -28,6 +28,18 @@ SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 24 << 20
 N_GRAMS = (3, 4)
 THRESHOLD = 0.3
+INVERSE = np.uint64(pow(int(bytekit.PRIME), -1, 1 << 64))
+
+_powers: dict[np.uint64, np.ndarray] = {}
+
+
+def powers(n: int, of: np.uint64) -> np.ndarray:
+    """of ** (0 .. n-1) modulo 2**64."""
+    if len(_powers.get(of, ())) < n:
+        table = np.full(max(n, 1 << 16), of, np.uint64)
+        table[0] = 1
+        _powers[of] = np.multiply.accumulate(table)
+    return _powers[of][:n]
 
 
 def features(column: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
@@ -41,9 +53,12 @@ def features(column: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], int
     space = np.zeros(n, bool)
     small = point < 256
     space[small] = bytekit.SPACE[point[small]]
-    sums = bytekit.prefix_hash(point)
+    # sums of (point + 1) * PRIME ** position: a rolling hash, which is enough to choose a bucket
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((point.astype(np.uint64) + np.uint64(1)) * powers(n, bytekit.PRIME), out=sums[1:])
+    inverse = powers(n + 1, INVERSE)
     starts, ends = bytekit.words(~space, offsets)
-    word = bytekit.span_hash(sums, starts, ends)
+    word = bytekit.mix((sums[ends] - sums[starts]) * inverse[starts])
     bounds = bytekit.row_bounds(starts, offsets)
     kinds = [((word >> shift).astype(np.int64), bounds)]
     if len(word) > 1:
@@ -55,7 +70,6 @@ def features(column: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], int
         kinds.append((pair[inside].astype(np.int64), seen[np.minimum(bounds, len(inside))]))
     spaces = np.concatenate([[0], np.cumsum(space)])
     row_end = np.repeat(offsets[1:], np.diff(offsets))
-    inverse = bytekit.powers(n + 1, inverse=True)
     for k in N_GRAMS:
         if n < k:
             continue

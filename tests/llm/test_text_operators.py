@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sessionloom.llm import bpe_heap, bpe_matrix, decontaminate, language_model, quality, queries, sharding
+from sessionloom.llm import bpe_heap, bpe_matrix, bytekit, decontaminate, jaccard_join, language_model, quality, queries, sharding
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 JSON, RANKS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"))
@@ -96,6 +96,45 @@ def test_ids_as_the_library(texts, library):
         assert b"".join(w[2] for w in found) == text.encode()
 
 
+def thue_morse(n, a, b):
+    """Two strings on which a polynomial hash modulo a power of two is blind."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+def test_words_that_polynomials_confuse(spark, library):
+    pair = thue_morse(2048, "a", "b")
+    vocab = bpe_matrix.vocabulary(open(RANKS, "rb").read())
+    for _ in range(2):  # the second time from the cache
+        _, words, _ = bpe_matrix.encode_slice(pa.array([*pair, *pair]), vocab)
+        assert [b"".join(w[2] for w in t).decode() for t in words] == [*pair, *pair]
+        assert [[int(i) for w in t for i in w[1].split(",")] for t in words] == [library.encode_ordinary(t) for t in [*pair, *pair]]
+    want = [len(e.ids) for e in Tokenizer.from_file(JSON).encode_batch([*pair], add_special_tokens=False)]
+    assert bpe_heap.count_slice(pa.array([*pair]), open(JSON, "rb").read()).tolist() == want
+    hashes, bounds = jaccard_join.shingle_sets(pa.array([*pair]))
+    assert hashes[bounds[0]] != hashes[bounds[1]]
+    tokens, first = language_model.streams(pa.array([*pair]))
+    assert tokens[first[0] + 1] != tokens[first[1] + 1]
+
+
+def test_spans_of_one_hash_are_told_apart(monkeypatch):
+    words = [f"word{i % 37}{'x' * (i % 23)}".encode() for i in range(500)]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    for few in (None, lambda data, starts, ends: np.asarray(ends - starts, np.uint64) % np.uint64(3)):
+        if few:
+            monkeypatch.setattr(bytekit, "span_hash", few)
+        where, number = bytekit.distinct_spans(data, starts, ends)
+        assert len(where) == len(set(words)) and [words[where[i]] for i in number.tolist()] == words
+
+
+@pytest.mark.parametrize("text", ["a" * 5000, "=" * 3000, "ab" * 2500, "xyzzy" * 700 + "q" * 777, "é" * 2000, "".join(random.Random(4).choices("aeinrst", k=6000))])
+def test_long_words_as_the_library(text, library):
+    vocab = bpe_matrix.vocabulary(open(RANKS, "rb").read())
+    assert [list(x) for x in vocab.encode_words([text.encode()])] == [library._encode_single_piece(text)]
+
+
 def test_odd_rows_in_tokens(odd, empty, library):
     want = sorted((len((r["text"] or "").encode()), len(library.encode_ordinary(r["text"] or "")), r["text"] or "") for r in odd.collect())
     got = bpe_matrix.encode(odd, RANKS).collect()
