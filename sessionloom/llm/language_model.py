@@ -8,11 +8,12 @@ left-to-right traversal that carries the state.
 Smoothing is by a prior of constant weight K on the shorter context:
 p(w | h) = (c(h w) + K p(w | h')) / (c(h) + K), and p(w) = (c(w) + 1) / (N + V + 1).
 
-The model grows with the corpus, so no task holds all of it. Documents are dealt into chunks of
-bounded size; a chunk sends its distinct n-grams (a 48-bit remainder of a hash, dealt into ranges
-by the leading bits) with its own training counts, a range adds up what all chunks sent and
-answers each chunk with the totals, and the chunk builds the part of the automaton that its texts
-can reach. Every n-gram of every training document counts; nothing is pruned.
+The model grows with the corpus, so no task holds all of it. A task packs the documents it reads into
+chunks of bounded size, which are stored; nothing but these tasks' own rows decides on a chunk, so no
+key can make one large. A chunk sends its distinct n-grams (the remainder of a hash, dealt into ranges
+by the leading bits) with its own training counts, a range adds up what all chunks sent and answers
+each chunk with the totals, and the chunk builds the part of the automaton that its texts can reach.
+Every n-gram of every training document counts; nothing is pruned.
 """
 
 from __future__ import annotations
@@ -21,17 +22,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from sessionloom.llm import bytekit
+from sessionloom.session import drop_shuffles, ensure_checkpoint_dir
 
-ORDER = 2
+ORDER = 3
 PRIOR = 8.0
 CHUNK_BYTES = 4 << 20
-RANGE_BYTES = 16 << 20
-LOW = np.uint64((1 << 48) - 1)
+#: text whose n-grams share a range
+RANGE_BYTES = 8 << 20
+#: bits of an n-gram's hash behind those of its range, as long as 63 bits hold both
+LOW_BITS = 48
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x52DCE729E6546B64)
 STEP = np.uint64(0xA0761D6478BD642F)
+ONE = np.uint64(1)
 
 
 def streams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,35 +58,50 @@ def streams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def n_grams(tokens: np.ndarray, first: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct n-gram numbers, and for each length and position the index of the n-gram
-    that ends there (-1 where the text has not that many tokens)."""
+    """The number of the n-gram of each length (row) that ends at each token, and whether the text
+    has that many tokens up to there."""
     n = len(tokens)
     inside = np.arange(n) - np.repeat(first[:-1], np.diff(first))
     grams = np.empty((order, n), np.uint64)
-    grams[0] = bytekit.mix(tokens + np.uint64(1))
+    grams[0] = bytekit.mix(tokens + ONE)
     for k in range(1, order):
         grams[k, 1:] = bytekit.mix(grams[k - 1, :-1] * STEP + grams[0, 1:])
-    top = grams >> np.uint64(64 - bits) << np.uint64(48) if bits else np.uint64(0)
-    numbers = top | (grams & LOW)
-    valid = inside >= np.arange(order)[:, None]
-    distinct, inverse = np.unique(numbers[valid], return_inverse=True)
-    at = np.full((order, n), -1, np.int64)
-    at[valid] = inverse
-    return distinct, at
+    low = low_bits(bits)
+    top = grams >> np.uint64(64 - bits) << np.uint64(low) if bits else np.uint64(0)
+    return top | (grams & np.uint64((1 << low) - 1)), inside >= np.arange(order)[:, None]
 
 
-def pack(totals: np.ndarray) -> bytes:
+def low_bits(bits: int) -> int:
+    return min(LOW_BITS, 63 - bits)
+
+
+def pack(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted numbers as differences, byte by byte of their places, and their counts."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    large = counts >= 255
+    planes = steps.view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes() + pack_counts(counts, large), 1)
+
+
+def pack_counts(counts: np.ndarray, large: np.ndarray) -> bytes:
     """Counts as bytes, with those over 254 behind."""
-    large = totals >= 255
-    return np.where(large, 255, totals).astype(np.uint8).tobytes() + totals[large].astype(np.int64).tobytes()
+    return np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<i8").tobytes()
 
 
-def unpack(raw: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(raw, np.int64, offset=n)
+def unpack_counts(raw: bytes, n: int, at: int = 0) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n, at).astype(np.int64)
+    large = out == 255
+    if large.any():
+        out[large] = np.frombuffer(raw, "<i8", offset=at + n)
     return out
 
 
+def unpack(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(raw)
+    steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64), unpack_counts(raw, n, 8 * n)
+
+
 class Automaton:
     """The arcs and states that some texts can reach. ``total`` has the training counts of the
     n-grams that ``at`` points to."""
@@ -88,10 +111,14 @@ class Automaton:
         probability = np.zeros(len(total))
         self.arc = np.zeros(len(total))
         self.back = np.log10(prior / (total + prior))  # the failure arc of a state
+        place = np.empty(len(total), np.int64)
         for k in range(self.order):
-            found, where = np.unique(at[k], return_index=True)
-            if len(found) and found[0] < 0:
-                found, where = found[1:], where[1:]
+            ends = np.flatnonzero(at[k] >= 0)
+            place[at[k, ends]] = ends  # one of the places where each n-gram ends
+            own = np.zeros(len(total), bool)
+            own[at[k, ends]] = True
+            found = np.flatnonzero(own)
+            where = place[found]
             if k == 0:
                 probability[found] = (total[found] + 1) / (tokens + types + 1)
             else:
@@ -129,55 +156,95 @@ class Automaton:
         return result
 
 
+def packed(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A task's documents as chunks: ``chunk``, a number, and ``rows``, their rows compressed."""
+    partition, made = TaskContext.get().partitionId(), 0
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal held, size, made
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_batches(held).combine_chunks()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        row = zstandard.compress(sink.getvalue().to_pybytes(), 2)
+        number = (partition << 32) + made
+        held, size, made = [], 0, made + 1
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([row], pa.binary())], ["chunk", "rows"])
+
+    for batch in batches:
+        for part in bytekit.slices(batch, "text", max(1, chunk_bytes // 4)):
+            held.append(part)
+            size += part.column("text").nbytes + 16 * part.num_rows
+            if size >= chunk_bytes:
+                yield flush()
+    if held:
+        yield flush()
+
+
+def opened(rows: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.decompress(rows)).read_all()
+
+
 def request(order: int, bits: int):
     """A chunk's distinct n-grams and its training counts of them, by range."""
 
-    def run(table: pa.Table) -> pa.Table:
-        tokens, first = streams(table.column("text"))
-        distinct, at = n_grams(tokens, first, order, bits)
-        held = np.repeat(table.column("held_out").to_numpy(), np.diff(first))
-        trained = at[(at >= 0) & ~held]
-        counts = np.bincount(trained, minlength=len(distinct))
-        low = distinct.view(np.uint8).reshape(-1, 8)[:, :6]
-        edges = np.searchsorted(distinct >> np.uint64(48), np.arange((1 << bits) + 1).astype(np.uint64)) if bits else np.array([0, len(distinct)])
-        ranges = np.flatnonzero(np.diff(edges))
-        chunk = table.column("chunk")[0].as_py()
-        return pa.table(
-            {
-                "chunk": pa.array([chunk] * len(ranges), pa.int64()),
-                "range": pa.array(ranges, pa.int64()),
-                "grams": pa.array([low[edges[r] : edges[r + 1]].tobytes() for r in ranges], pa.binary()),
-                "counts": pa.array([pack(counts[edges[r] : edges[r + 1]]) for r in ranges], pa.binary()),
-            }
-        )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = np.uint64(low_bits(bits))
+        for batch in batches:
+            for chunk, rows in zip(batch.column("chunk").to_pylist(), batch.column("rows")):
+                table = opened(rows.as_py())
+                tokens, first = streams(table.column("text"))
+                numbers, valid = n_grams(tokens, first, order, bits)
+                trained = np.repeat(~table.column("held_out").to_numpy(), np.diff(first))
+                # the training flag rides in the last bit, so that sorting needs no second array
+                both = np.sort((numbers << ONE | trained.astype(np.uint64))[valid])
+                values = both >> ONE
+                edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+                counts = np.add.reduceat((both & ONE).astype(np.int64), edges)
+                values = values[edges]
+                cuts = np.searchsorted(values >> low, np.arange((1 << bits) + 1).astype(np.uint64)) if bits else np.array([0, len(values)])
+                values &= np.uint64((1 << int(low)) - 1)
+                ranges = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(ranges), chunk)),
+                        pa.array(ranges),
+                        pa.array(np.diff(cuts)[ranges]),
+                        pa.array([pack(values[cuts[r] : cuts[r + 1]], counts[cuts[r] : cuts[r + 1]]) for r in ranges.tolist()], pa.binary()),
+                    ],
+                    ["chunk", "range", "size", "grams"],
+                )
 
     return run
 
 
 def add_up(table: pa.Table) -> pa.Table:
     """The totals of a range, as each chunk that asked needs them."""
-    raws = table.column("grams").to_pylist()
-    sizes = [len(x) // 6 for x in raws]
-    wide = np.zeros((sum(sizes), 8), np.uint8)
-    wide[:, :6] = np.frombuffer(b"".join(raws), np.uint8).reshape(-1, 6)
-    counts = np.concatenate([unpack(x, n) for x, n in zip(table.column("counts").to_pylist(), sizes)])
-    distinct, inverse = np.unique(wide.view(np.uint64).ravel(), return_inverse=True)
-    total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, inverse, counts)
+    sizes = table.column("size").to_pylist()
+    values, counts = zip(*[unpack(raw.as_py(), n) for raw, n in zip(table.column("grams"), sizes)])
+    distinct, inverse = np.unique(np.concatenate(values), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.int64)  # exact up to 2^53
     edges = np.cumsum([0, *sizes])
-    answers = [pack(total[inverse[a:b]]) for a, b in zip(edges, edges[1:])]
-    return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "size": pa.array(sizes, pa.int64()), "totals": pa.array(answers, pa.binary())})
+    answers = []
+    for a, b in zip(edges, edges[1:]):
+        own = total[inverse[a:b]]
+        answers.append(zstandard.compress(pack_counts(own, own >= 255), 1))
+    return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "size": table.column("size"), "totals": pa.array(answers, pa.binary())})
 
 
 def score_chunk(order: int, bits: int, tokens_all: int, types: int, prior: float):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in OUT})
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = opened(chunk.column("rows")[0].as_py())
         tokens, first = streams(docs.column("text"))
-        distinct, at = n_grams(tokens, first, order, bits)
+        numbers, valid = n_grams(tokens, first, order, bits)
+        distinct, inverse = np.unique(numbers[valid], return_inverse=True)
+        at = np.full((order, len(tokens)), -1, np.int64)
+        at[valid] = inverse
         ranges = np.argsort(answers.column("range").to_numpy())
-        sizes, raws = answers.column("size").to_pylist(), answers.column("totals").to_pylist()
-        total = np.concatenate([unpack(raws[r], sizes[r]) for r in ranges.tolist()])
+        sizes, raws = answers.column("size").to_pylist(), answers.column("totals")
+        total = np.concatenate([unpack_counts(zstandard.decompress(raws[r].as_py()), sizes[r]) for r in ranges.tolist()])
         if len(total) != len(distinct):
             raise ValueError("a chunk's answers do not fit its n-grams")
         counts = total[at[0]]
@@ -207,7 +274,8 @@ OUT_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 
 def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token hashes of a task's texts with their counts; a token comes up once for each 32 MB or so."""
+    """Token hashes of the training texts of a task's chunks with their counts; a token comes up once
+    for every two million or so."""
     held: dict[str, np.ndarray] = {"h": np.zeros(0, np.uint64), "n": np.zeros(0, np.int64)}
 
     def flush() -> pa.RecordBatch:
@@ -216,8 +284,9 @@ def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return out
 
     for batch in batches:
-        for part in bytekit.slices(batch, "text"):
-            tokens, first = streams(part.column("text"))
+        for rows in batch.column("rows"):
+            table = opened(rows.as_py())
+            tokens, first = streams(table.filter(pa.compute.invert(table.column("held_out"))).column("text"))
             h, n = np.unique(np.delete(tokens, first[:-1]), return_counts=True)
             both, inverse = np.unique(np.concatenate([held["h"], h]), return_inverse=True)
             total = np.zeros(len(both), np.int64)
@@ -228,23 +297,28 @@ def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield flush()
 
 
-def score(docs: DataFrame, held_out: F.Column, order: int = ORDER, prior: float = PRIOR, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score(docs: DataFrame, held_out: F.Column, order: int = ORDER, prior: float = PRIOR, chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row for each row of ``docs`` (``doc_id``, ``text``): see ``OUT_DDL``.
 
     Texts for which ``held_out`` is true are scored but not learned from. Null and empty texts are
     the end token alone; repeated rows count, and are scored, each time; null ids stay null; other
-    columns are not read. Without training texts every token has probability 1 / 1 in the base. An
-    empty table gives an empty result.
+    columns are not read. Very long texts are scored whole, a text above ``chunk_bytes`` in a chunk
+    of its own; equal texts have equal scores. Without training texts every token has probability
+    1 / 1 in the base. An empty table gives an empty result.
+
+    Messages number chunks times ranges, so ``chunk_bytes`` and ``range_bytes`` are to grow with the
+    memory of a task where the texts run to many terabytes.
     """
-    rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    held = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    chunks = max(1, -(-held // chunk_bytes))
-    bits = min(15, max(0, (held // RANGE_BYTES).bit_length()))
-    words = rows.where(~F.col("held_out")).select("text").mapInArrow(distinct_words, "h long, n long")
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    held = rows.agg(F.sum((F.octet_length("text") + 16).cast("long"))).first()[0] or 0
+    bits = (held // range_bytes).bit_length()
+    chunks = rows.mapInArrow(lambda batches: packed(batches, chunk_bytes), "chunk long, rows binary").checkpoint()
+    words = chunks.mapInArrow(distinct_words, "h long, n long")
     seen = words.groupBy("h").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, types = seen["n"] or 0, seen["v"]
-    # the text takes part in the deal, so rows that share an id do not share a chunk
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(chunks)))
-    asked = dealt.groupBy("chunk").applyInArrow(request(order, bits), "chunk long, range long, grams binary, counts binary")
-    answers = asked.groupBy("range").applyInArrow(add_up, "chunk long, range long, size long, totals binary")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score_chunk(order, bits, tokens, types, prior), OUT_DDL)
+    asked = chunks.mapInArrow(request(order, bits), "chunk long, range long, size long, grams binary")
+    answers = asked.groupBy("range").applyInArrow(add_up, "chunk long, range long, size long, totals binary").checkpoint()
+    drop_shuffles(spark)  # the n-grams themselves are no longer needed
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score_chunk(order, bits, tokens, types, prior), OUT_DDL)
