@@ -57,6 +57,8 @@ def drop_shuffles(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps that are checkpointed.
 
     Spark deletes them once the driver has collected the plans that made them, which may be long after.
+    It holds on to the last plan with a shuffle until there is another, hence the small one.
     """
+    spark.range(0, 2, 1, 2).repartition(2).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
