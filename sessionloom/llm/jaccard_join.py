@@ -5,17 +5,17 @@ A document is the set of its distinct shingles. Two documents link when
 holds the words of a shingle and the share: four words and 85 for ``op3``, unless another is given.
 
 1. Equal sets are one class (a fingerprint of the set); only classes are joined.
-2. The upper part of the index deals classes by group signatures. Shingles are hashed into G groups;
-   linked sets of bounded size differ in at most D shingles, so of G > D groups at least G - D hold
-   the same shingles in both. Classes meet where a non-empty group's content is equal. Sizes are cut
-   into bands, as D follows the size; a class near a band's end takes part in the next band too. A
-   class with so many empty groups that the shared ones could all be empty is dealt again under
-   another salt, and lastly into one block, so no link is lost.
+2. The upper part of the index deals classes by their rarest shingles. Shingles are hashed into groups
+   and the groups' counts over all documents (a sketch of fixed size) put them in order, the rarest
+   first. Of n shingles, a linked set shares at least the share's part, so it shares one of the first
+   n - ceil(share n) + 1 in that order, whatever the counts are: classes meet where one of these is
+   equal. What many documents have in common comes last and deals out nobody who has anything else.
 3. Classes that meet are gathered under the least of them (a hub). There an R-tree over vectors of
    group counts bounds the overlap by summed coordinate minima, for tree nodes and for points, and
    pairs that survive are verified on their sets. Pairs that are already connected are skipped.
-4. A large hub group is cut into tiles. Each tile is joined with the hub in it; what does not
-   connect to the hub there is joined with the other tiles. All pairs are never written out.
+4. A hub group of many classes, or of much text, is cut into tiles. Each tile is joined with the hub
+   in it; what does not connect to the hub there is joined with the other tiles. All pairs are never
+   written out.
 5. Components come from alternating large-star and small-star rounds over the links.
 """
 
@@ -23,10 +23,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -35,9 +35,12 @@ from sessionloom.llm.decontaminate import window_hashes
 from sessionloom.session import drop_shuffles, ensure_checkpoint_dir
 
 WHOLE = 100
-BAND = 1.3
-SALTS = 3
-TILE = 1500
+#: classes, and bytes of their texts, that are joined in one piece
+TILE, TILE_BYTES = 1500, 8 << 20
+#: groups whose counts order the shingles, as a power of two, and how they are cut to be added up
+SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
+#: rows of a table of hubs that may be broadcast (two numbers each); a longer one is joined by key
+BROADCAST_ROWS = 100_000
 COORDINATES = 64
 FAN = 16
 
@@ -54,10 +57,9 @@ class Rule:
         """Smaller sets link to equal sets only: n of n + 1 shingles are less than the share."""
         return -(-self.share // (WHOLE - self.share))
 
-    @property
-    def band(self) -> float:
-        """How much wider each band is; a linked set is never two bands away."""
-        return max(BAND, 1.04 * WHOLE / self.share)
+    def prefix(self, n: int) -> int:
+        """Of n ordered shingles, how many of the first hold one that any linked set has among its first."""
+        return n - -(-self.share * n // WHOLE) + 1
 
 
 RULE = Rule()
@@ -85,9 +87,12 @@ def shingle_sets(column: pa.Array, k: int = RULE.words) -> tuple[np.ndarray, np.
             hashes.append(bytekit.mix(window_hashes(words, short)[bounds[which]] + np.uint64(short)))
             rows.append(which)
     h, r = np.concatenate(hashes), np.concatenate(rows)
-    # rows in front of the leading bits of the hash; equal hashes come to stand side by side
+    # rows in front of the leading bits of the hash; only where two hashes share those is more to do
     order = np.argsort((r.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)), kind="stable")
     h, r = h[order], r[order]
+    if ((h[1:] < h[:-1]) & (r[1:] == r[:-1])).any():
+        order = np.lexsort((h, r))
+        h, r = h[order], r[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
     h, r = h[new], r[new]
@@ -104,84 +109,31 @@ def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
-# ---- group signatures ---------------------------------------------------------------------------
-
-
-def difference(both: int, rule: Rule = RULE) -> int:
-    """The most shingles in which linked sets of ``both`` shingles together can differ."""
-    return both * (WHOLE - rule.share) // (WHOLE + rule.share)
-
+# ---- the order of shingles ------------------------------------------------------------------------
 
-@lru_cache(maxsize=None)
-def band(j: int, rule: Rule = RULE) -> tuple[int, int, int, int]:
-    """The least size of band j, one past the most, its groups, and how many of the groups that
-    linked sets share can be empty without another deal."""
-    low = rule.least if j == 0 else band(j - 1, rule)[1]
-    high = max(low + 1, int(low * rule.band))
-    differ = difference(2 * (high - 1), rule)
-    spare = 2
-    for _ in range(20):
-        groups = differ + 1 + spare
-        empty = groups * float(np.exp(-rule.share / WHOLE * low / groups))
-        spare = max(2, int(np.ceil(empty + 2 * empty**0.5)))
-    return low, high, differ + 1 + spare, spare
 
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    return np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
 
-def bands_of(sizes: np.ndarray, rule: Rule = RULE) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row, band): the band of each size, and the next where it can hold a linked set."""
-    top = int(sizes.max(initial=0))
-    lows = []
-    j = 0
-    while True:
-        lows.append(band(j, rule)[0])
-        if lows[-1] * rule.share > top * WHOLE:
-            break
-        j += 1
-    rows = np.flatnonzero(sizes >= rule.least)
-    at = np.searchsorted(lows, sizes[rows], side="right") - 1
-    next_low = np.array([*lows, 1 << 60])[at + 1]
-    near = sizes[rows] * WHOLE >= next_low * rule.share
 
-    return np.concatenate([rows, rows[near]]), np.concatenate([at, at[near] + 1])
+def levels_of(sketch: np.ndarray) -> np.ndarray:
+    """Counts as one byte each, on a scale of logarithms: a coarser order serves as well."""
+    return np.minimum(255, np.log2(sketch + 1) * 6).astype(np.uint8)
 
 
-def signatures(hashes: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, rule: Rule = RULE) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the wanted rows' sets: (row, signature)."""
-    sizes = np.diff(bounds)
-    rows, band_no = bands_of(np.where(wanted, sizes, 0), rule)
-    if not len(rows):
+def signatures(hashes: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, levels: np.ndarray, rule: Rule = RULE) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of the wanted rows' sets in the common order: (row, shingle)."""
+    order = levels[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | hashes >> np.uint64(8)
+    rows, found = [], []
+    for i in np.flatnonzero(wanted).tolist():
+        a, b = bounds[i], bounds[i + 1]
+        own, k = order[a:b], rule.prefix(int(b - a))
+        first = hashes[a:b][own <= np.partition(own, k - 1)[k - 1]]
+        rows.append(np.full(len(first), i))
+        found.append(first)
+    if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    out_rows, out_signatures = [], []
-    for salt in range(SALTS + 1):
-        if salt == SALTS:  # left over after all deals: one block for each band
-            out_rows.append(rows)
-            out_signatures.append(bytekit.mix(band_no.astype(np.uint64) + np.uint64(0xABCDEF)))
-            break
-        known = [band(j, rule) for j in range(int(band_no.max()) + 1)]
-        groups = np.array([b[2] for b in known])[band_no]
-        n = sizes[rows]
-        element = np.arange(n.sum()) + np.repeat(bounds[rows] - (np.cumsum(n) - n), n)
-        h = hashes[element]
-        first = np.cumsum(groups) - groups
-        if salt:
-            spread = bytekit.mix(h ^ np.uint64(salt * 0x9E3779B1))
-        else:
-            spread = h
-        cell = np.repeat(first, n) + (spread % np.repeat(groups, n).astype(np.uint64)).astype(np.int64)
-        total = np.zeros(int(groups.sum()), np.uint64)
-        np.add.at(total, cell, bytekit.mix(h + np.uint64(0x51ED270B)))
-        filled = np.bincount(cell, minlength=len(total)) > 0
-        owner = np.repeat(np.arange(len(rows)), groups)
-        place = np.arange(len(total)) - first[owner]
-        tag = (band_no[owner].astype(np.uint64) << np.uint64(40)) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(salt)
-        out_rows.append(rows[owner[filled]])
-        out_signatures.append(bytekit.mix(total[filled] + bytekit.mix(tag[filled])))
-        empty = groups - np.bincount(owner[filled], minlength=len(rows))
-        again = empty > np.array([b[3] for b in known])[band_no]
-        rows, band_no = rows[again], band_no[again]
-        if not len(rows):
-            break
-    return np.concatenate(out_rows), np.concatenate(out_signatures).view(np.int64)
+    return np.concatenate(rows), np.concatenate(found).view(np.int64)
 
 
 # ---- the R-tree ---------------------------------------------------------------------------------
@@ -251,12 +203,40 @@ def links_within(sets: list[np.ndarray], left: np.ndarray | None = None, rule: R
 # ---- Spark ----------------------------------------------------------------------------------------
 
 
+ROWS = "doc_id long, n long, fp long, fp2 long, block int, counts binary"
+
+
 def per_document(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """A row for each document, and behind them the task's sketch, in blocks."""
+    names = [x.split()[0] for x in ROWS.split(", ")]
+    seen: set[int] = set()
+    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
         for part in bytekit.slices(batch, "text"):
             hashes, bounds = shingle_sets(part.column("text"), rule.words)
             a, b = fingerprints(hashes, bounds)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(a), pa.array(b)], ["doc_id", "n", "fp", "fp2"])
+            n = np.diff(bounds)
+            sketch += sketch_of(hashes[np.repeat(once(a, n, seen, rule.least), n)])
+            none = [pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(a), pa.array(b), *none], names)
+    parts = sketch.reshape(-1, SKETCH_BLOCK)
+    used = np.flatnonzero(parts.any(1)).tolist()
+    counts = pa.array([zstandard.compress(parts[i].astype("<u4").tobytes(), 1) for i in used], pa.binary())
+    yield pa.RecordBatch.from_arrays([*[pa.nulls(len(used), pa.int64())] * 4, pa.array(used, pa.int32()), counts], names)
+
+
+def add_blocks(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(zstandard.decompress(x.as_py()), "<u4").astype(np.int64) for x in table.column("counts"))
+    return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+
+
+def shingle_levels(rows: DataFrame) -> np.ndarray:
+    """The order of shingle groups, from all tasks' sketches; its size is fixed (2 ** SKETCH_BITS bytes)."""
+    sketch = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.int64).reshape(-1, SKETCH_BLOCK)
+    added = rows.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(add_blocks, "block int, counts binary")
+    for r in added.collect():  # one row for each block, whatever the corpus
+        sketch[r["block"]] = np.frombuffer(r["counts"], "<i8")
+    return levels_of(sketch.ravel())
 
 
 def once(a: np.ndarray, sizes: np.ndarray, seen: set[int], least: int) -> np.ndarray:
@@ -271,13 +251,14 @@ def once(a: np.ndarray, sizes: np.ndarray, seen: set[int], least: int) -> np.nda
     return new
 
 
-def per_signature(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+def per_signature(batches: Iterator[pa.RecordBatch], levels: bytes, rule: Rule) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
+    order = np.frombuffer(zstandard.decompress(levels), np.uint8)
     for batch in batches:
         for part in bytekit.slices(batch, "text", 1 << 20):
             hashes, bounds = shingle_sets(part.column("text"), rule.words)
             fp = fingerprints(hashes, bounds)[0]
-            rows, signature = signatures(hashes, bounds, once(fp, np.diff(bounds), seen, rule.least), rule)
+            rows, signature = signatures(hashes, bounds, once(fp, np.diff(bounds), seen, rule.least), order, rule)
             yield pa.RecordBatch.from_arrays([pa.array(signature), pa.array(fp[rows])], ["sig", "fp"])
 
 
@@ -398,35 +379,41 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def class_links(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
+def class_links(docs: DataFrame, levels: np.ndarray, rule: Rule = RULE) -> DataFrame:
     """Links between classes, as fingerprints ``a`` and ``b``, that connect all linked classes."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     text = docs.select("text")
-    dealt = text.mapInArrow(lambda batches: per_signature(batches, rule), "sig long, fp long").repartition("sig").sortWithinPartitions("sig", "fp")
+    order = zstandard.compress(levels.tobytes(), 3)
+    dealt = text.mapInArrow(lambda batches: per_signature(batches, order, rule), "sig long, fp long").repartition("sig").sortWithinPartitions("sig", "fp")
     met = dealt.mapInArrow(meetings, "hub long, fp long").distinct().checkpoint()
     drop_shuffles(spark)
-    sizes = met.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
-    tiled = met.join(sizes, "hub").withColumn("tiles", F.ceil(F.col("size") / TILE).cast("int"))
-    members = tiled.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")).select("hub", "fp", "tile", "tiles")
-    hubs = tiled.select("hub", "tiles").distinct()
-    # the hub stands in every tile
-    every = hubs.select("hub", F.col("hub").alias("fp"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "tiles")
-    placed = members.unionByName(every)
     needed = met.select("fp").unionByName(met.select(F.col("hub").alias("fp"))).distinct()
     texts = text.mapInArrow(lambda batches: per_text(batches, rule), "fp long, text string").join(needed, "fp", "left_semi").groupBy("fp").agg(F.min("text").alias("text"))
     texts = texts.checkpoint()
     drop_shuffles(spark)
+    # hubs of several tiles; all others have one
+    weight = met.join(texts.select("fp", F.octet_length("text").alias("bytes")), "fp").groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"))
+    tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
+    large = weight.select("hub", tiles.alias("tiles")).where("tiles > 1").checkpoint()
+    if large.count() <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    members = met.join(large, "hub", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    members = members.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")).select("hub", "fp", "tile", "tiles")
+    # the hub stands in every tile
+    every = members.select("hub", "tiles").distinct().select("hub", F.col("hub").alias("fp"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "tiles")
+    placed = members.unionByName(every)
     order = ["hub", "tile"]
     ready = placed.join(texts, "fp").select("hub", "tile", "tiles", "fp", F.lit(True).alias("left"), "text")
     first = ready.repartition(*order).sortWithinPartitions(*order, "fp").mapInArrow(tile_links(order, True, rule), "kind int, a long, b long").checkpoint()
     drop_shuffles(spark)
     edges = first.where("kind = 0").select("a", "b")
     rest = first.where("kind = 1").select(F.col("a").alias("hub"), F.col("b").alias("fp"))
-    count = rest.groupBy("hub").agg(F.count(F.lit(1)).alias("rest"))
+    count = rest.groupBy("hub").agg(F.count(F.lit(1)).alias("rest")).join(large, "hub").checkpoint()
     if not count.isEmpty():
         # what did not connect to its hub meets the other tiles; it is cut into parts of a tile's size
-        parts = rest.join(count, "hub").join(hubs, "hub").withColumn("part", F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), F.ceil(F.col("rest") / TILE)).cast("int"))
+        known = F.broadcast(count) if count.count() <= BROADCAST_ROWS else count
+        parts = rest.join(known, "hub").withColumn("part", F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), F.least("tiles", F.ceil(F.col("rest") / TILE))).cast("int"))
         home = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
         asks = parts.select("hub", "fp", "tiles", "part", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), home.alias("home"), F.lit(True).alias("left")).where("tile <> home").drop("home")
         used = parts.select("hub", "part").distinct()
@@ -438,31 +425,62 @@ def class_links(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     return edges
 
 
+def classified(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """A row (doc_id, n, fp, fp2) for each document, and of each class (n > 0) its ``component``,
+    named by a member class, and ``component_id``, the least id in it."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    both = docs.select("doc_id", "text").mapInArrow(lambda batches: per_document(batches, rule), ROWS).checkpoint()
+    levels = shingle_levels(both)
+    rows = both.where("block IS NULL").select("doc_id", "n", "fp", "fp2")
+    classes = rows.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("rep"))
+    labels = components(class_links(docs, levels, rule))
+    named = classes.join(labels, classes.fp == labels.node, "left").select("fp", "fp2", "n", "rep", F.coalesce("label", "fp").alias("component"))
+    ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return rows, named.join(ids, "component").select("fp", "fp2", "n", "component", "component_id")
+
+
 def join(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs`` (``doc_id``, ``text``).
 
     A null or wordless text has no shingles, links with nothing and is a component of its own. Rows
     that repeat are one class like any copies and come out once each. A null id takes part with its
-    text; its component is null if no member has an id. An empty table gives an empty result. Other
-    columns are not read. Sets are compared by 64-bit hashes of their shingles.
+    text; its component is null if no member has an id. Rows that share an id but no link are in
+    components of their own. Very long texts are read whole. An empty table gives an empty result.
+    Other columns are not read. Ties cannot arise, as a component has one least id. Sets are compared
+    by 64-bit hashes of their shingles, classes by 128 bits.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    rows = docs.select("doc_id", "text").mapInArrow(lambda batches: per_document(batches, rule), "doc_id long, n long, fp long, fp2 long").checkpoint()
-    classes = rows.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = classes.select("fp", "rep").checkpoint()
-    links = class_links(docs, rule)
-    named = links.join(reps.withColumnRenamed("fp", "a").withColumnRenamed("rep", "ra"), "a").join(reps.withColumnRenamed("fp", "b").withColumnRenamed("rep", "rb"), "b")
-    labels = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    of_class = classes.join(labels, classes.rep == labels.node, "left").select("fp", "fp2", "n", F.coalesce("label", "rep").alias("component_id"))
-    out = rows.where("n > 0").join(of_class, ["fp", "fp2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    rows, classes = classified(docs, rule)
+    out = rows.where("n > 0").join(classes, ["fp", "fp2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def with_class(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in bytekit.slices(batch, "text"):
+            hashes, bounds = shingle_sets(part.column("text"), rule.words)
+            a, b = fingerprints(hashes, bounds)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(a), pa.array(b)], ["doc_id", "text", "row", "fp", "fp2"])
+
+
 def one_of_each(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group.
+    """One document of each component of ``docs``, with all its columns: the one with the least id.
 
-    Rows that repeat an id are one document. Rows without an id cannot be named and stay.
+    Where rows repeat an id, copies among them are one document (the row with the least hash stays)
+    and texts without a link all stay. Of two linked texts of one id the class with the least
+    fingerprint stays. Wordless rows stay, one for each id, and rows without an id all stay.
     """
-    kept = join(docs, rule).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    rows, classes = classified(docs, rule)
+    wordy = rows.where("n > 0").join(classes, ["fp", "fp2", "n"]).where("doc_id = component_id").groupBy("doc_id", "component").agg(F.min(F.struct("fp", "fp2")).alias("c")).select("doc_id", "c.fp", "c.fp2")
+    bare = rows.where("n = 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.first("fp").alias("fp"), F.first("fp2").alias("fp2"))
+    kept = wordy.unionByName(bare)
+    repeated = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("doc_id").checkpoint()
+    named = docs.where("doc_id IS NOT NULL")
+    if repeated.isEmpty():
+        out = named.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    else:
+        alone = kept.join(repeated, "doc_id", "left_anti").select("doc_id")
+        again = named.join(repeated, "doc_id", "left_semi").select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        of_class = again.mapInArrow(lambda batches: with_class(batches, rule), T.StructType([*again.schema.fields, T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType())]))
+        least = of_class.join(kept, ["doc_id", "fp", "fp2"], "left_semi").groupBy("doc_id", "fp", "fp2").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        out = named.join(alone, "doc_id", "left_semi").select(*docs.columns).unionByName(least.select("row.*"))
+    return out.unionByName(docs.where("doc_id IS NULL"))
