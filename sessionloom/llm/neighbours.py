@@ -1,32 +1,39 @@
 """Approximate nearest neighbours by low-dimensional stable projections.
 
 Vectors are projected on a few Gaussian directions (a 2-stable law: a projected squared distance,
-over the true one, follows a chi-square law). Each task keeps a kd-tree over the projections of
-its own rows; a query takes projected neighbours in growing distance and verifies each by its
-true distance, until the chi-square test says that a neighbour nearer than those found would have
-come up already with the wanted probability.
-
-Queries are a stated set (ids divisible by a number), searched in blocks of bounded size against
-all rows; every row is indexed. Equal vectors share a place in the tree, where the smallest ids
-that any answer can hold are kept, so copies cost nothing.
+over the true one, follows a chi-square law). A kd-tree over the projections indexes every row. Its
+upper part, fitted on a bounded sample, deals rows into cells; each cell has the lower part. A query
+takes projected neighbours in growing distance and verifies them by their true distance, until the
+chi-square test says that a neighbour nearer than those found would have come up already with the
+wanted probability.
+
+The search has two rounds. A query first visits the cell it falls into; the distance that it finds
+there is the test's bound for all other cells, and it is sent to those alone whose box the test does
+not rule out. Queries are rows like all others: none are held by the driver. Equal vectors share a
+place in the tree, where the smallest ids that any answer can hold are kept, so copies cost nothing.
+
+How much the test rules out is up to the vectors. Where they have clusters, few cells are visited;
+where all are about as far from each other as the nearest are, most of them are.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-M = 6  # projections; an even number has a closed chi-square distribution
-LEAF = 64
-SURE = 0.98
-QUERY_BLOCK = 16_384
-INDEX_ROWS = 200_000
+from sessionloom.session import ensure_checkpoint_dir
+
+M = 8  # projections; an even number has a closed chi-square distribution
+LEAF = 256
+SURE = 0.95
+#: rows of a cell, and rows of the sample for each cell
+CELL_ROWS, CELL_SAMPLE = 16_384, 32
+#: queries that meet a cell in one piece
+QUERY_BLOCK = 131_072
 
 
 def chi_square(x: float, m: int) -> float:
@@ -50,8 +57,62 @@ def directions(d: int, m: int = M, seed: int = 5) -> np.ndarray:
     return np.random.default_rng([seed, d]).normal(size=(d, m))
 
 
+class Splits:
+    """The upper part of the tree: median splits of a sample's projections, down to the cells."""
+
+    def __init__(self, points: np.ndarray, cells: int):
+        m = points.shape[1]
+        self.dimension, self.value, self.child, self.cell = [], [], [], []
+        low, high = [], []
+        stack = [(np.arange(len(points)), cells, np.full(m, -np.inf), np.full(m, np.inf), -1, 0)]
+        while stack:
+            rows, wanted, lo, hi, parent, side = stack.pop()
+            node = len(self.cell)
+            if parent >= 0:
+                self.child[parent][side] = node
+            spread = np.ptp(points[rows], axis=0) if len(rows) else np.zeros(m)
+            widest = int(spread.argmax())
+            value = float(np.median(points[rows, widest])) if len(rows) else 0.0
+            left = points[rows, widest] < value
+            self.child.append([-1, -1])
+            self.dimension.append(widest)
+            self.value.append(value)
+            if wanted < 2 or not left.any():
+                self.cell.append(len(low))
+                low.append(lo)
+                high.append(hi)
+                continue
+            self.cell.append(-1)
+            below, above = hi.copy(), lo.copy()
+            below[widest] = above[widest] = value
+            stack.append((rows[left], wanted // 2, lo, below, node, 0))
+            stack.append((rows[~left], wanted - wanted // 2, above, hi, node, 1))
+        self.child, self.cell = np.array(self.child), np.array(self.cell)
+        self.dimension, self.value = np.array(self.dimension), np.array(self.value)
+        self.low, self.high = np.array(low), np.array(high)
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """The cell of each point."""
+        node = np.zeros(len(points), np.int64)
+        while True:
+            inner = np.flatnonzero(self.cell[node] < 0)
+            if not len(inner):
+                return self.cell[node]
+            at = node[inner]
+            node[inner] = self.child[at, (points[inner, self.dimension[at]] >= self.value[at]).astype(int)]
+
+
+def gaps(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distance of each point from each box."""
+    out = np.zeros((len(points), len(low)))
+    for j in range(points.shape[1]):
+        away = np.maximum(0, np.maximum(low[:, j] - points[:, j, None], points[:, j, None] - high[:, j]))
+        out += away * away
+    return out
+
+
 class Tree:
-    """A kd-tree over projected points; a leaf keeps the original vectors and their ids."""
+    """The lower part of the tree: leaves over a cell's projected points, with vectors and ids."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, keep: int, m: int = M):
         order = np.lexsort((ids, *vectors.T[::-1]))
@@ -59,114 +120,175 @@ class Tree:
         new = np.ones(len(ids), bool)
         new[1:] = (vectors[1:] != vectors[:-1]).any(1)
         first = np.flatnonzero(new)
-        sizes = np.diff(np.append(first, len(ids)))
         # the smallest ids of equal vectors: no answer needs more of them
-        self.copies = [np.unique(ids[a : a + s])[:keep] for a, s in zip(first.tolist(), sizes.tolist())]
-        self.vectors = vectors[first]
-        points = self.vectors @ directions(vectors.shape[1], m)
-        self.low: list[np.ndarray] = []
-        self.high: list[np.ndarray] = []
-        self.children: list[tuple[int, int] | None] = []
-        self.members: list[np.ndarray | None] = []
-        self._grow(points, np.arange(len(first)))
-
-    def _grow(self, points: np.ndarray, rows: np.ndarray) -> int:
-        stack = [(rows, -1, 0)]
-        root = 0
+        copies = [np.unique(ids[a:b])[:keep] for a, b in zip(first.tolist(), [*first[1:].tolist(), len(ids)])]
+        vectors = vectors[first]
+        points = vectors @ directions(vectors.shape[1], m)
+        leaves, stack = [], [np.arange(len(first))]
         while stack:
-            rows, parent, side = stack.pop()
-            node = len(self.low)
-            own = points[rows]
-            self.low.append(own.min(0))
-            self.high.append(own.max(0))
-            self.children.append(None)
-            self.members.append(None)
-            if parent >= 0:
-                pair = self.children[parent] or (-1, -1)
-                self.children[parent] = (node, pair[1]) if side == 0 else (pair[0], node)
-            widest = int((self.high[node] - self.low[node]).argmax())
-            if len(rows) <= LEAF or self.high[node][widest] == self.low[node][widest]:
-                self.members[node] = rows
+            rows = stack.pop()
+            spread = np.ptp(points[rows], axis=0)
+            if len(rows) <= LEAF or not spread.any():
+                leaves.append(rows)
                 continue
-            half = len(rows) // 2
-            split = np.argpartition(own[:, widest], half)
-            stack.append((rows[split[half:]], node, 1))
-            stack.append((rows[split[:half]], node, 0))
-        return root
-
-    def search(self, query: np.ndarray, point: np.ndarray, k: int, limit: float) -> list[tuple[float, int]]:
-        """The k smallest (distance, id) found by the time the stopping test holds."""
-        best: list[tuple[float, int]] = []
-        furthest = np.inf
-        queue = [(0.0, 0)]
-        while queue:
-            apart, node = heapq.heappop(queue)
-            # the test: a nearer neighbour would have a projected distance below this one
-            if apart > 0 and apart >= limit * furthest * furthest:
+            split = np.argpartition(points[rows, int(spread.argmax())], len(rows) // 2)
+            stack += [rows[split[len(rows) // 2 :]], rows[split[: len(rows) // 2]]]
+        placed = np.concatenate(leaves)
+        self.edges = np.cumsum([0] + [len(x) for x in leaves])
+        self.vectors, self.points = vectors[placed], points[placed]
+        self.copies = [copies[i] for i in placed.tolist()]
+        self.least = np.array([c[0] for c in self.copies])
+        self.norms, self.point_norms = (self.vectors**2).sum(1), (self.points**2).sum(1)
+        self.low = np.minimum.reduceat(self.points, self.edges[:-1])
+        self.high = np.maximum.reduceat(self.points, self.edges[:-1])
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, limit: float, bound: np.ndarray) -> list[list[tuple[float, int]]]:
+        """For each query the k smallest (distance, id) of other ids, as far as they are within its
+        ``bound``, found by the time the stopping test holds."""
+        n, keep = len(queries), k + 1
+        points = queries @ directions(queries.shape[1], self.points.shape[1])
+        norms, point_norms = (queries**2).sum(1), (points**2).sum(1)
+        apart = gaps(points, self.low, self.high)
+        order = np.argsort(apart, 1, kind="stable")
+        furthest = bound.astype(float).copy()
+        who, place, far = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        at, step = 0, 1
+        while at < order.shape[1]:
+            # the next leaves of every query whose test does not hold yet
+            leaf = order[:, at : at + step]
+            going = np.take_along_axis(apart, leaf, 1) <= limit * (furthest * furthest)[:, None]
+            rows, columns = np.nonzero(going)
+            if not len(rows):
                 break
-            rows = self.members[node]
-            if rows is None:
-                for child in self.children[node]:
-                    gap = np.maximum(0, np.maximum(self.low[child] - point, point - self.high[child]))
-                    heapq.heappush(queue, (float(gap @ gap), child))
-                continue
-            away = self.vectors[rows] - query
-            distance = np.sqrt((away * away).sum(1))
-            for i in np.flatnonzero(distance <= furthest).tolist():
-                best.extend((float(distance[i]), int(x)) for x in self.copies[rows[i]])
-            best.sort()
-            del best[k:]
-            if len(best) == k:
-                furthest = best[-1][0]
-        return best
-
-
-def matrices(batches: list[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By dimension, ids and vectors of the rows that take part."""
-    out: dict[int, tuple[list, list]] = {}
-    for batch in batches:
-        ids, column = batch.column(0), batch.column(1)
-        lengths = np.array([-1 if n is None else n for n in pc.list_value_length(column).to_pylist()])
-        known = ids.is_valid().to_numpy(zero_copy_only=False)
-        for d in np.unique(lengths[lengths > 0]).tolist():
-            rows = np.flatnonzero((lengths == d) & known)
-            flat = column.take(pa.array(rows)).flatten()
-            m = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), d)  # a null becomes a nan
-            good = np.isfinite(m).all(1) & (m != 0).any(1)
-            got = out.setdefault(d, ([], []))
-            got[0].append(ids.take(pa.array(rows[good])).to_numpy().astype(np.int64))
-            got[1].append(m[good])
-    return {d: (np.concatenate(a), np.concatenate(b)) for d, (a, b) in out.items()}
-
-
-def searcher(queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, sure: float, m: int):
-    limit = chi_square_point(sure, m)
+            chosen = leaf[rows, columns]
+            by_leaf = np.argsort(chosen, kind="stable")
+            cuts = np.flatnonzero(np.diff(chosen[by_leaf], prepend=-1, append=-1))
+            found = [(who, place, far)]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                q = rows[by_leaf[a:b]]
+                lo, hi = self.edges[chosen[by_leaf[a]]], self.edges[chosen[by_leaf[a]] + 1]
+                within = (furthest[q] ** 2 * (1 + 1e-9))[:, None]
+                # projected neighbours first, then a true distance that may be off in its last digits
+                near = point_norms[q, None] + self.point_norms[lo:hi] - 2 * points[q] @ self.points[lo:hi].T <= limit * within + 1e-9
+                if near.mean() > 0.1:
+                    near &= norms[q, None] + self.norms[lo:hi] - 2 * queries[q] @ self.vectors[lo:hi].T <= within + 1e-9 * (1 + norms[q, None] + self.norms[lo:hi])
+                i, j = np.nonzero(near)
+                i, j = q[i], j + lo
+                for c in range(0, len(i), 65_536):
+                    x, y = i[c : c + 65_536], j[c : c + 65_536]
+                    away = self.vectors[y] - queries[x]
+                    distance = np.sqrt((away * away).sum(1))
+                    good = distance <= furthest[x]
+                    found.append((x[good], y[good], distance[good]))
+            who, place, far = (np.concatenate(x) for x in zip(*found))
+            best = np.lexsort((self.least[place], far, who))
+            who, place, far = who[best], place[best], far[best]
+            begin = np.searchsorted(who, np.arange(n + 1))
+            rank = np.arange(len(who)) - begin[who]
+            full = np.flatnonzero(np.diff(begin) >= keep)
+            furthest[full] = np.minimum(furthest[full], far[begin[full] + keep - 1])
+            who, place, far = who[rank < keep], place[rank < keep], far[rank < keep]
+            at, step = at + step, 1 if at < 1 else 2 * step
+        out: list[list[tuple[float, int]]] = [[] for _ in range(n)]
+        mine = own.tolist()
+        for q, p, s in zip(who.tolist(), place.tolist(), far.tolist()):
+            out[q] += [(s, i) for i in self.copies[p].tolist() if i != mine[q]]
+        return [sorted(x)[:k] for x in out]
 
-    def answers(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = matrices(held)
-        for d, (query_ids, vectors) in queries.items():
-            if d not in index or not len(index[d][0]):
-                continue
-            tree = Tree(index[d][1], index[d][0], k + 1, m)
-            points = vectors @ directions(d, m)
-            found: list[tuple[int, int, float]] = []
-            for q in range(len(query_ids)):
-                own = int(query_ids[q])
-                got = [x for x in tree.search(vectors[q], points[q], k + 1, limit) if x[1] != own][:k]
-                found.extend((own, i, s) for s, i in got)
-            a, b, c = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "vec_id", "score"])
+
+def matrices(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of a batch of valid rows, by dimension."""
+    ids, column = batch.column(0).to_numpy(), batch.column(1)
+    sizes = np.diff(column.offsets.to_numpy())
+    out = {}
+    for d in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == d)
+        out[d] = ids[rows], column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), d)
+    return out
+
+
+MESSAGE = "d int, cell int, block int, ids binary, vectors binary, bounds binary"
+FOUND = ", query_id long, vec_id long, score double"
+
+
+def message(d: int, cell: int, block: int, ids: np.ndarray, vectors: np.ndarray, bounds: np.ndarray | None = None) -> tuple:
+    return d, cell, block, ids.astype("<i8").tobytes(), np.ascontiguousarray(vectors).tobytes(), None if bounds is None else bounds.astype("<f8").tobytes()
+
+
+def as_batch(rows: list[tuple], found: list[tuple] | None = None) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    names = [x.split()[0] for x in (MESSAGE + (FOUND if found is not None else "")).split(", ")]
+    if found is not None:
+        kinds += [pa.int64(), pa.int64(), pa.float64()]
+        rows = [(*r, None, None, None) for r in rows] + [(None,) * 6 + f for f in found]
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+
+def dealer(splits: dict[int, Splits], keep: int | None, blocks: int, m: int):
+    """Rows as messages to their cells; of equal vectors in a batch the ``keep`` smallest ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
         for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= INDEX_ROWS:  # one tree's memory is bounded; a larger partition has several
-                yield from answers(held)
-                held, n = [], 0
-        if held:
-            yield from answers(held)
+            rows = []
+            for d, (ids, vectors) in matrices(batch).items():
+                if keep is not None:
+                    order = np.lexsort((ids, *vectors.T[::-1]))
+                    ids, vectors = ids[order], vectors[order]
+                    new = np.ones(len(ids), bool)
+                    new[1:] = (vectors[1:] != vectors[:-1]).any(1) | (ids[1:] != ids[:-1])
+                    ids, vectors = ids[new], vectors[new]  # a repeated row is one
+                    start = np.ones(len(ids), bool)
+                    start[1:] = (vectors[1:] != vectors[:-1]).any(1)
+                    copy = np.arange(len(ids)) - np.maximum.accumulate(np.where(start, np.arange(len(ids)), 0))
+                    ids, vectors = ids[copy < keep], vectors[copy < keep]
+                cell = splits[d].of(vectors.astype(float) @ directions(d, m)) if d in splits else np.zeros(len(ids), np.int64)
+                block = ids % blocks if keep is None else np.zeros(len(ids), np.int64)
+                key = cell * blocks + block
+                order = np.argsort(key, kind="stable")
+                cuts = np.flatnonzero(np.diff(key[order], prepend=-1, append=-1))
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    own = order[a:b]
+                    rows.append(message(d, int(cell[own[0]]), int(block[own[0]]), ids[own], vectors[own]))
+            yield as_batch(rows)
+
+    return run
+
+
+def searcher(splits: dict[int, Splits], k: int, sure: float, m: int, kind: str, first: bool):
+    """Searches a cell for the queries sent there. In the first round it also sends them on to the
+    cells that the test does not rule out."""
+    limit = chi_square_point(sure, m)
+
+    def read(table: pa.Table, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = [b"".join(x.as_py() or b"" for x in table.column(c)) for c in ("ids", "vectors", "bounds")]
+        return np.frombuffer(raw[0], "<i8"), np.frombuffer(raw[1], kind).astype(float).reshape(-1, d), np.frombuffer(raw[2], "<f8")
+
+    def run(cell: pa.Table, asked: pa.Table) -> pa.Table:
+        found, on = [], []
+        if asked.num_rows:
+            d, here, block = (asked.column(c)[0].as_py() for c in ("d", "cell", "block"))
+            own, queries, bounds = read(asked, d)
+            bounds = np.full(len(own), np.inf) if first else bounds
+            if cell.num_rows:
+                ids, vectors, _ = read(cell, d)
+                tree = Tree(vectors, ids, k + 1, m)
+                for a in range(0, len(own), 4096):
+                    part = slice(a, a + 4096)
+                    for q, got in enumerate(tree.search(queries[part], own[part], k, limit, bounds[part]), a):
+                        found += [(int(own[q]), i, s) for s, i in got]
+                        if first and len(got) == k:
+                            bounds[q] = got[-1][0]
+            if first and d in splits:
+                points = queries @ directions(d, m)
+                for a in range(0, len(own), 4096):
+                    part = slice(a, a + 4096)
+                    near = gaps(points[part], splits[d].low, splits[d].high) <= (limit * bounds[part] ** 2)[:, None]
+                    for c in np.flatnonzero(near.any(0)).tolist():
+                        if c != here:
+                            q = a + np.flatnonzero(near[:, c])
+                            on.append(message(d, c, block, own[q], queries[q].astype(kind), bounds[q]))
+        return pa.Table.from_batches([as_batch(on, found)])
 
     return run
 
@@ -180,29 +302,49 @@ def nearest(
     sure: float = SURE,
     m: int = M,
     query_block: int = QUERY_BLOCK,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """The k nearest rows of each query: ``query_id``, ``rank`` (int, from 1), ``vec_id``, ``score``.
 
-    Queries are the rows whose id is divisible by ``every``, in blocks of ``query_block``;
-    candidates are all rows but those with the query's id. Distances are Euclidean, in double
-    precision; ties go to the smaller id. Null ids, and vectors that are null, zero, or hold null
-    or non-finite components, take no part; vectors of unlike dimension are not near each other.
-    An id of several rows counts once, at its nearest; a repeated query id is asked once, with its
-    first vector in order. Other columns are not read. No rows give no rows.
+    Queries are the rows whose id is divisible by ``every``; candidates are all rows but those with
+    the query's id. Distances are Euclidean, in double precision; ties go to the smaller id. Null
+    ids, and vectors that are null, zero, or hold null or non-finite components, take no part;
+    vectors of unlike dimension are not near each other. An id of several rows counts once, at its
+    nearest; a repeated query id is asked once, with its first vector in order. Other columns are
+    not read. No rows give no rows.
+
+    Cells are fitted on a sample of about ``CELL_SAMPLE`` rows for each ``cell_rows`` rows of the
+    input, 4,096 at least; every row is indexed. Where queries number more than ``query_block``, a
+    cell meets them in several blocks.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
+    ensure_checkpoint_dir(spark)
+    single = dict(vectors.dtypes)[vector_column] == "array<float>"
+    kind, element = ("<f4", "float") if single else ("<f8", "double")
+    infinite = F.lit(float("inf"))
+    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast(f"array<{element}>").alias("v"))
+    rows = rows.where(F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(F.abs(x) < infinite, F.lit(False))) & F.exists("v", lambda x: x != 0))
+    n = rows.count()
+    cells = 1 << max(0, (n // cell_rows).bit_length())
+    sample = max(4096, CELL_SAMPLE * cells)
+    taken = rows.where(F.pmod(F.xxhash64("id", "v"), F.lit(max(1, n // sample))) == 0).limit(2 * sample).select("id", "v").toArrow()
+    splits: dict[int, Splits] = {}
+    for batch in taken.combine_chunks().to_batches():
+        for d, (_, found) in matrices(batch).items():
+            splits[d] = Splits(found.astype(float) @ directions(d, m), max(1, cells * len(found) // max(1, taken.num_rows)))
     asked = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"))
-    n = asked.count()
-    blocks = -(-n // query_block)
-    out = None
-    for b in range(blocks):
-        table = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
-        queries = matrices(table.to_batches())
-        part = rows.mapInArrow(searcher(queries, k, sure, m), "query_id long, vec_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    blocks = max(1, -(-(n // max(1, every)) // query_block))
+    placed = rows.mapInArrow(dealer(splits, k + 1, 1, m), MESSAGE).checkpoint()
+    if blocks > 1:
+        placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    key = ["d", "cell", "block"]
+    by_cell = placed.groupBy(*key)
+    home = asked.mapInArrow(dealer(splits, None, blocks, m), MESSAGE)
+    first = by_cell.cogroup(home.groupBy(*key)).applyInArrow(searcher(splits, k, sure, m, kind, True), MESSAGE + FOUND).checkpoint()
+    on = first.where("cell IS NOT NULL").select(*[x.split()[0] for x in MESSAGE.split(", ")])
+    second = by_cell.cogroup(on.groupBy(*key)).applyInArrow(searcher(splits, k, sure, m, kind, False), MESSAGE + FOUND)
+    names = ["query_id", "vec_id", "score"]
+    out = first.where("query_id IS NOT NULL").select(*names).unionByName(second.where("query_id IS NOT NULL").select(*names))
     nearest_of = out.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return nearest_of.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
