@@ -33,6 +33,8 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style noscript template svg annotation annotation-xml iframe canvas audio video title textarea select xmp".split())
+#: of these, what holds code or plain text: behind one that is never closed, all up to the next tag goes
+CODE_TAGS = frozenset("script style title textarea xmp".split())
 #: what may stand in a head; any other element closes one whose end tag is left out
 HEAD_TAGS = frozenset("head title meta link base basefont script style noscript template".split())
 CLOSES_P = BLOCK_TAGS - {"body", "html", "label", "button", "option"}
@@ -71,6 +73,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[int, ...]]] = []
     parts: list[str] = []
     linked, links = 0, 0
+    unclosed: set[str] = set()
     last = page.rfind(">") + 1
 
     def add(text: str) -> None:
@@ -122,8 +125,14 @@ def blocks(page: str) -> list[Block]:
             if tag in BLOCK_TAGS:
                 close_block()
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                else:  # never closed: the rest of the page is not its content
+                    unclosed.add(tag)
+                    if tag in CODE_TAGS:
+                        following = TAG.search(page, at, last)
+                        at = following.start() if following else len(page)
         elif tag == "br":
             add(" ")
         elif tag in VOID_TAGS:
@@ -207,8 +216,9 @@ class Labeller:
         )
         return x, (flat, edges, words, bounds)
 
-    def run(self, x: np.ndarray, side: str) -> tuple[np.ndarray, list]:
-        """Hidden states over (time, row, input); the backward side reads a reversed sequence."""
+    def run(self, x: np.ndarray, side: str, training: bool) -> tuple[np.ndarray, list]:
+        """Hidden states over (time, row, input); the backward side reads a reversed sequence. What
+        back-propagation needs of each step is kept in training alone."""
         wh, h, c = self.weights[f"h{side}"], np.zeros((x.shape[1], HIDDEN)), np.zeros((x.shape[1], HIDDEN))
         drive = x @ self.weights[f"x{side}"] + self.weights[f"c{side}"]
         out, kept = np.empty((*x.shape[:2], HIDDEN)), []
@@ -220,7 +230,8 @@ class Labeller:
             before = c
             c = f * c + i * g
             s = np.tanh(c)
-            kept.append((h, before, i, f, o, g, s))
+            if training:
+                kept.append((h, before, i, f, o, g, s))
             h = o * s
             out[t] = h
         return out, kept
@@ -248,13 +259,13 @@ class Labeller:
         time = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         return np.stack([time, row]), np.stack([lengths[row] - 1 - time, row])
 
-    def logits(self, found: list[Block], lengths: np.ndarray):
+    def logits(self, found: list[Block], lengths: np.ndarray, training: bool = False):
         x, kept = self.embed(found)
         states, cells, laid = [], [], []
         for side, (time, row) in zip("fb", self.lay(lengths)):
             m = np.zeros((int(lengths.max()), len(lengths), x.shape[1]))
             m[time, row] = x
-            out, k = self.run(m, side)
+            out, k = self.run(m, side, training)
             states.append(out[time, row])
             cells.append((m, k, time, row))
         top = np.concatenate([*states, x], 1)
@@ -377,7 +388,7 @@ def train(pages: int = 1200, epochs: int = 5, batch: int = 24, rate: float = 0.0
             found = [b for blocks_, _ in part for b in blocks_]
             target = np.concatenate([y for _, y in part]).astype(float)
             lengths = np.array([len(b) for b, _ in part])
-            z, top, x, (flat, edges, words, bounds), cells = model.logits(found, lengths)
+            z, top, x, (flat, edges, words, bounds), cells = model.logits(found, lengths, training=True)
             grads = {k: np.zeros_like(v) for k, v in model.weights.items()}
             error = (1 / (1 + np.exp(-z)) - target) / len(z)
             grads["out"] = top.T @ error[:, None]
@@ -418,7 +429,8 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """``page_id``, ``url``, ``text`` (main text, empty if none) and ``n_chars`` of every row.
 
     Null and empty html give an empty text; repeated rows give repeated rows; an empty table an
-    empty result; other columns are not read. Pages are read whole.
+    empty result; other columns are not read. Pages are read whole, however long. An element that
+    is never closed takes no more than itself from the article.
     """
     used = model or labeller()
 
