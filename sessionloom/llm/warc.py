@@ -27,7 +27,7 @@ DATE = "2024-01-01T00:00:00Z"
 SCHEMA = (
     "source_id string, record_type string, record_id string, refers_to string, target_uri string, warc_date string, "
     "content_type string, content_length long, block_digest string, payload_digest string, source_payload_digest string, "
-    "digest_ok boolean, http_status int, n_links long, n_chars long, block binary"
+    "digest_ok boolean, complete boolean, http_status int, n_links long, n_chars long, block binary"
 )
 FIELDS = [x.split() for x in SCHEMA.split(", ")]
 ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
@@ -37,6 +37,7 @@ TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.I | re.S)
 LINK = re.compile(r"""<(a|img|link|script|iframe|area|form|source)\b[^>]*?\s(?:href|src|action)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 BREAK = re.compile(r"</?(?:p|div|h[1-6]|li|ul|ol|tr|table|br|hr|section|article|header|footer|nav|aside|main|blockquote|pre|td|th|dd|dt|dl|form|title|head)\b[^>]*>", re.I)
 ANY_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
+GZIP, PIECE = b"\x1f\x8b\x08", 1 << 18
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?([a-zA-Z0-9_.:-]+)", re.I)
 
 
@@ -66,7 +67,8 @@ def _headers(raw: bytes) -> list[tuple[str, str]]:
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], list[tuple[str, str]], bytes]]:
     """Records of plain WARC bytes as (headers by lower-case name, headers in order, block).
 
-    Bytes that do not begin a record are passed over up to the next record's first line.
+    Bytes that do not begin a record are passed over up to the next record's first line. A block
+    that ends before its Content-Length comes as far as it goes.
     """
     at = 0
     while (at := raw.find(b"WARC/", at)) >= 0:
@@ -76,7 +78,7 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], list[tuple[str, str]], b
         ordered = _headers(raw[at : found.start()].split(b"\n", 1)[-1])
         named = {k.lower(): v for k, v in ordered}
         length = named.get("content-length", "")
-        if not length.isdigit():
+        if not (length.isascii() and length.isdigit()):
             at = found.end()
             continue
         end = found.end() + int(length)
@@ -84,16 +86,43 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], list[tuple[str, str]], b
         at = end
 
 
-def gunzip(raw: bytes) -> bytes:
-    """The members of a .warc.gz file, one after another; plain bytes as they are."""
-    if raw[:2] != b"\x1f\x8b":
-        return raw
-    out = []
-    while raw[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(raw))
-        raw = member.unused_data
-    return b"".join(out)
+def members(raw: bytes) -> Iterator[tuple[bytes, int]]:
+    """The gzip members of a file, one after another, as (bytes, damaged bytes); plain bytes are one.
+
+    A damaged member gives what can be unpacked of it; reading goes on at the next member's mark.
+    """
+    if raw[:2] != GZIP[:2]:
+        yield raw, 0
+        return
+    at = 0
+    while (at := raw.find(GZIP, at)) >= 0:
+        member, out, end = zlib.decompressobj(31), [], at
+        try:
+            while not member.eof and end < len(raw):
+                out.append(member.decompress(raw[end : end + PIECE]))
+                end += PIECE
+            sound = member.eof
+        except zlib.error:
+            sound = False
+        if sound:
+            end = min(end, len(raw)) - len(member.unused_data)
+            yield b"".join(out), 0
+        else:
+            end = raw.find(GZIP, at + 1)
+            end = len(raw) if end < 0 else end
+            yield b"".join(out), end - at
+        at = end
+
+
+def unpacked(raw: bytes) -> Iterator[tuple[bytes, int]]:
+    """``members``, where a record that goes on in the next member is put together."""
+    held, lost = b"", 0
+    for data, damaged in members(raw):
+        if held and data.startswith(b"WARC/"):
+            yield held, lost
+            held, lost = b"", 0
+        held, lost = held + data, lost + damaged
+    yield held, lost
 
 
 def http_parts(block: bytes) -> tuple[int | None, list[tuple[str, str]], bytes]:
@@ -142,6 +171,7 @@ def derive(named: dict[str, str], ordered: list[tuple[str, str]], block: bytes)
         text = payload.decode("utf-8", "replace")
     page = kind in ("text/html", "application/xhtml+xml") or (not kind and "<html" in text[:1024].lower())
     own = digest(raw_payload)
+    complete = len(block) == int(named["content-length"])
     claimed = named.get("warc-payload-digest")
     fields = [(f"source-{k.lower()}", v) for k, v in ordered] + [(f"http-{k.lower()}", v) for k, v in headers]
     if status is not None:
@@ -153,9 +183,11 @@ def derive(named: dict[str, str], ordered: list[tuple[str, str]], block: bytes)
             fields.append(("title", " ".join(html.unescape(title[1]).split())))
         links = [" ".join(html.unescape(a or b or c).split()) for _, a, b, c in LINK.findall(text)]
         fields += [("outlink", x) for x in links]
+    if not complete:
+        fields.append(("block-truncated-at", str(len(block))))
     common = {
         "source_id": source, "refers_to": source, "target_uri": uri, "warc_date": date, "source_payload_digest": claimed or own,
-        "digest_ok": None if claimed is None else claimed == own, "http_status": status, "n_links": len(links),
+        "digest_ok": None if claimed is None else claimed == own, "complete": complete, "http_status": status, "n_links": len(links),
     }
     out = []
     body = "".join(f"{k}: {v}\r\n" for k, v in fields).encode()
@@ -169,6 +201,11 @@ def derive(named: dict[str, str], ordered: list[tuple[str, str]], block: bytes)
     return out
 
 
+def damage(lost: int) -> dict:
+    """The row that tells of bytes which could not be unpacked."""
+    return dict.fromkeys([n for n, _ in FIELDS]) | {"record_type": "damaged", "content_length": lost}
+
+
 def as_record(row: dict) -> bytes:
     """A derivative as WARC bytes."""
     return record(
@@ -192,7 +229,7 @@ def response(page_id: object, url: str | None, page: str | None, date: str = DAT
     return record(
         "response",
         [
-            ("WARC-Record-ID", _id(f"{page_id} {url or ''}", "response")),
+            ("WARC-Record-ID", _id(f"{page_id} {url or ''} {digest(body)}", "response")),
             ("WARC-Target-URI", " ".join((url or "").split())),
             ("WARC-Date", date),
             ("WARC-Payload-Digest", digest(body)),
@@ -204,7 +241,9 @@ def response(page_id: object, url: str | None, page: str | None, date: str = DAT
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """``page_id`` and the response record (``warc``, binary) of every row; null html is an empty
-    body, a null url an empty target."""
+    body, a null url an empty target, a null id stays null. A record's id comes from page, url and
+    body, so equal rows have equal records and no others do. Other columns are not read; an empty
+    table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +269,10 @@ def derivatives(records: DataFrame, key: str, key_type: str = "string", with_blo
     Null and empty ``warc`` values and records other than responses give nothing; repeated records
     give repeated derivatives; broken bytes between records are passed over; a digest that does
     not fit its payload is reported in ``digest_ok`` (null where the source claims none), not
-    repaired. An empty table gives an empty result; other columns are not read.
+    repaired, a block shorter than its Content-Length in ``complete``. Bytes of a gzip file that
+    cannot be unpacked are a row of type ``damaged`` with their number in ``content_length``, and
+    reading goes on behind them. Very long records are read whole, one member at a time. An empty
+    table gives an empty result; other columns are not read.
     """
     fields = [(n, t) for n, t in FIELDS if with_block or n != "block"]
 
@@ -239,9 +281,9 @@ def derivatives(records: DataFrame, key: str, key_type: str = "string", with_blo
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 keys, found = [], []
-                for k, raw in enumerate(part.column("warc").to_pylist()):
-                    for x in parse(gunzip(raw or b"")):
-                        new = derive(*x)
+                for k, raw in enumerate(part.column("warc")):
+                    for data, lost in unpacked(raw.as_py() or b""):
+                        new = [y for x in parse(data) for y in derive(*x)] + ([damage(lost)] if lost else [])
                         found += new
                         keys += [k] * len(new)
                 columns = [part.column(key).take(pa.array(keys, pa.int64()))]
@@ -253,7 +295,7 @@ def derivatives(records: DataFrame, key: str, key_type: str = "string", with_blo
 
 def packed(rows: DataFrame) -> DataFrame:
     """Derivatives (with their blocks) as gzip members in ``warc_gz``: the concatenated members of
-    any rows are a valid .warc.gz file."""
+    any rows are a valid .warc.gz file. Rows that tell of damage are no records and give none."""
     names = [n for n, _ in FIELDS if n != "source_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,4 +303,4 @@ def packed(rows: DataFrame) -> DataFrame:
             made = [gzip.compress(as_record(x), mtime=0) for x in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("record_id"), pa.array(made, pa.binary())], ["record_id", "warc_gz"])
 
-    return rows.select(*names).mapInArrow(run, "record_id string, warc_gz binary")
+    return rows.where("record_type <> 'damaged'").select(*names).mapInArrow(run, "record_id string, warc_gz binary")
