@@ -12,6 +12,7 @@ from sessionloom.plans.model import Model
 from sessionloom.plans.registry import Context
 
 FINGERPRINT_CALLS, SIBLINGS, PROBE_NEEDLE = 10, 12, "--help"
+QUANTILES, ACCURACY = (0.5, 0.9), 10_000
 
 
 def fingerprints(model: Model) -> DataFrame:
@@ -72,8 +73,7 @@ def population(model: Model) -> tuple[DataFrame, DataFrame]:
 def base_rates(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per check: sessions, fired, share, errors. Per check and metric: its distribution.
 
-    Percentiles are nearest-rank. They come from counts of distinct values, so no task gathers a
-    metric's values of the whole corpus.
+    Percentiles are nearest-rank, and exact; no task gathers a metric's values of the whole corpus.
     """
     rates = findings.groupBy("check").agg(
         F.count(F.lit(1)).alias("sessions"), F.count_if("fired").alias("fired"), P.share(F.count_if("fired"), F.count(F.lit(1))).alias("share"), F.count_if(F.col("error").isNotNull()).alias("errors")
@@ -82,18 +82,33 @@ def base_rates(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def distribution(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """n, nonzero, min, nearest-rank median and p90, and max of a value by keys."""
-    counted = values.groupBy(*keys, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = counted.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(W.partitionBy(*keys)))
+    """n, nonzero, min, nearest-rank median and p90, and max of a value by keys; nulls are left out.
 
-    def at(q: float) -> F.Column:
-        rank = F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n")))
-        return F.min(F.when(F.col("upto") > rank, F.col("v")))
-
-    return ranked.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.sum(F.when(F.col("v") != 0, F.col("c")).otherwise(0)).alias("nonzero"), F.min("v").alias("min"), at(0.5).alias("median"), at(0.9).alias("p90"), F.max("v").alias("max")
+    A summary of each key's values (``percentile_approx``, whose rank is off by a stated share at
+    most) says between which two values a rank lies. Values below are counted, and only those in
+    between are sorted: a small share of a key's values, whatever their number.
+    """
+    rows = values.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("key"), F.col(value).alias("v"))
+    margin = 4 / ACCURACY
+    around = F.array(*[F.lit(q + side * margin) for q in QUANTILES for side in (-1, 1)])
+    groups = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") != 0).alias("nonzero"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile_approx("v", around, ACCURACY).alias("near")
     )
+    # where the margin is less than a few ranks, all values are few enough to be sorted
+    few = F.col("n") < 2 * ACCURACY
+    bounds = groups.select(
+        "key", "n", "nonzero", "min", "max", *[c for i in range(len(QUANTILES)) for c in (F.when(few, F.col("min")).otherwise(F.col("near")[2 * i]).alias(f"low{i}"), F.when(few, F.col("max")).otherwise(F.col("near")[2 * i + 1]).alias(f"high{i}"))]
+    )
+    placed = rows.join(bounds, "key")
+    out = bounds.select("key", "n", "nonzero", "min", "max")
+    for i, q in enumerate(QUANTILES):
+        below = placed.where(F.col("v") < F.col(f"low{i}")).groupBy("key").agg(F.count(F.lit(1)).alias("below"))
+        counted = placed.where(F.col("v").between(F.col(f"low{i}"), F.col(f"high{i}"))).groupBy("key", "n", "v").agg(F.count(F.lit(1)).alias("c")).join(below, "key", "left")
+        upto = F.coalesce("below", F.lit(0)) + F.sum("c").over(W.partitionBy("key").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+        rank = F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n")))
+        found = counted.withColumn("upto", upto).where(F.col("upto") > rank).groupBy("key").agg(F.min("v").alias(f"at{i}"))
+        out = out.join(found, "key")
+    return out.select("key.*", "n", "nonzero", "min", F.col("at0").alias("median"), F.col("at1").alias("p90"), "max")
 
 
 def sweep(model: Model, probing: DataFrame | None = None, limit: int = 0, sibling_limit: int = SIBLINGS, width: int = 160) -> dict[str, DataFrame]:

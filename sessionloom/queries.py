@@ -16,7 +16,11 @@ from sessionloom.operators import calibrate, calls, corpus, excerpt, formats, tu
 from sessionloom.plans import registry
 from sessionloom.plans.model import Model, replies
 from sessionloom.plans.registry import Context
-from sessionloom.sources import adapters
+from sessionloom.sources import adapters, capabilities, transcripts
+
+#: inner words of a passage by which documents are looked up
+QUOTE_KEY = 6
+MADE_UP = "words that nobody ever wrote down"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,17 +105,29 @@ def specification_by_session(spark, sf_dir):
 
 @query
 def digest_selection(spark, sf_dir):
-    return excerpt.selected(talk(spark, sf_dir), 1, 2).select("session", "turn", "label", "gap")
+    return excerpt.selected(work(spark, sf_dir)).select("session", "turn", "label", "gap")
 
 
 @query
 def digest_text(spark, sf_dir):
+    """With prose, cut to the first and the last turn."""
     return excerpt.build(talk(spark, sf_dir), 1, 1)
 
 
+@query
+def digest_with_ledger(spark, sf_dir):
+    """Without prose, at the operator's own limits."""
+    return excerpt.build(work(spark, sf_dir))
+
+
+@query
+def candidates_text(spark, sf_dir):
+    return excerpt.candidates_text(talk(spark, sf_dir))
+
+
 @query
 def tool_ledger(spark, sf_dir):
-    return excerpt.ledger(work(spark, sf_dir), 12)
+    return excerpt.ledger(work(spark, sf_dir))
 
 
 @query
@@ -122,7 +138,7 @@ def tools_lines(spark, sf_dir):
 @query
 def scrub_positions(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
-    said = F.concat(F.lit("As I said in Turn "), "turn", F.lit(" (3 of 7 messages), "), F.left("text", F.lit(60)))
+    said = F.concat(F.lit("As I said in Turn "), "turn", F.lit(" (3 of 7 messages), "), "text")
     return rows.select("conv_id", "turn", P.scrub(said).alias("scrubbed"))
 
 
@@ -130,7 +146,7 @@ def scrub_positions(spark, sf_dir):
 def clean_boilerplate(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     raw = F.concat(
-        F.lit(" <system-reminder>a\nb</system-reminder>"), F.left("text", F.lit(40)), F.lit("[Request interrupted by user for tool use]<command-name>/x</command-name><command-args>"),
+        F.lit(" <system-reminder>a\nb</system-reminder>"), "text", F.lit("[Request interrupted by user for tool use]<command-name>/x</command-name><command-args>"),
         "role", F.lit("</command-args> <task-notification>done</task-notification>\n"),
     )
     return rows.select("conv_id", "turn", P.clean(raw).alias("cleaned"))
@@ -182,13 +198,13 @@ def mutation_index(spark, sf_dir):
 
 @query
 def producers(spark, sf_dir):
-    rows = calls.producer_rows(work(spark, sf_dir), least=1)
+    rows = calls.producer_rows(work(spark, sf_dir))
     return rows.select("session", "producer", "runs", "unchanged", "chars", F.array_join("variants", ";").alias("variants"))
 
 
 @query
 def spill_last_writer(spark, sf_dir):
-    return calls.spill_rows(work(spark, sf_dir)).select("session", "call_no", "path", "read_chars", "kept_chars")
+    return calls.spill_rows(work(spark, sf_dir)).select("session", "call_no", "path", "read_chars", "kept_chars", "amplification")
 
 
 @query
@@ -201,6 +217,12 @@ def grounding_quartiles(spark, sf_dir):
     return calls.grounding_rows(work(spark, sf_dir)).select("session", "quarter", "ground", "edits", "ratio")
 
 
+@query
+def grounding_baseline(spark, sf_dir):
+    found = calls.grounding(Context(work(spark, sf_dir)))
+    return found.select("session", "depth_tokens", F.posexplode("vs_own_baseline").alias("quarter", "vs_first"))
+
+
 @query
 def effort_turn_shape(spark, sf_dir):
     return turns.turn_shapes(work(spark, sf_dir)).select("session", "turn", "responses", "calls", "edits", "written", "max_edits_one_file", "failures", "effort", "overkill", "circling")
@@ -211,6 +233,11 @@ def compaction_asof(spark, sf_dir):
     return turns.seam_rows(work(spark, sf_dir)).select("session", "seam", "step", "turn", "pre_tokens", "depth_before", "depth_after")
 
 
+@query
+def compaction_by_session(spark, sf_dir):
+    return turns.compaction(Context(work(spark, sf_dir))).select("session", "fired", "count", F.coalesce(F.size("specifics"), F.lit(0)).alias("rows"))
+
+
 @query
 def cli_families(spark, sf_dir):
     return calls.probes(work(spark, sf_dir)).select("session", "family", "here")
@@ -227,13 +254,13 @@ def cli_recurring_across_sessions(spark, sf_dir):
 @query
 def sibling_rank(spark, sf_dir):
     model = work(spark, sf_dir)
-    return corpus.siblings(model, model.sessions.select("session", "modified"), 5)
+    return corpus.siblings(model, model.sessions.select("session", "modified"))
 
 
 @query
 def shell_code_stripped(spark, sf_dir):
     rows = table(spark, sf_dir, "documents")
-    command = F.concat(F.lit("git commit -F - <<'EOF'\npip install --help\nEOF\necho \"a "), "source", F.lit(" b\" && ls '"), "lang", F.lit("' x"))
+    command = F.concat(F.lit("git commit -F - <<'EOF'\npip install --help\n"), F.coalesce("text", F.lit("")), F.lit("\nEOF\necho \"a "), "source", F.lit(" b\" && ls '"), "lang", F.lit("' x"))
     return rows.select("doc_id", P.shell_code(command).alias("code"))
 
 
@@ -242,7 +269,7 @@ def command_family(spark, sf_dir):
     rows = table(spark, sf_dir, "events")
     k = F.col("event_id") % 5
     command = (
-        F.when(k == 0, "cd /tmp && gh pr create --help").when(k == 1, "sudo /usr/bin/apt-get install --help | head").when(k == 2, "echo 'gron --help'").when(k == 3, "timeout 5 docker run --help").otherwise("ls -l")
+        F.when(k == 0, "cd /tmp && gh pr create --help").when(k == 1, "sudo /usr/bin/apt-get install --help | head").when(k == 2, "echo 'gron --help'").when(k == 3, "timeout 5 docker run --help").otherwise(F.concat(F.lit("env A=b ./bin/app"), "user_id", F.lit(" "), "event_type", F.lit(" --help && ls")))
     )
     return rows.select("event_id", P.probe_family(command).alias("family"))
 
@@ -252,7 +279,9 @@ def command_family(spark, sf_dir):
 
 @query
 def record_census(spark, sf_dir):
-    return formats.census(work(spark, sf_dir).record_types, ["click", "purchase", "error", "signup", "login"])
+    """One kind has a name of an odd shape, which is counted but not shown."""
+    kinds = work(spark, sf_dir).record_types.withColumn("kind", F.when(F.col("kind") == "view", "View of a File!").otherwise(F.col("kind")))
+    return formats.census(kinds, ["click", "purchase", "error", "signup", "login"])
 
 
 @query
@@ -276,6 +305,18 @@ def fork_families(spark, sf_dir):
     return corpus.collapse_forks(work(spark, sf_dir)).select("session")
 
 
+@query
+def fingerprint_twins(spark, sf_dir):
+    """How many sessions share each session's beginning."""
+    found = corpus.fingerprints(work(spark, sf_dir))
+    return found.join(found.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("twins")), "fingerprint").select("session", "twins")
+
+
+@query
+def sweep_population(spark, sf_dir):
+    return corpus.population(work(spark, sf_dir))[1].select("considered", "with_responses", "no_responses", "families", "no_human_turn", "forks_collapsed", "sessions")
+
+
 @query
 def fire_share(spark, sf_dir):
     model = work(spark, sf_dir)
@@ -287,7 +328,7 @@ def fire_share(spark, sf_dir):
 def sweep_stats(spark, sf_dir):
     model = work(spark, sf_dir)
     found = registry.run(Context(model), names=["dumps", "failures"])
-    return corpus.base_rates(found)[1].where("field <> 'share_of_tool_bytes'")
+    return corpus.base_rates(found)[1]
 
 
 @query
@@ -298,45 +339,73 @@ def base_rate_tpch(spark, sf_dir):
 
 @query
 def quote_verification(spark, sf_dir):
-    """Benchmark passages, quoted with an elision, against the documents that share their first words."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", P.normalize("text").alias("passage"))
+    """Benchmark passages that stand word for word in a document, and whether an elided quotation of
+    them would be found too."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", P.normalize("text").alias("passage")).where("passage <> ''")
     docs = table(spark, sf_dir, "documents").select("doc_id", P.normalize("text").alias("hay"))
-    words = F.filter(F.split("passage", " "), lambda w: F.length(w) > 3)
-    keyed = items.withColumn("key", F.array_join(F.slice(words, 1, 6), " "))
-    # documents meet a passage by windows of its six first longer words, not by trying all pairs
-    long_words = F.filter(F.split("hay", " "), lambda w: F.length(w) > 3)
-    windows = F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " "))
-    shingled = docs.withColumn("w", long_words).where(F.size("w") >= 6).select("doc_id", "hay", F.explode(F.array_distinct(windows)).alias("key"))
-    near = shingled.join(keyed, "key")
+    # a passage's first and last word may be parts of longer ones, so its key is made of those between
+    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
+    keyed = items.withColumn("w", F.split("passage", " ")).withColumn("key", F.array_join(F.slice(inner, 1, QUOTE_KEY), " ")).withColumn("k", F.least(F.lit(QUOTE_KEY), F.size("w") - 2))
+    long, short = keyed.where("k > 0").select("item_id", "passage", "key"), keyed.where("k <= 0").select("item_id", "passage")
+    lengths = [r["k"] for r in keyed.where("k > 0").select("k").distinct().collect()]  # QUOTE_KEY numbers at most
+
+    def windows(n: int) -> F.Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    keys = F.array_distinct(F.flatten(F.array(*map(windows, lengths)))) if lengths else F.array().cast("array<string>")
+    # keys travel without the text, which is fetched for the few documents that have one
+    near = docs.select("doc_id", F.split("hay", " ").alias("w")).select("doc_id", F.explode(keys).alias("key")).join(long, "key").select("doc_id", "item_id", "passage").distinct()
+    pairs = near.join(docs, "doc_id")
+    if not short.isEmpty():  # passages of one or two words have no key and are looked for in every document
+        pairs = pairs.select("doc_id", "item_id", "passage", "hay").unionByName(docs.join(short, F.contains("hay", "passage")).select("doc_id", "item_id", "passage", "hay"))
     quote = F.concat(F.left("passage", F.lit(40)), F.lit(" … "), F.right("passage", F.lit(30)))
-    return near.select("doc_id", "item_id", P.appears(quote, F.col("hay")).alias("appears"), F.contains("hay", "passage").alias("verbatim")).distinct()
+    return pairs.where(F.contains("hay", "passage")).select("doc_id", "item_id", P.appears(quote, F.col("hay")).alias("appears"), F.length("passage").alias("chars"))
 
 
 def synthetic_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reviewer's reply for each label: fenced, with a preface, or broken, by the id."""
+    """A reviewer's reply for each label: fenced, with a preface, or broken, by the id. Its quotations
+    are the document's, made up, or elided."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    quote = F.regexp_replace(F.left("text", F.lit(40)), r"[^\p{L} ]", " ")
+    hay = F.regexp_replace("text", r"[^\p{L} ]", " ")
+    by = lambda n: F.col("doc_id") % n
+    quote = F.when(by(5) == 1, MADE_UP).when(by(5) == 2, F.concat(F.left(hay, F.lit(25)), F.lit(" … "), F.substr(hay, F.lit(101), F.lit(30)))).otherwise(F.left(hay, F.lit(40)))
     items = [
-        F.concat(F.lit(f'"{name}": {{"score": '), F.when(F.col("doc_id") % (3 + at) == 0, "2").otherwise(F.col("toxic").cast("string")), F.lit(', "evidence": "it says \\"'), quote, F.lit('\\" there"}'))
+        F.concat(F.lit(f'"{name}": {{"score": '), F.when(by(3 + at) == 0, "2").otherwise(F.col("toxic").cast("string")), F.lit(', "evidence": "it says \\"'), quote, F.lit('\\" there"}'))
         for at, name in enumerate(verdict.ITEMS)
     ]
-    body = F.concat(F.lit("{"), F.concat_ws(", ", *items[:5]), F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit(", "), items[5])), F.lit(', "wasted_effort": []}'))
-    raw = F.when(F.col("doc_id") % 11 == 0, "no JSON here").when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here you are:\n```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Sure. "), body, F.lit(" Bye.")))
-    hay = F.regexp_replace("text", r"[^\p{L} ]", " ")
+    other = F.when(by(4) == 0, F.concat(F.lit(', {"finding": "", "quote": "'), quote, F.lit('"}'))).when(by(4) == 1, ', "bare"').when(by(4) == 2, ', {"finding": "third", "quote": ""}').otherwise("")
+    parts = [
+        *items[:5],
+        F.when(by(7) == 0, F.lit(None)).otherwise(items[5]),
+        F.concat(F.lit('"other_findings": [{"finding": "first", "quote": "'), quote, F.lit('", "actionable": true}'), other, F.lit("]")),
+        F.concat(F.lit('"candidate_verdicts": [{"candidate": "1", "is_sycophancy": '), F.when(F.col("toxic") == 1, "true").otherwise("false"), F.lit(', "why": "so"}'), F.when(by(3) == 0, ', {"candidate": "2"}').otherwise(""), F.lit("]")),
+        F.when(by(6) == 5, F.lit(None)).when(by(6) == 4, '"wasted_effort": "none"').otherwise('"wasted_effort": []'),
+    ]
+    body = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    raw = F.when(by(11) == 0, "no JSON here").when(by(2) == 0, F.concat(F.lit("Here you are:\n```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Sure. "), body, F.lit(" Bye.")))
     return rows.select(F.col("doc_id").alias("reply_id"), raw.alias("raw"), hay.alias("excerpt"))
 
 
 @query
 def verdict_scores(spark, sf_dir):
     found = verdict.validate(synthetic_replies(spark, sf_dir))
-    # -1 stands for an item that is not scored
-    score = lambda name: F.coalesce(F.try_element_at("scores", F.lit(name))["score"], F.lit(-1))
-    return found.select("reply_id", "status", score("sycophancy").alias("sycophancy"), score("should_restart").alias("should_restart"), F.array_join("missing", ";").alias("missing"))
+    one = lambda name, part, none: F.coalesce(F.try_element_at("scores", F.lit(name))[part], F.lit(none))
+    return found.select(
+        "reply_id", "status", one("sycophancy", "score", -1).alias("sycophancy"), one("sycophancy", "tier", "").alias("tier"), one("should_restart", "score", -1).alias("should_restart"), F.array_join("missing", ";").alias("missing")
+    )
 
 
 @query
 def verdict_quotes(spark, sf_dir):
-    return verdict.validate(synthetic_replies(spark, sf_dir)).select("reply_id", "quotes_checked", "quotes_found", F.size("problems").alias("problems"), F.size("warnings").alias("warnings"))
+    found = verdict.validate(synthetic_replies(spark, sf_dir))
+    return found.select("reply_id", "quotes_checked", "quotes_found", F.size("problems").alias("problems"), F.size("warnings").alias("warnings"), F.size("unverified").alias("unverified"))
+
+
+@query
+def verdict_findings(spark, sf_dir):
+    found = verdict.validate(synthetic_replies(spark, sf_dir))
+    ruled = F.size(F.filter("candidates", lambda c: c["is_sycophancy"]))
+    return found.select("reply_id", F.size("other_findings").alias("kept"), F.size("dropped").alias("dropped"), F.size("candidates").alias("candidates"), ruled.alias("ruled"), F.size("wasted_effort").alias("wasted"))
 
 
 @query
@@ -360,6 +429,127 @@ def calibration_merge_fp_rate(spark, sf_dir):
     return calibrate.tally(rows.select("lang", calibrate.mark(box).alias("mark"), (F.col("doc_id") % 2 == 0).alias("read_all")), ["lang"])
 
 
+@query
+def calibration_rows(spark, sf_dir):
+    """Rows of evidence that a person could mark, by check."""
+    model = work(spark, sf_dir)
+    found = registry.run(Context(model), names=["partial_use", "rereads", "spill", "dumps"])
+    return calibrate.judgeable_rows(found, model.sessions).groupBy("check").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("session").alias("sessions"))
+
+
+@query
+def project_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("/logs/--"), F.repeat(F.concat("lang", F.lit("-")), (F.col("doc_id") % 12 + 1).cast("int")), "source", F.lit("/a.jsonl"))
+    return rows.select("doc_id", calibrate.project_name(path).alias("project"))
+
+
+# ---- logs of records ------------------------------------------------------------------------------------
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as session files of JSON lines, as ``transcripts.read_files`` gives them.
+
+    A row is a record; some replies go on in a second record with a tool call, which a third answers.
+    Some files begin with lines that are no records, or hold a side chain; some were cut.
+    """
+    rows = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("t"))), r'(?s)\A\{"t":(.*)\}\z', 1)
+    text, conv = quoted(F.col("text")), F.col("conv_id")
+    stamp = F.concat(F.lit('"timestamp":"2024-05-01T10:00:0'), F.col("turn") % 10, F.lit('Z"'))
+    prompt = quoted(F.concat(F.when(F.col("turn") % 4 == 2, "<system-reminder>note\nmore</system-reminder>").otherwise(""), "text"))
+    user = F.concat(F.lit('{"type":"user",'), stamp, F.lit(',"message":{"role":"user","content":'), prompt, F.lit("}}"))
+    tokens = F.when((conv % 2 == 0) & (F.col("turn") % 4 == 3), 0).otherwise(F.col("turn") + 100)
+    reply = F.concat(F.lit('{"type":"assistant",'), stamp, F.lit(',"requestId":"r'), "turn", F.lit('","message":{"model":"m","content":[{"type":"text","text":'), text, F.lit('}],"usage":{"input_tokens":'), tokens, F.lit("}}}"))
+    tool = (
+        F.when(conv % 4 == 0, F.concat(F.lit('"Read","input":{"file_path":"/w/f'), "turn", F.lit('.py","offset":5,"limit":10}')))
+        .when(conv % 4 == 1, F.concat(F.lit('"Write","input":{"file_path":"/w/g.py","content":'), text, F.lit("}")))
+        .when(conv % 4 == 2, F.concat(F.lit('"MultiEdit","input":{"file_path":"/w/h.py","edits":[{"new_string":"ab"},{"new_string":'), text, F.lit("}]}")))
+        .otherwise(F.concat(F.lit('"Bash","input":{"command":'), text, F.lit("}")))
+    )
+    use = F.concat(F.lit('{"type":"assistant","requestId":"r'), "turn", F.lit('","message":{"content":[{"type":"tool_use","id":"t'), "turn", F.lit('","name":'), tool, F.lit('}],"usage":{"input_tokens":0}}}'))
+    said = (
+        F.when(conv % 5 == 1, F.concat(F.lit('[{"type":"text","text":'), text, F.lit('},{"type":"text","text":"x"}]')))
+        .when(conv % 5 == 2, quoted(F.concat(F.lit("Error: "), "text")))
+        .when(conv % 5 == 3, F.lit('"The user doesn\'t want to proceed with this"'))
+        .when(conv % 5 == 4, F.concat(text, F.lit(',"is_error":true')))
+        .otherwise(text)
+    )
+    answer = F.concat(F.lit('{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"t'), "turn", F.lit('","content":'), said, F.lit("}]}}"))
+    seam = F.concat(F.lit('{"type":"system","subtype":"compact_boundary","compactMetadata":{"trigger":"auto","preTokens":'), F.col("turn") + 1000, F.lit(',"postTokens":10}}'))
+    lines = F.when(F.col("role") == "user", F.array(user)).when(F.col("role") == "system", F.array(seam)).when(F.col("turn") % 4 == 1, F.array(reply, use, answer)).otherwise(F.array(reply))
+    head = F.when(conv % 4 == 0, "not json\n\n[]\n").when(conv % 4 == 1, '{"type":"user","isSidechain":true,"message":{"content":"aside"}}\n').otherwise("")
+    files = rows.select("conv_id", "turn", lines.alias("lines")).groupBy("conv_id").agg(F.array_join(F.flatten(calls.in_order(F.col("lines"), F.col("turn"))), "\n").alias("body"))
+    return files.select(
+        conv.cast("string").alias("session"),
+        F.concat(F.lit("/logs/-work/"), conv, F.lit(".jsonl")).alias("path"),
+        F.timestamp_seconds(conv).alias("modified"),
+        (conv % 5 == 0).alias("truncated"),
+        F.when(conv % 5 == 0, conv * 1048576).otherwise(0).alias("dropped_bytes"),
+        F.concat(head, "body").alias("content"),
+    )
+
+
+@query
+def log_turns(spark, sf_dir):
+    return transcripts.parse(logs(spark, sf_dir)).turns.select("session", "turn", "first_step", F.md5(F.col("prompt").cast("binary")).alias("prompt"))
+
+
+@query
+def log_steps(spark, sf_dir):
+    return transcripts.parse(logs(spark, sf_dir)).steps.select("session", "step", "turn", "depth", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query
+def log_calls(spark, sf_dir):
+    found = transcripts.parse(logs(spark, sf_dir)).calls
+    return found.select("session", "step", "turn", "tool", "path", F.left("key", F.lit(200)).alias("key"), "windowed", "written", "ok", "declined", "result_chars")
+
+
+@query
+def log_seams(spark, sf_dir):
+    return transcripts.parse(logs(spark, sf_dir)).seams.select("session", "seam", "step", "turn", "trigger", "pre_tokens", "post_tokens", "from_boundary")
+
+
+@query
+def log_kinds(spark, sf_dir):
+    return transcripts.parse(logs(spark, sf_dir)).record_types.groupBy("kind").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("files"))
+
+
+@query
+def log_continuity(spark, sf_dir):
+    found = turns.continuity(Context(transcripts.parse(logs(spark, sf_dir))))
+    return found.select("session", "fired", "dropped_bytes", "summary")
+
+
+@query
+def log_needle(spark, sf_dir):
+    return corpus.needle_sessions(logs(spark, sf_dir), "Error: ").select("session")
+
+
+# ---- capabilities ---------------------------------------------------------------------------------------
+
+
+@query
+def installed_skills(spark, sf_dir):
+    """Skill files made of documents: names come up again, under several origins."""
+    docs = table(spark, sf_dir, "documents").withColumn("name", F.concat(F.lit("skill"), F.col("doc_id") % 40))
+    text = F.concat(F.lit("---\nname: "), "name", F.lit("\ndescription: >\n  helps with\n  "), "lang", F.lit("\n---\n"), F.coalesce("text", F.lit("")))
+    own = docs.where("doc_id % 3 = 0").select(F.concat(F.lit("/home/skills/s"), "doc_id", F.lit("/SKILL.md")).alias("path"), text.alias("text"))
+    folder = F.concat(F.lit("/home/plugins/"), F.when(F.col("doc_id") % 2 == 0, "marketplaces/").otherwise("cache/"), "source", F.lit("/skills/s"), "doc_id", F.lit("/SKILL.md"))
+    found = capabilities.installed([capabilities.skill_rows(own, "user-skill", "user"), capabilities.skill_rows(docs.select(folder.alias("path"), text.alias("text")), "plugin-skill")])
+    return found.select("origin", "name", "kind", "description", "path")
+
+
+@query
+def enabled_plugins(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    on = F.when(F.col("doc_id") % 2 == 0, "true").otherwise("false")
+    value = F.concat(F.lit('{"enabledPlugins":{"plugin-finder@x":'), on, F.lit(',"b@'), "source", F.lit('":1,"a@'), "lang", F.lit('":true,"off@y":0},"extraKnownMarketplaces":{"z":{},"m":{}}}'))
+    found = capabilities.settings_rows(docs.select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 7 == 0, "{broken").otherwise(value).alias("text")))
+    return found.select(F.col("path").alias("doc_id"), F.array_join("plugins", ";").alias("plugins"), F.array_join("marketplaces", ";").alias("marketplaces"), "finder")
+
+
 # ---- scalar functions -----------------------------------------------------------------------------------
 
 
@@ -373,7 +563,7 @@ def props_json_access(spark, sf_dir):
 @query
 def target_key_short(spark, sf_dir):
     rows = table(spark, sf_dir, "documents")
-    return rows.select("doc_id", P.short_target(F.concat_ws("/", F.lit("home"), "source", "lang", F.left(F.replace("text", F.lit(" "), F.lit("_")), F.lit(60)))).alias("target"), P.size_bucket(F.col("n_chars") * 100).alias("size"))
+    return rows.select("doc_id", P.short_target(F.concat_ws("/", F.lit("home"), "source", "lang", F.replace("text", F.lit(" "), F.lit("_")))).alias("target"), P.size_bucket(F.col("n_chars") * 100).alias("size"))
 
 
 @query

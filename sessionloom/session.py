@@ -53,6 +53,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def present(spark: SparkSession, path: str) -> bool:
+    """Whether a path or glob names any file, in whatever store Spark reads it from."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
 def drop_shuffles(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps that are checkpointed.
 

@@ -40,14 +40,6 @@ def test_query(spark, duck, sf_dir, name):
         assert tidy(got.columns, data) == tidy(want.columns, want.fetchall())
 
 
-def test_quote_verification_against_brute_force(spark, sf_dir, duck):
-    fold = lambda t: " ".join(t.lower().translate(str.maketrans("", "", "*`_~#")).split())
-    docs = {d: fold(t) for d, t in duck.sql("SELECT doc_id, text FROM documents").fetchall()}
-    items = {i: fold(t) for i, t in duck.sql("SELECT item_id, text FROM benchmark").fetchall()}
-    want = {(d, i) for d, t in docs.items() for i, p in items.items() if p in t}
-    assert {(r["doc_id"], r["item_id"]) for r in queries.quote_verification(spark, sf_dir).collect() if r["verbatim"]} == want
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
