@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -64,8 +66,15 @@ def drop_shuffles(spark: SparkSession) -> None:
     """Let go of the shuffle files of steps that are checkpointed.
 
     Spark deletes them once the driver has collected the plans that made them, which may be long after.
-    It holds on to the last plan with a shuffle until there is another, hence the small one.
+    It holds on to the last plan with a shuffle until there is another, hence the small ones, and to the
+    events that tell of it until all listeners have had them; hence more than one round.
     """
-    spark.range(0, 2, 1, 2).repartition(2).count()
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):
+        spark.range(0, 2, 1, 2).repartition(2).count()
+        gc.collect()
+        try:
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        except Py4JJavaError:
+            pass  # a busy listener only delays the deletion
+        spark._jvm.System.gc()
+        time.sleep(0.2)
