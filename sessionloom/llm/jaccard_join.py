@@ -5,11 +5,14 @@ A document is the set of its distinct shingles. Two documents link when
 holds the words of a shingle and the share: four words and 85 for ``op3``, unless another is given.
 
 1. Equal sets are one class (a fingerprint of the set); only classes are joined.
-2. The upper part of the index deals classes by their rarest shingles. Shingles are hashed into groups
-   and the groups' counts over all documents (a sketch of fixed size) put them in order, the rarest
-   first. Of n shingles, a linked set shares at least the share's part, so it shares one of the first
-   n - ceil(share n) + 1 in that order, whatever the counts are: classes meet where one of these is
-   equal. What many documents have in common comes last and deals out nobody who has anything else.
+2. The upper part of the index deals classes by group signatures. Shingles are hashed into G groups;
+   linked sets of bounded size differ in at most D shingles, so of G > D groups at least G - D hold
+   the same shingles in both. Classes meet where a non-empty group's content is equal. Sizes are cut
+   into bands, as D follows the size; a class near a band's end takes part in the next band too.
+   Common shingles, by a sketch of counts over all documents, are left out of the first deal, so that
+   what many texts share deals nobody out. A class with so many empty groups that the shared ones
+   could all be empty is dealt again, with all its shingles and under other salts, and lastly into one
+   block, so no link is lost.
 3. Classes that meet are gathered under the least of them (a hub). There an R-tree over vectors of
    group counts bounds the overlap by summed coordinate minima, for tree nodes and for points, and
    pairs that survive are verified on their sets. Pairs that are already connected are skipped.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +39,14 @@ from sessionloom.llm.decontaminate import window_hashes
 from sessionloom.session import drop_shuffles, ensure_checkpoint_dir
 
 WHOLE = 100
+BAND = 1.3
+SALTS = 3
 #: classes, and bytes of their texts, that are joined in one piece
 TILE, TILE_BYTES = 1500, 8 << 20
-#: groups whose counts order the shingles, as a power of two, and how they are cut to be added up
+#: counters of the sketch, as a power of two, and how they are cut to be added up
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
+#: a counter is high from so many documents above four times the mean
+COMMON = 1000
 #: rows of a table of hubs that may be broadcast (two numbers each); a longer one is joined by key
 BROADCAST_ROWS = 100_000
 COORDINATES = 64
@@ -57,9 +65,10 @@ class Rule:
         """Smaller sets link to equal sets only: n of n + 1 shingles are less than the share."""
         return -(-self.share // (WHOLE - self.share))
 
-    def prefix(self, n: int) -> int:
-        """Of n ordered shingles, how many of the first hold one that any linked set has among its first."""
-        return n - -(-self.share * n // WHOLE) + 1
+    @property
+    def band(self) -> float:
+        """How much wider each band is; a linked set is never two bands away."""
+        return max(BAND, 1.04 * WHOLE / self.share)
 
 
 RULE = Rule()
@@ -109,31 +118,103 @@ def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
-# ---- the order of shingles ------------------------------------------------------------------------
+# ---- the sketch ---------------------------------------------------------------------------------
+
+
+def counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def sketch_of(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+    return np.bincount(counter(hashes), minlength=1 << SKETCH_BITS)
+
+
+def high(sketch: np.ndarray) -> np.ndarray:
+    """The counters that are far above the others, whose shingles are common."""
+    return sketch > 4 * sketch.mean() + COMMON
+
+
+# ---- group signatures ---------------------------------------------------------------------------
+
 
+def difference(both: int, rule: Rule = RULE) -> int:
+    """The most shingles in which linked sets of ``both`` shingles together can differ."""
+    return both * (WHOLE - rule.share) // (WHOLE + rule.share)
 
-def levels_of(sketch: np.ndarray) -> np.ndarray:
-    """Counts as one byte each, on a scale of logarithms: a coarser order serves as well."""
-    return np.minimum(255, np.log2(sketch + 1) * 6).astype(np.uint8)
 
+@lru_cache(maxsize=None)
+def band(j: int, rule: Rule = RULE) -> tuple[int, int, int, int]:
+    """The least size of band j, one past the most, its groups, and how many of the groups that
+    linked sets share can be empty without another deal."""
+    low = rule.least if j == 0 else band(j - 1, rule)[1]
+    high = max(low + 1, int(low * rule.band))
+    differ = difference(2 * (high - 1), rule)
+    spare = 2
+    for _ in range(20):
+        groups = differ + 1 + spare
+        empty = groups * float(np.exp(-rule.share / WHOLE * low / groups))
+        spare = max(2, int(np.ceil(empty + 2 * empty**0.5)))
+    return low, high, differ + 1 + spare, spare
 
-def signatures(hashes: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, levels: np.ndarray, rule: Rule = RULE) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of the wanted rows' sets in the common order: (row, shingle)."""
-    order = levels[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | hashes >> np.uint64(8)
-    rows, found = [], []
-    for i in np.flatnonzero(wanted).tolist():
-        a, b = bounds[i], bounds[i + 1]
-        own, k = order[a:b], rule.prefix(int(b - a))
-        first = hashes[a:b][own <= np.partition(own, k - 1)[k - 1]]
-        rows.append(np.full(len(first), i))
-        found.append(first)
-    if not rows:
+
+def bands_of(sizes: np.ndarray, rule: Rule = RULE) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, band): the band of each size, and the next where it can hold a linked set."""
+    top = int(sizes.max(initial=0))
+    lows = []
+    j = 0
+    while True:
+        lows.append(band(j, rule)[0])
+        if lows[-1] * rule.share > top * WHOLE:
+            break
+        j += 1
+    rows = np.flatnonzero(sizes >= rule.least)
+    at = np.searchsorted(lows, sizes[rows], side="right") - 1
+    next_low = np.array([*lows, 1 << 60])[at + 1]
+    near = sizes[rows] * WHOLE >= next_low * rule.share
+
+    return np.concatenate([rows, rows[near]]), np.concatenate([at, at[near] + 1])
+
+
+def signatures(hashes: np.ndarray, bounds: np.ndarray, wanted: np.ndarray, common: np.ndarray, rule: Rule = RULE) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the wanted rows' sets: (row, signature). ``common`` has the sketch's high counters."""
+    sizes = np.diff(bounds)
+    rows, band_no = bands_of(np.where(wanted, sizes, 0), rule)
+    if not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(rows), np.concatenate(found).view(np.int64)
+    out_rows, out_signatures = [], []
+    for salt in range(SALTS + 1):
+        if salt == SALTS:  # left over after all deals: one block for each band
+            out_rows.append(rows)
+            out_signatures.append(bytekit.mix(band_no.astype(np.uint64) + np.uint64(0xABCDEF)))
+            break
+        known = [band(j, rule) for j in range(int(band_no.max()) + 1)]
+        groups = np.array([b[2] for b in known])[band_no]
+        n = sizes[rows]
+        element = np.arange(n.sum()) + np.repeat(bounds[rows] - (np.cumsum(n) - n), n)
+        h = hashes[element]
+        first = np.cumsum(groups) - groups
+        if salt:
+            spread = bytekit.mix(h ^ np.uint64(salt * 0x9E3779B1))
+        else:
+            spread = h
+        cell = np.repeat(first, n) + (spread % np.repeat(groups, n).astype(np.uint64)).astype(np.int64)
+        if not salt:
+            rare = ~common[counter(h)]
+            cell, h = cell[rare], h[rare]
+        total = np.zeros(int(groups.sum()), np.uint64)
+        np.add.at(total, cell, bytekit.mix(h + np.uint64(0x51ED270B)))
+        filled = np.bincount(cell, minlength=len(total)) > 0
+        owner = np.repeat(np.arange(len(rows)), groups)
+        place = np.arange(len(total)) - first[owner]
+        tag = (band_no[owner].astype(np.uint64) << np.uint64(40)) + (place.astype(np.uint64) << np.uint64(8)) + np.uint64(salt)
+        out_rows.append(rows[owner[filled]])
+        out_signatures.append(bytekit.mix(total[filled] + bytekit.mix(tag[filled])))
+        empty = groups - np.bincount(owner[filled], minlength=len(rows))
+        again = empty > np.array([b[3] for b in known])[band_no]
+        rows, band_no = rows[again], band_no[again]
+        if not len(rows):
+            break
+    return np.concatenate(out_rows), np.concatenate(out_signatures).view(np.int64)
 
 
 # ---- the R-tree ---------------------------------------------------------------------------------
@@ -230,13 +311,13 @@ def add_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
 
-def shingle_levels(rows: DataFrame) -> np.ndarray:
-    """The order of shingle groups, from all tasks' sketches; its size is fixed (2 ** SKETCH_BITS bytes)."""
+def common_shingles(rows: DataFrame) -> np.ndarray:
+    """The high counters of all tasks' sketches; their size is fixed."""
     sketch = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.int64).reshape(-1, SKETCH_BLOCK)
     added = rows.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(add_blocks, "block int, counts binary")
     for r in added.collect():  # one row for each block, whatever the corpus
         sketch[r["block"]] = np.frombuffer(r["counts"], "<i8")
-    return levels_of(sketch.ravel())
+    return high(sketch.ravel())
 
 
 def once(a: np.ndarray, sizes: np.ndarray, seen: set[int], least: int) -> np.ndarray:
@@ -251,14 +332,14 @@ def once(a: np.ndarray, sizes: np.ndarray, seen: set[int], least: int) -> np.nda
     return new
 
 
-def per_signature(batches: Iterator[pa.RecordBatch], levels: bytes, rule: Rule) -> Iterator[pa.RecordBatch]:
+def per_signature(batches: Iterator[pa.RecordBatch], common: bytes, rule: Rule) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
-    order = np.frombuffer(zstandard.decompress(levels), np.uint8)
+    known = np.frombuffer(zstandard.decompress(common), bool)
     for batch in batches:
         for part in bytekit.slices(batch, "text", 1 << 20):
             hashes, bounds = shingle_sets(part.column("text"), rule.words)
             fp = fingerprints(hashes, bounds)[0]
-            rows, signature = signatures(hashes, bounds, once(fp, np.diff(bounds), seen, rule.least), order, rule)
+            rows, signature = signatures(hashes, bounds, once(fp, np.diff(bounds), seen, rule.least), known, rule)
             yield pa.RecordBatch.from_arrays([pa.array(signature), pa.array(fp[rows])], ["sig", "fp"])
 
 
@@ -379,13 +460,13 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def class_links(docs: DataFrame, levels: np.ndarray, rule: Rule = RULE) -> DataFrame:
+def class_links(docs: DataFrame, common: np.ndarray, rule: Rule = RULE) -> DataFrame:
     """Links between classes, as fingerprints ``a`` and ``b``, that connect all linked classes."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     text = docs.select("text")
-    order = zstandard.compress(levels.tobytes(), 3)
-    dealt = text.mapInArrow(lambda batches: per_signature(batches, order, rule), "sig long, fp long").repartition("sig").sortWithinPartitions("sig", "fp")
+    known = zstandard.compress(common.tobytes(), 3)
+    dealt = text.mapInArrow(lambda batches: per_signature(batches, known, rule), "sig long, fp long").repartition("sig").sortWithinPartitions("sig", "fp")
     met = dealt.mapInArrow(meetings, "hub long, fp long").distinct().checkpoint()
     drop_shuffles(spark)
     needed = met.select("fp").unionByName(met.select(F.col("hub").alias("fp"))).distinct()
@@ -412,8 +493,8 @@ def class_links(docs: DataFrame, levels: np.ndarray, rule: Rule = RULE) -> DataF
     count = rest.groupBy("hub").agg(F.count(F.lit(1)).alias("rest")).join(large, "hub").checkpoint()
     if not count.isEmpty():
         # what did not connect to its hub meets the other tiles; it is cut into parts of a tile's size
-        known = F.broadcast(count) if count.count() <= BROADCAST_ROWS else count
-        parts = rest.join(known, "hub").withColumn("part", F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), F.least("tiles", F.ceil(F.col("rest") / TILE))).cast("int"))
+        sized = F.broadcast(count) if count.count() <= BROADCAST_ROWS else count
+        parts = rest.join(sized, "hub").withColumn("part", F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), F.least("tiles", F.ceil(F.col("rest") / TILE))).cast("int"))
         home = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
         asks = parts.select("hub", "fp", "tiles", "part", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), home.alias("home"), F.lit(True).alias("left")).where("tile <> home").drop("home")
         used = parts.select("hub", "part").distinct()
@@ -430,10 +511,10 @@ def classified(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     named by a member class, and ``component_id``, the least id in it."""
     ensure_checkpoint_dir(docs.sparkSession)
     both = docs.select("doc_id", "text").mapInArrow(lambda batches: per_document(batches, rule), ROWS).checkpoint()
-    levels = shingle_levels(both)
+    common = common_shingles(both)
     rows = both.where("block IS NULL").select("doc_id", "n", "fp", "fp2")
     classes = rows.where("n > 0").groupBy("fp", "fp2", "n").agg(F.min("doc_id").alias("rep"))
-    labels = components(class_links(docs, levels, rule))
+    labels = components(class_links(docs, common, rule))
     named = classes.join(labels, classes.fp == labels.node, "left").select("fp", "fp2", "n", "rep", F.coalesce("label", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     return rows, named.join(ids, "component").select("fp", "fp2", "n", "component", "component_id")
