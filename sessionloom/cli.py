@@ -7,19 +7,21 @@ import json
 import sys
 from pathlib import Path
 
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession, functions as F
 
 from sessionloom.operators import calibrate, corpus, excerpt, formats, verdict
 from sessionloom.plans import registry, report
 from sessionloom.plans.registry import Context
-from sessionloom.session import local_session
-from sessionloom.sources import transcripts
+from sessionloom.session import open_session
+from sessionloom.sources import capabilities, transcripts
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sessionloom", description=__doc__)
     p.add_argument("root", nargs="?", help="folder with projects/*/*.jsonl, or a single .jsonl file")
     p.add_argument("--cwd", help="only this working folder's project")
+    p.add_argument("--master", help="Spark's master, where the environment names none (local[*])")
+    p.add_argument("--home", help="folder with skills, plugins and settings.json, if it is not the root")
     p.add_argument("--session", help="a session by its file's stem; unknown ones fall back to the newest")
     p.add_argument("--siblings", type=int, default=corpus.SIBLINGS)
     p.add_argument("--text", action="store_true", help="text in place of JSON")
@@ -35,33 +37,56 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def evidence(path: str | None) -> tuple[str | None, list[str]]:
+    """The texts that a reviewer was shown, and what is wrong with the place they should be in."""
+    if not path:
+        return None, []
+    place = Path(path)
+    parts = [place] if place.is_file() else [p for n in ("digest.txt", "candidates.txt") if (p := place / n).is_file()]
+    if not parts:
+        return None, [f"quotations are not checked: {'no digest.txt or candidates.txt in' if place.is_dir() else 'there is no'} {path}"]
+    return "\n".join(p.read_text(errors="replace") for p in parts), []
+
+
+def judge(spark: SparkSession, a: argparse.Namespace) -> int:
+    try:
+        raw, notes = sys.stdin.read() if a.verdict == "-" else Path(a.verdict).read_text(errors="replace"), []
+    except OSError as error:
+        raw, notes = "", [f"the reply cannot be read: {error.strerror}"]
+    shown, wrong = evidence(a.against)
+    row = verdict.validate(spark.createDataFrame([("reply", raw, shown)], "reply_id string, raw string, excerpt string"))
+    found = row.withColumn("retry", verdict.retry_hint(F.col("problems"), F.col("status"))).first().asDict(recursive=True)
+    found["warnings"] = [*notes, *wrong, *found["warnings"]]
+    print(verdict.text(found) if a.text else json.dumps(found, indent=1))
+    return verdict.EXIT[found["status"]]
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.catalog:
         print(json.dumps(registry.catalog(), indent=1) if not a.text else "\n".join(f"{c['label']:<12}{c['evidence']:<12}{c['question']}" for c in registry.catalog()))
         return 0
-    spark = local_session()
+    spark = open_session(a.master)
     if a.verdict:
-        raw = sys.stdin.read() if a.verdict == "-" else Path(a.verdict).read_text()
-        shown = [p.read_text() for n in ("digest.txt", "candidates.txt") if a.against and (p := Path(a.against) / n).exists()]
-        row = verdict.validate(spark.createDataFrame([("reply", raw, "\n".join(shown) or None)], "reply_id string, raw string, excerpt string"))
-        found = row.withColumn("retry", verdict.retry_hint(F.col("problems"), F.col("status"))).first()
-        print(json.dumps(found.asDict(recursive=True), indent=1))
-        return verdict.EXIT[found["status"]]
+        return judge(spark, a)
     if a.calibrate_merge:
-        merged = calibrate.merge(calibrate.returned(spark, a.calibrate_merge))
-        print(calibrate.merge_text(merged["checks"].collect(), [r[0] for r in merged["builds"].collect()]))
+        files, missing = calibrate.returned(spark, a.calibrate_merge)
+        merged = {k: v.collect() for k, v in calibrate.merge(files).items()}
+        builds = [r["build"] for r in merged["builds"]]
+        warnings = [f"nothing to read: {p}" for p in missing]
+        print(calibrate.merge_text(merged["checks"], builds, merged["files"], merged["shares"], warnings))
         return 0
     if not a.root:
         parser().error("a folder or file is needed")
     single = a.root.endswith(".jsonl")
-    files = transcripts.read_files(spark, a.root if single else f"{a.root}/projects/*/*.jsonl").cache()
+    path = a.root if single else f"{a.root}/projects/*/*.jsonl"
+    files = transcripts.read_files(spark, path, empty=single).cache()
     model = transcripts.parse(files, store=True)
     if a.census:
         rows = formats.census(model.record_types).collect()
         print(formats.census_text(rows))
         return int(formats.disagrees(rows))
-    probing = corpus.needle_sessions(files)
+    probing = transcripts.with_needle(spark, path, corpus.PROBE_NEEDLE)
     if a.sweep or a.calibrate:
         out = corpus.sweep(model, probing, a.limit, a.siblings, calibrate.WIDTH if a.calibrate else 160)
         files_row, rates, fields = out["files"].first().asDict(), out["rates"].collect(), out["fields"].collect()
@@ -76,7 +101,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         listed = transcripts.listing(spark, a.root)
         if a.cwd:
-            listed = listed.where(F.col("project") == transcripts.mangled(a.cwd))
+            listed = transcripts.of_folder(listed, a.cwd)
         chosen = transcripts.current(listed, a.session).select(F.col("path").alias("session"))
     one = model.only(chosen)
     near = corpus.siblings(model, probing, a.siblings).join(chosen, "session", "left_semi")
@@ -90,7 +115,12 @@ def main(argv: list[str] | None = None) -> int:
         Path(a.emit, "digest.txt").write_text(excerpt.build(one).first()["excerpt"])
         found = excerpt.candidates_text(one).first()
         Path(a.emit, "candidates.txt").write_text(found["candidates"] if found else "")
-    print(report.text(row) if a.text else json.dumps(row.asDict(recursive=True), indent=1, default=str))
+    skills = capabilities.summary(spark, a.home or (str(Path(a.root).absolute().parents[2]) if single else a.root), a.cwd)
+    if a.text:
+        finder = "with" if skills["plugin_finder"] else "without"
+        print(f"{report.text(row)}\nskills: {skills['count']} installed, {finder} a plugin finder; the JSON names them")
+    else:
+        print(json.dumps(row.asDict(recursive=True) | {"capabilities": skills}, indent=1, default=str))
     return 0
 
 

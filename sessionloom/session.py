@@ -37,6 +37,19 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "sessionloom",
     return spark
 
 
+def open_session(master: str | None = None, app: str = "sessionloom") -> SparkSession:
+    """The session of the environment (as ``spark-submit`` sets it up), or a local one."""
+    builder = SparkSession.builder.appName(app)
+    submitted = os.environ.get("PYSPARK_GATEWAY_PORT") or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+    if master or not (submitted or SparkSession.getActiveSession()):
+        builder = builder.master(master or "local[*]")
+    for key, value in DEFAULTS.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 

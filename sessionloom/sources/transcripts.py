@@ -12,16 +12,22 @@ from pyspark.sql import Window as W
 
 from sessionloom.functions import pytext as P
 from sessionloom.plans.model import Model
-from sessionloom.session import ensure_checkpoint_dir
+from sessionloom.session import ensure_checkpoint_dir, present
 
 READ_CAP = 24 * 1024 * 1024
 
 
+def raw_files(spark: SparkSession, path: str) -> DataFrame:
+    """Spark's binary files, none where a path names none; a file that cannot be read is passed over."""
+    if not present(spark, path):
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    return spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(path)
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """Non-empty session files of all projects (``root/projects/*/*.jsonl``), with their folder, age
     and size; logs one level deeper belong to subagents and are not listed. Contents are not read."""
-    files = spark.read.format("binaryFile").load(f"{root}/projects/*/*.jsonl")
-    return files.where("length > 0").select(
+    return raw_files(spark, f"{root}/projects/*/*.jsonl").where("length > 0").select(
         "path",
         F.element_at(F.split("path", "/"), -2).alias("project"),
         F.regexp_replace(P.basename("path"), r"\.jsonl$", "").alias("stem"),
@@ -41,9 +47,44 @@ def current(files: DataFrame, session_id: str | None = None) -> DataFrame:
     return files.orderBy(*([(F.col("stem") == session_id).desc()] if session_id else []), *newest).limit(1)
 
 
-def read_files(spark: SparkSession, path: str, read_cap: int = READ_CAP) -> DataFrame:
-    """Files with the part that is read: all of a file, or its tail from the first whole line."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0")
+def with_needle(spark: SparkSession, path: str, needle: str) -> DataFrame:
+    """(session, modified) of the files that hold the needle anywhere, also before the part that is read."""
+    files = raw_files(spark, path)
+    return files.where((F.col("length") > 0) & F.contains("content", F.lit(needle).cast("binary"))).select(F.col("path").alias("session"), F.col("modificationTime").alias("modified"))
+
+
+def first_folder(content: Column) -> Column:
+    """The working folder that a log's first record with one names."""
+    lines = F.filter(F.split(content, "\n", -1), lambda x: F.contains(x, F.lit('"cwd"')))
+    named = F.transform(lines, lambda x: F.call_function("try_variant_get", F.try_parse_json(x), F.lit("$.cwd"), F.lit("string")))
+    return F.get(F.filter(named, lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(0))
+
+
+def of_folder(files: DataFrame, folder: str) -> DataFrame:
+    """The rows of ``listing`` that belong to a working folder: those of the project by its name, or, if
+    there is none, of the project whose newest log names the folder."""
+    named = files.where(F.col("project") == mangled(folder))
+    if not named.isEmpty():
+        return named
+    paths = [r["path"] for r in files.select("path").limit(1).collect()]
+    if not paths:
+        return named
+    root = paths[0].rsplit("/", 2)[0]
+    spark = files.sparkSession
+    found = raw_files(spark, f"{root}/*/*.jsonl").where(first_folder(F.col("content").cast("string")) == folder).orderBy(F.col("modificationTime").desc(), "path").limit(1)
+    project = found.select(F.element_at(F.split("path", "/"), -2).alias("project"))
+    return files.join(F.broadcast(project), "project", "left_semi")  # one row
+
+
+def read_files(spark: SparkSession, path: str, read_cap: int = READ_CAP, empty: bool = False) -> DataFrame:
+    """Files with the part that is read: all of a file, or its tail from the first whole line.
+
+    No path, file or line makes this fail. Empty files are left out; with ``empty``, a path under which
+    there is nothing to read is a log without records.
+    """
+    files = raw_files(spark, path).where("length > 0")
+    if empty and files.isEmpty():
+        files = spark.createDataFrame([(path, None, 0, b"")], "path string, modificationTime timestamp, length long, content binary")
     over = F.col("length") > read_cap
     tail = F.substr("content", F.greatest(F.col("length") - read_cap, F.lit(0)) + 1, F.lit(read_cap))
     lost = F.octet_length(F.substring_index(tail.cast("string"), "\n", 1)) + 1

@@ -1,12 +1,8 @@
-"""Counts over a stream of tool-call events: windows with late data, and state per session."""
+"""Counts over a stream of tool-call events: by windows, and by sessions that a pause ends."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def windowed_rates(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -21,20 +17,13 @@ def windowed_rates(events: DataFrame, window: str = "1 hour", late: str = "2 hou
     )
 
 
-def running_sessions(events: DataFrame) -> DataFrame:
-    """Running calls, failures and largest value of each user, updated with every batch."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        calls, failed, largest = state.get if state.exists else (0, 0, 0.0)
-        for rows in batches:
-            calls += len(rows)
-            failed += int((rows["event_type"] == "error").sum())
-            largest = max(largest, float(rows["value"].max()))
-        state.update((calls, failed, largest))
-        yield pd.DataFrame({"user_id": [key[0]], "calls": [calls], "failed": [failed], "largest": [largest]})
-
+def closed_sessions(events: DataFrame, pause: str = "1 day", late: str = "2 hours") -> DataFrame:
+    """Calls, failures and largest value of each session of a user. A session ends with a pause; it comes
+    out, and its state goes, once the watermark has passed that, so state is held for open sessions only."""
     return (
-        events.select("user_id", "event_type", "value")
-        .groupBy("user_id")
-        .applyInPandasWithState(update, "user_id long, calls long, failed long, largest double", "calls long, failed long, largest double", "update", GroupStateTimeout.NoTimeout)
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", late)
+        .groupBy(F.session_window("ts", pause).alias("s"), "user_id")
+        .agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("event_type") == "error").alias("failed"), F.max("value").alias("largest"))
+        .select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "calls", "failed", "largest")
     )

@@ -1,33 +1,49 @@
 """Calibration files, capabilities, streaming, the command line."""
 
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
+import pytest
 from session_records import asst, human, result, rows
 from pyspark.sql import functions as F
 
 from sessionloom import cli
-from sessionloom.operators import calibrate
+from sessionloom.operators import calibrate, corpus
 from sessionloom.plans import registry
-from sessionloom.sources import capabilities
+from sessionloom.sources import capabilities, transcripts
 from sessionloom.streaming import live
 
 
 def test_calibration_round_trip(spark, tmp_path):
     found = [{"check": "rereads", "date": "2024-05-01", "project": "a", "text": f"row {i}"} for i in range(3)]
-    out = calibrate.file_text(found, {"sessions": 4}, "1.0")
+    out = calibrate.file_text(found, {"sessions": 4, "checks": {"rereads": {"share": 0.25}}}, "1.0")
     lines = out.splitlines()
     marked = [line.replace("[ ]", "[x]", 1) if "read_all" in line else line for line in lines]
     marked = [m.replace("[ ]", "[b]", 1) if m.endswith("row 1") else m for m in marked]
     (tmp_path / "a.txt").write_text("\n".join(marked))
     (tmp_path / "b.txt").write_text(out.replace('"1.0"', '"2.0"'))
     (tmp_path / "c.txt").write_text("[q] rereads x\n[?] spill y\n")
-    files = calibrate.returned(spark, str(tmp_path))
+    files, missing = calibrate.returned(spark, [f"{tmp_path}/{n}.txt" for n in "abcd"])
+    assert missing == [f"{tmp_path}/d.txt"]
     merged = calibrate.merge(files)
     by = {r["check"]: r for r in rows(merged["checks"])}
     assert (by["rereads"]["ok"], by["rereads"]["bogus"], by["rereads"]["unjudged"], by["rereads"]["unclear"]) == (2, 1, 3, 1)
     assert by["rereads"]["fp_rate"] == 0.333 and by["spill"]["unsure"] == 1 and by["spill"]["fp_rate"] is None
     assert {r["build"] for r in rows(merged["builds"])} == {"1.0", "2.0", "unknown"}
-    assert "spans 3 builds" in calibrate.merge_text(merged["checks"].collect(), ["1.0", "2.0", "unknown"])
+    text = calibrate.merge_text(*[merged[k].collect() if k != "builds" else ["1.0", "2.0", "unknown"] for k in ("checks", "builds", "files", "shares")], ["gone"])
+    assert "span 3 builds" in text and "a.txt" in text and "3 files, 8 rows" in text and "! gone" in text and "25%, 25%" in text
+    assert calibrate.returned(spark, ["/nowhere/x"])[0].count() == 0
+
+
+def test_aggregates_carry_no_text_of_sessions():
+    good = {"sessions": 4, "checks": {"rereads": {"share": 0.25}}}
+    assert calibrate.checked(good) is good
+    for bad in ({"sessions": "secret/path"}, {"checks": {"/secret": {"share": 1}}}, {"checks": {"rereads": {"share": ["why"]}}}):
+        with pytest.raises(ValueError):
+            calibrate.checked(bad)
 
 
 def test_round_robin_covers_every_check(spark):
@@ -53,9 +69,9 @@ def test_capabilities(spark, tmp_path):
         ("user-skill", "user", "first", "does a and b"),
         ("user-skill", "user", "two", ""),
     ]
-    (tmp_path / "settings.json").write_text(json.dumps({"enabledPlugins": {"b@x": True, "a-finder@x": 1, "c": False}, "extraKnownMarketplaces": {"m": {}}}))
+    (tmp_path / "settings.json").write_text(json.dumps({"enabledPlugins": {"b@x": True, "a-plugin-finder@x": 1, "c": False}, "extraKnownMarketplaces": {"m": {}}}))
     s = capabilities.settings(spark, f"{tmp_path}/settings.json").first()
-    assert (s["plugins"], s["marketplaces"], s["finder"]) == (["a-finder@x", "b@x"], ["m"], True)
+    assert (s["plugins"], s["marketplaces"], s["finder"]) == (["a-plugin-finder@x", "b@x"], ["m"], True)
 
 
 def test_streams(spark, sf_dir):
@@ -66,11 +82,12 @@ def test_streams(spark, sf_dir):
     q.stop()
     batch = events.groupBy(F.window("ts", "1 hour"), "event_type").count()
     assert 0 < spark.table("rates").count() <= batch.count()
-    q = live.running_sessions(stream).writeStream.outputMode("update").format("memory").queryName("live").start()
+    q = live.closed_sessions(stream).writeStream.outputMode("append").format("memory").queryName("live").start()
     q.processAllAvailable()
     q.stop()
-    got = {r["user_id"]: r["calls"] for r in spark.table("live").collect()}
-    assert got == {r["user_id"]: r["count"] for r in events.groupBy("user_id").count().collect()}
+    watermark = events.selectExpr("string(max(ts) - interval 2 hours)").first()[0]
+    batch = live.closed_sessions(events).where(F.col("end") < F.lit(watermark).cast("timestamp"))
+    assert sorted(map(tuple, spark.table("live").collect())) == sorted(map(tuple, batch.collect())) != []
 
 
 def test_command_line(spark, write, tmp_path, capsys):
@@ -84,6 +101,51 @@ def test_command_line(spark, write, tmp_path, capsys):
     assert len(registry.catalog()) == len(registry.REGISTRY) == 15
 
 
+def test_command_line_verdict(tmp_path, capsys):
+    items = {"sycophancy": 1, "goal_adherence": 0, "constraint_retention": 2, "self_consistency": 0, "confusion": 0}
+    quote = {1: "the words that stand here", 2: "words that are nowhere at all"}
+    reply = {k: {"score": v, "evidence": f'it says "{quote.get(v, "")}"' if v else ""} for k, v in items.items()} | {"wasted_effort": [], "candidate_verdicts": [{"is_sycophancy": True}]}
+    (tmp_path / "reply.txt").write_text(json.dumps(reply))
+    (tmp_path / "digest.txt").write_text("These are the words that stand here.")
+    assert cli.main(["--verdict", str(tmp_path / "reply.txt"), "--against", str(tmp_path), "--text"]) == 1
+    said = capsys.readouterr().out
+    assert "verdict salvaged: 5 of 6" in said and "weak: another reading" in said and "quotations found: 1 of 2" in said and "candidates judged: 1, of them sycophancy: 1" in said and "To mend" in said
+    assert cli.main(["--verdict", str(tmp_path / "reply.txt"), "--against", str(tmp_path / "gone"), "--text"]) == 1
+    assert "quotations are not checked: there is no" in capsys.readouterr().out
+    assert cli.main(["--verdict", str(tmp_path / "gone.txt")]) == 2
+    assert "the reply cannot be read" in capsys.readouterr().out
+
+
+def test_command_line_never_raises(spark, write, tmp_path, capsys):
+    assert cli.main([str(tmp_path / "nowhere")]) == 1 and "no transcript" in capsys.readouterr().out
+    path = write("s", [human("go"), asst("x")], project="-odd-name")
+    (tmp_path / "projects" / "-odd-name" / "empty.jsonl").write_text("")
+    for name in ("empty", "gone"):
+        assert cli.main([str(tmp_path / "projects" / "-odd-name" / f"{name}.jsonl")]) == 1 and "no responses" in capsys.readouterr().out
+    assert cli.main([path]) == 0
+    assert json.loads(capsys.readouterr().out)["capabilities"]["count"] == 0
+    assert cli.main([write.root, "--sweep", "--text"]) == 0 and "1 sessions of 1 files" in capsys.readouterr().out
+    assert cli.main(["--calibrate-merge", str(tmp_path / "gone")]) == 0 and "nothing to read" in capsys.readouterr().out
+
+
+def test_needles_and_folders_over_whole_files(spark, write):
+    long = write("long", [human("app --help"), *[asst("x" * 50) for _ in range(30)]])
+    write("other", [{"type": "user", "cwd": "/home/me/work.b", "message": {"content": "hi"}}, asst("y")], project="-elsewhere")
+    files = transcripts.read_files(spark, f"{write.root}/projects/*/*.jsonl", read_cap=400)
+    assert corpus.needle_sessions(files).count() == 0  # it stands before the part that is read
+    assert [r["session"].rsplit("/", 1)[1] for r in transcripts.with_needle(spark, f"{write.root}/projects/*/*.jsonl", "--help").collect()] == [long.rsplit("/", 1)[1]]
+    listed = transcripts.listing(spark, write.root)
+    stems = lambda folder: sorted(r["stem"] for r in transcripts.of_folder(listed, folder).collect())
+    assert stems("/work/a") == ["long"] and stems("/home/me/work.b") == ["other"] and stems("/nowhere") == []
+
+
+def test_launcher(tmp_path):
+    link = tmp_path / "linked"
+    link.symlink_to(Path(cli.__file__).parents[1] / "bin" / "sessionloom")
+    done = subprocess.run([str(link), "--catalog", "--text"], capture_output=True, text=True, env=os.environ | {"PATH": f"{Path(sys.executable).parent}:{os.environ['PATH']}"})
+    assert done.returncode == 0 and "rereads" in done.stdout
+
+
 def test_command_line_refuses(spark, write, capsys):
     write("s", [human("go")])
     assert cli.main([write.root]) == 1

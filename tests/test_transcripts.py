@@ -100,7 +100,7 @@ def test_seams(load):
     assert [(s["trigger"], s["step"], s["turn"], s["summary_chars"], s["depth_before"], s["depth_after"]) for s in seams] == [("auto", 1, 1, 12, 90, 20), ("unknown", 2, 1, 6, 20, None)]
     assert [t["prompt"] for t in rows(m.turns, "turn")] == ["one", "two"]
     found = turn_checks.compaction(Context(m)).first()
-    assert found["fired"] and "70 dropped" in found["specifics"][0] and "not measured" in found["specifics"][1]
+    assert found["fired"] and "70 fewer" in found["specifics"][0] and "no response on the other side" in found["specifics"][1]
 
 
 def test_broken_lines_are_counted(load):
