@@ -136,8 +136,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
 
     ``docs`` needs ``text``; its other columns are passed through, but for three of those names,
     which give way. Null and empty texts have no words; null items and items without words have no
-    windows; a null ``item_id`` takes no part; repeated items and rows are kept. An empty
-    benchmark marks nothing; an empty table gives an empty result.
+    windows; a null ``item_id`` takes no part; repeated items and rows are kept. Very long texts and
+    items are read whole. An empty benchmark marks nothing; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     bench = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -175,15 +175,22 @@ def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns[:i], pa.array(texts, pa.string()), *part.columns[i + 1 :]], part.schema.names)
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with every run of hit words cut from its text; odd rows as in ``mark``."""
-    marked = mark(docs, benchmark, window)
-    return marked.mapInArrow(cut_spans, marked.schema).select(*docs.columns)
+    """``docs`` with every run of hit words cut from its text, all other columns as they were, whatever
+    their names; odd rows as in ``mark``."""
+    marked = mark(_carried(docs), benchmark, window)
+    cut = marked.mapInArrow(cut_spans, marked.schema)
+    return cut.select(F.col("row").withField("text", F.col("text")).alias("row")).select("row.*")
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without a hit word; odd rows as in ``mark``."""
-    return mark(docs, benchmark, window).where(F.size("hit_words") == 0).select(*docs.columns)
+    """The rows of ``docs`` without a hit word, with all their columns as they were, whatever their
+    names; odd rows as in ``mark``."""
+    return mark(_carried(docs), benchmark, window).where(F.size("hit_words") == 0).select("row.*")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -170,11 +170,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int =
     return train([r[2] for r in found], np.array([int(r[3] > 0) for r in found]))
 
 
+def accepted(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score is ``least`` at least, with all their columns as they were,
+    whatever their names. Null and empty texts have the base rate's score; rows that repeat stay or go
+    together; very long texts are read whole; an empty table gives an empty result."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return scored(rows, model).where(F.col("score") >= least).select("row.*")
+
+
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 as ``name`` (a column of that name gives way).
 
     Only ``text`` is read for it. Null and empty texts get the base rate's score; repeated rows get
-    equal scores; an empty table gives an empty result.
+    equal scores; very long texts are read whole; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,9 +6,10 @@ buckets, shuffles each bucket with Spark's ``shuffle`` (a Fisher-Yates shuffle)
 buckets end to end, which makes one random order of all records. That order is cut into shards
 of equal row counts (law ``rows``: counts are at most one apart).
 
-The hash takes in a row number besides the key, so a key or a text that a third of all rows
-share is scattered as evenly as any other. Per-bucket totals are the only thing that is
-accumulated over the whole input: one row for each bucket.
+The hash is that of the whole record, so one seed gives one order, however the input is laid out. A
+record that comes up very often takes in its row number besides, and is scattered as evenly as all
+others; a key or a text that many records share does no harm, as their other columns differ.
+Per-bucket totals are the only thing that is accumulated over the whole input: one row for each bucket.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from sessionloom.session import ensure_checkpoint_dir
 
 BUCKET_ROWS = 200_000
 BUCKET_BYTES = 64 << 20
+#: equal records that may share a bucket, and repeated records that may be broadcast (a number each)
+COPIES, BROADCAST_ROWS = 1000, 100_000
 
 
 def shuffle_shards(
@@ -36,8 +39,9 @@ def shuffle_shards(
     is bounded by rows alone. A bucket holds about ``bucket_bytes`` and ``bucket_rows`` at most,
     and is shuffled in one task's memory.
 
-    Nulls in any column, repeated rows and empty texts are records like all others. Fewer
-    records than shards leave some shards empty. An empty input gives an empty result.
+    Nulls in any column, repeated rows, empty and very long texts are records like all others. Equal
+    hashes are ordered by the records themselves. Fewer records than shards leave some shards empty.
+    An empty input gives an empty result. Columns need types that can be ordered.
     Input columns named ``shard`` or ``slot`` give way to the new ones; columns named like the
     working columns are kept, as records travel as one struct.
     """
@@ -48,8 +52,16 @@ def shuffle_shards(
     stored = records.select(
         whole.alias("record"),
         bytes_of.alias("bytes"),
-        F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias("h"),
+        F.xxhash64(F.lit(seed), whole).alias("key"),
+        F.monotonically_increasing_id().alias("row"),
     ).checkpoint()
+    often = stored.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > COPIES).select("key", F.lit(True).alias("often")).checkpoint()
+    repeated = often.count()
+    if repeated:
+        stored = stored.join(F.broadcast(often) if repeated <= BROADCAST_ROWS else often, "key", "left")
+        stored = stored.withColumn("h", F.when(F.col("often"), F.xxhash64("key", "row")).otherwise(F.col("key")))
+    else:
+        stored = stored.withColumn("h", F.col("key"))
     total = stored.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).first()
     n, held = total["n"], total["b"] or 0
     buckets = max(1, -(-n // bucket_rows), -(-held // bucket_bytes), min(n_shards, n // 1000))

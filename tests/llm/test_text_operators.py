@@ -61,6 +61,16 @@ def test_shuffle_is_uniform_and_bounded(spark):
     got = sharding.shuffle_shards(df, 4, bucket_rows=500).toPandas()
     order = got.sort_values(["shard", "slot"]).id.to_numpy()
     assert sorted(order) == list(range(6000)) and abs(np.corrcoef(order, np.arange(6000))[0, 1]) < 0.1
+    again = sharding.shuffle_shards(df.repartition(7), 4, bucket_rows=500).toPandas().sort_values(["shard", "slot"]).id.to_numpy()
+    assert (again == order).all()  # by the seed alone, not by the layout
+    assert (sharding.shuffle_shards(df, 4, seed=1, bucket_rows=500).toPandas().sort_values(["shard", "slot"]).id.to_numpy() != order).any()
+
+
+def test_records_that_repeat_very_often_are_scattered(spark):
+    df = spark.range(6000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id")).alias("id"))
+    got = sharding.shuffle_shards(df, 6, bucket_rows=300).toPandas()
+    counts = got.groupby("shard").size()
+    assert len(got) == 6000 and set(counts) == {1000} and got[got.id == 0].groupby("shard").size().between(400, 600).all()
 
 
 def test_odd_rows_in_shards(spark, odd, empty, tmp_path):
@@ -165,6 +175,8 @@ def test_odd_rows_in_quality(spark, odd, empty):
     model = quality.fit(odd, labels)
     got = quality.scored(odd, model).collect()
     assert len(got) == 8 and all(0 <= r["score"] <= 1 for r in got) and quality.scored(empty, model).count() == 0
+    named = odd.withColumnRenamed("n_words", "score").withColumnRenamed("shard", "row")
+    assert sorted(map(str, quality.accepted(named, model, 0).collect())) == sorted(map(str, named.collect())) and quality.accepted(named, model, 1.1).count() == 0
     blank = quality.fit(odd, labels.limit(0))
     assert {r["score"] for r in quality.scored(odd, blank).collect()} == {0.5}
 
@@ -202,7 +214,10 @@ def test_decontamination_as_brute_force(spark, odd, empty):
     assert rep[1]["n_hit"] == 10 and rep[1]["contaminated"] and rep[6]["items_sha256"] == hashlib.sha256(b"2,6").hexdigest()
     kept = decontaminate.remove_documents(odd, bench).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["2", "3", "4", "None"]
-    cut = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(odd, bench).collect()}
+    assert sorted(tuple(r) for r in kept if r["doc_id"]) == sorted(tuple(r) for r in odd.collect() if r["doc_id"] in (2, 3, 4))  # all columns as they were
+    spans = decontaminate.remove_spans(odd, bench)
+    assert spans.columns == odd.columns and sorted((r["n_words"] or 0, r["shard"] or "") for r in spans.collect()) == sorted((r["n_words"] or 0, r["shard"] or "") for r in odd.collect())
+    cut = {r["doc_id"]: r["text"] for r in spans.collect()}
     assert cut[1] == "one " and cut[6] == "ünï🙂 " and cut[2] is None
     assert decontaminate.report(odd, bench.limit(0)).where("contaminated").count() == 0 and decontaminate.report(empty, bench).count() == 0
 
