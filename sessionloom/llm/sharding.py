@@ -66,13 +66,15 @@ def shuffle_shards(
     n, held = total["n"], total["b"] or 0
     buckets = max(1, -(-n // bucket_rows), -(-held // bucket_bytes), min(n_shards, n // 1000))
     placed = (
-        stored.select(F.pmod(F.col("h"), F.lit(buckets)).alias("bucket"), "h", "record")
+        stored.select(F.pmod(F.col("h"), F.lit(buckets)).cast("int").alias("bucket"), "h", "record")
+        # a bucket is the partition of its number, which the shuffle's seed goes by, and is sorted by
+        # the hash first: the shuffle is the same after a retry and for every layout of the input
+        .repartitionById(buckets, F.col("bucket"))
         .groupBy("bucket")
-        # array_sort by the hash first: the shuffle then starts from the same order after a retry
         .agg(F.shuffle(F.array_sort(F.collect_list(F.struct("h", "record"))), F.lit(seed)).alias("order"))
         .select("bucket", F.posexplode("order").alias("at", "item"))
     )
-    sizes = stored.groupBy(F.pmod(F.col("h"), F.lit(buckets)).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
+    sizes = stored.groupBy(F.pmod(F.col("h"), F.lit(buckets)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
     # one row for each bucket: the only rows that meet in one task
     before = sizes.select(
         "bucket",

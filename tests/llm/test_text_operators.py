@@ -202,8 +202,8 @@ def test_decontamination_as_brute_force(spark, odd, empty):
     items = [(1, "Two three FOUR five six seven eight nine ten eleven twelve"), (2, "中文"), (3, None), (4, "..."), (None, "word"), (5, "y z y z y z y z y z"), (6, "don t")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     known = [i for i in items if i[0] is not None]
-    for block in (8 << 20, 60):  # in one block, and in several
-        got = decontaminate.mark(odd, bench, block_bytes=block).collect()
+    for sent in (8 << 20, 60):  # sent to every task, and as a table
+        got = decontaminate.mark(odd, bench, sent_bytes=sent).collect()
         assert len(got) == 8
         for r in got:
             words, hit, found = plain_hits(r["text"], known)
@@ -220,6 +220,13 @@ def test_decontamination_as_brute_force(spark, odd, empty):
     cut = {r["doc_id"]: r["text"] for r in spans.collect()}
     assert cut[1] == "one " and cut[6] == "ünï🙂 " and cut[2] is None
     assert decontaminate.report(odd, bench.limit(0)).where("contaminated").count() == 0 and decontaminate.report(empty, bench).count() == 0
+    assert decontaminate.mark(empty, bench, sent_bytes=0).count() == 0
+
+
+def test_a_benchmark_as_a_table_marks_the_same(spark, sf_dir):
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "benchmark"))
+    sent, joined = (sorted(map(str, decontaminate.mark(docs, bench, sent_bytes=n).select("doc_id", "n_words", "hit_words", "hit_items").collect())) for n in (8 << 20, 0))
+    assert sent == joined and any("hit_words=[]" not in x for x in sent)
 
 
 # ---- 8
