@@ -320,6 +320,8 @@ def score(docs: DataFrame, held_out: F.Column, order: int = ORDER, prior: float
     tokens, types = seen["n"] or 0, seen["v"]
     drop_shuffles(spark)
     asked = chunks.mapInArrow(request(order, bits), "chunk long, range long, size long, grams binary")
-    answers = asked.groupBy("range").applyInArrow(add_up, "chunk long, range long, size long, totals binary").checkpoint()
+    # one range a task, whatever the number of shuffle partitions
+    dealt = asked.repartitionById(1 << bits, F.col("range").cast("int"))
+    answers = dealt.groupBy("range").applyInArrow(add_up, "chunk long, range long, size long, totals binary").checkpoint()
     drop_shuffles(spark)  # the n-grams themselves are no longer needed
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score_chunk(order, bits, tokens, types, prior), OUT_DDL)
