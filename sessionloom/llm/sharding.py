@@ -21,7 +21,7 @@ from sessionloom.session import ensure_checkpoint_dir
 
 BUCKET_ROWS = 200_000
 BUCKET_BYTES = 64 << 20
-#: equal records that may share a bucket, and repeated records that may be broadcast (a number each)
+#: equal records that may share a bucket, and rows of two numbers that may be broadcast
 COPIES, BROADCAST_ROWS = 1000, 100_000
 
 
@@ -80,6 +80,8 @@ def shuffle_shards(
         "bucket",
         (F.sum("rows").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("rows")).alias("first"),
     )
+    if buckets <= BROADCAST_ROWS:
+        before = F.broadcast(before)
     place = F.col("first") + F.col("at")
     # shard s holds the places p with floor(p * shards / n) = s and begins at ceil(s * n / shards)
     shard = F.expr(f"cast((first + at) * {n_shards}L div {max(n, 1)}L as int)")
