@@ -28,6 +28,8 @@ SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 24 << 20
 N_GRAMS = (3, 4)
 THRESHOLD = 0.3
+#: bytes of texts whose features are made at a time in training
+TRAIN_SLICE = 1 << 17
 INVERSE = np.uint64(pow(int(bytekit.PRIME), -1, 1 << 64))
 
 _powers: dict[np.uint64, np.ndarray] = {}
@@ -97,7 +99,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.base + total / np.maximum(count, 1), -500, 500)))
 
 
-def train(texts: list[str | None], labels: np.ndarray, epochs: int = 3, rate: float = 0.2, seed: int = 1) -> Model:
+def train(texts: pa.Array, labels: np.ndarray, epochs: int = 3, rate: float = 0.2, seed: int = 1) -> Model:
     """Fit vectors and softmax layer; without rows of both classes the model is the base rate."""
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     base = float(np.log(share / (1 - share)))
@@ -105,7 +107,8 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 3, rate: fl
         return Model(np.zeros(BUCKETS, np.float32), base)
     rng = np.random.default_rng(seed)
     rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for part in bytekit.slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), "text"):
+    # small slices, as all this is the driver's memory
+    for part in bytekit.slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", TRAIN_SLICE):
         kinds, n = features(part.column(0))
         for r in range(n):
             ids, counts = np.unique(np.concatenate([b[lo[r] : lo[r + 1]] for b, lo in kinds]), return_counts=True)
@@ -165,9 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int =
             break
         last = h
     if last is None:
-        return train([], np.zeros(0, np.int64))
-    found = sorted((r["h"], r["doc_id"], r["text"], r["quality"]) for r in order.where(F.col("h") <= last).na.fill("", ["text"]).collect())
-    return train([r[2] for r in found], np.array([int(r[3] > 0) for r in found]))
+        return train(pa.array([], pa.string()), np.zeros(0, np.int64))
+    found = order.where(F.col("h") <= last).select("h", "doc_id", "text", (F.col("quality") > 0).cast("long").alias("label")).toArrow()
+    found = found.take(np.lexsort((found.column("doc_id").to_numpy(), found.column("h").to_numpy()))).combine_chunks()
+    return train(found.column("text").combine_chunks().cast(pa.string()), found.column("label").to_numpy())
 
 
 def accepted(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
