@@ -308,7 +308,7 @@ def per_document(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.R
 
 def add_blocks(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(zstandard.decompress(x.as_py()), "<u4").astype(np.int64) for x in table.column("counts"))
-    return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+    return pa.table({"block": table.column("block")[:1], "counts": pa.array([zstandard.compress(total.astype("<i8").tobytes(), 1)], pa.binary())})
 
 
 def common_shingles(rows: DataFrame) -> np.ndarray:
@@ -316,7 +316,7 @@ def common_shingles(rows: DataFrame) -> np.ndarray:
     sketch = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.int64).reshape(-1, SKETCH_BLOCK)
     added = rows.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(add_blocks, "block int, counts binary")
     for r in added.collect():  # one row for each block, whatever the corpus
-        sketch[r["block"]] = np.frombuffer(r["counts"], "<i8")
+        sketch[r["block"]] = np.frombuffer(zstandard.decompress(r["counts"]), "<i8")
     return high(sketch.ravel())
 
 
