@@ -6,10 +6,13 @@ as the next one's docs. All stages but the last return the columns of ``document
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionloom.llm import bpe_matrix, decontaminate, jaccard_join, quality
 from sessionloom.llm.queries import table, vocabulary
+from sessionloom.session import ensure_checkpoint_dir
 
 NEAR = jaccard_join.Rule(words=5, share=80)
 
@@ -62,8 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, without the files in between."""
+    """All stages over ``documents``; what a stage keeps is stored in the shared folder for the next one,
+    which may read it more than once."""
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *before, (_, last) = STAGES
+    for name, stage in before:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return last(spark, docs, sf_dir)
