@@ -436,7 +436,7 @@ def test_pipeline_as_its_parts(spark, sf_dir):
     import pyarrow as pa
 
     good = [(d, t) for d, t in rows.items() if fitted.score(pa.array([t]))[0] >= 0.3]
-    first = {d for d, _, c in plain_components(good) if d == c}
+    first = {d for d, _, c in brute_force(good, 5, 80) if d == c}
     windows = decontaminate.Windows([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
     want = {d for d in first if not windows.scan(pa.array([rows[d]]))[3]}
     got = corpus_pipeline.run(spark, sf_dir).collect()
