@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionloom.llm import bpe_heap, bpe_matrix, decontaminate, html_text, jaccard_join, language_model, neighbours, quality, sharding, warc
+from sessionloom.llm import bpe_heap, bpe_matrix, decontaminate, html_text, jaccard_join, language_model, line_dedup, neighbours, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(records, "page_id", "long")
 
 
+#: batches in which a table's files are added
+LINE_BATCHES = 6
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cleaned = line_dedup.drop_common(docs, line_dedup.batches_of(docs, LINE_BATCHES))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -91,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
+    "op12_line_dedup": op12_line_dedup,
 }
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -143,4 +154,18 @@ ORACLES: dict[str, str] = {
                CAST(coalesce(i.n, 0) AS BIGINT) AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
         FROM dw LEFT JOIN hit_words h USING (doc_id) LEFT JOIN items i USING (doc_id)
     """,
+    "op12_line_dedup": rf"""
+        WITH d AS (
+            SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), l AS (
+            SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS p FROM d
+        ), k AS (
+            SELECT doc_id, p, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {LOWER}) AS key FROM l
+        ), common AS (
+            SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+        )
+        SELECT k.doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
+        FROM k LEFT JOIN common c ON c.key = k.key GROUP BY k.doc_id
+    """,
 }
