@@ -34,9 +34,13 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def stripped(line: Column) -> Column:
+    return F.btrim(line, F.lit(SPACE))
+
+
 def key_of(line: Column) -> Column:
     """A line as it is compared: without white space around it, A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
+    return F.translate(stripped(line), UPPER, LOWER)
 
 
 def hashes(value: Column, names: list[str]) -> list[Column]:
@@ -114,14 +118,13 @@ def without_lines(docs: DataFrame, common: DataFrame, text: str = "text", least:
     of_text = ["text_high", "text_low"]
     few = common.count() <= BROADCAST_LINES
     lines = docs.select(*hashes(whole, of_text), F.posexplode(lines_of(whole)).alias("at", "line"))
-    keyed = lines.withColumn("key", key_of(F.col("line"))).where(F.char_length("key") >= least).select(*of_text, "at", *hashes(F.col("key"), HASH))
+    keyed = lines.where(F.char_length(stripped(F.col("line"))) >= least).select(*of_text, "at", *hashes(key_of(F.col("line")), HASH))
     hits = keyed.join(F.broadcast(common) if few else common, HASH)
     # equal texts lose the same lines
     drops = hits.groupBy(*of_text).agg(F.array_sort(F.collect_set("at")).alias("drop"))
-    kept_columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept")]
-    rows = docs.select(F.struct(*kept_columns).alias("row"), whole.alias("text"), *hashes(whole, of_text)).join(drops, of_text, "left")
-    n_dropped = F.coalesce(F.size("drop"), F.lit(0))
-    rows = rows.withColumn("lines", lines_of(F.col("text")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *hashes(whole, of_text)).join(drops, of_text, "left")
+    of_row = F.col("row").getField(text)
+    rows = rows.withColumn("lines", lines_of(of_row))
 
     def piece(i: Column) -> Column:
         """The lines between the dropped ones number i - 1 and i."""
@@ -129,11 +132,12 @@ def without_lines(docs: DataFrame, common: DataFrame, text: str = "text", least:
         return F.slice("lines", begins + 1, F.coalesce(F.get("drop", i), F.size("lines")) - begins)
 
     left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("drop")), piece)), "\n")
+    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept")]
     return rows.select(
-        "row.*",
+        *others,
         F.size("lines").cast("long").alias("n_lines"),
-        F.when(F.col("drop").isNull(), 0).otherwise(n_dropped).cast("long").alias("n_dropped"),
-        F.when(F.col("drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(left).alias("kept"),
+        F.coalesce(F.array_size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("drop").isNull(), F.coalesce(of_row, F.lit(""))).otherwise(left).alias("kept"),
     )
 
 
