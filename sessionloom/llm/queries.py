@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionloom.llm import bpe_heap, bpe_matrix, decontaminate, html_text, jaccard_join, language_model, line_dedup, neighbours, quality, sharding, warc
+from sessionloom.llm import bpe_heap, bpe_matrix, decontaminate, html_text, jaccard_join, language_model, line_dedup, neighbours, periodic_runs, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,35 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(records, "page_id", "long")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents; a tenth of them, chosen by the checksum of the id, has its words made periodic first."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
+    docs = docs.withColumn("a", F.when(F.size("words") > 0, F.expr("g % size(words)")))
+    docs = docs.withColumn("p", F.expr("1 + (size(words) - a) div (3 + g % 8)"))
+    looped = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    found = periodic_runs.with_runs(docs.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(looped, " ")).otherwise(F.col("text")).alias("text")))
+
+    def first_by_exponent(x, y):
+        mine, other = x["length"] * y["period"], y["length"] * x["period"]
+        tie = F.when(x["start"] != y["start"], F.when(x["start"] < y["start"], -1).otherwise(1)).otherwise(F.when(x["period"] < y["period"], -1).otherwise(1))
+        return F.when(mine > other, -1).when(mine < other, 1).otherwise(tie)
+
+    best = F.get(F.array_sort("runs", first_by_exponent), F.lit(0))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[n].cast("string") for n in ("start", "length", "period")]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 #: batches in which a table's files are added
 LINE_BATCHES = 6
 
@@ -101,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_line_dedup": op12_line_dedup,
 }
 
