@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sessionloom.llm import bpe_heap, bpe_matrix, decontaminate, html_text, jaccard_join, language_model, line_dedup, neighbours, periodic_runs, quality, sharding, warc
+from sessionloom.llm import bpe_heap, bpe_matrix, collocations, decontaminate, html_text, jaccard_join, language_model, line_dedup, neighbours, periodic_runs, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,6 +119,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -132,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_line_dedup": op12_line_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -198,4 +203,34 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE c.key IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN common c ON c.key = k.key GROUP BY k.doc_id
     """,
+    "op13_collocations": rf"""
+        WITH pieces AS (
+            SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {LOWER}) AS t FROM documents)
+        ), w AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+        ), f AS (
+            SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase, count(*) AS f
+            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM w, (VALUES (1), (2), (3), (4)) s(k) WHERE len(w) >= k)
+            GROUP BY ALL
+        ), totals AS (
+            SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang
+        ), c AS (
+            SELECT lang, k, phrase, f, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 30
+        ), cuts AS (
+            SELECT c.lang, c.phrase, c.f AS a, j, l.f AS l, r.f AS r, (CAST(2000000 AS HUGEINT) * c.f) // (l.f + r.f) AS score
+            FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+            JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:j], ' ')
+            JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[j + 1:], ' ')
+        ), weakest AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+        ), inside AS (
+            SELECT lang, array_to_string(ws[p:p + m - 1], ' ') AS phrase, max(f) AS held
+            FROM (SELECT *, unnest(range(1, k - m + 2)) AS p FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY 1, 2
+        ), ranked AS (
+            SELECT x.lang, x.phrase, a, l, r, score, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, x.phrase) AS rank
+            FROM weakest x LEFT JOIN inside i ON i.lang = x.lang AND i.phrase = x.phrase WHERE held IS NULL OR 100 * held < 80 * a
+        )
+        SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }
