@@ -133,12 +133,13 @@ def without_lines(docs: DataFrame, common: DataFrame, text: str = "text", least:
 
     left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("drop")), piece)), "\n")
     others = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept")]
-    return rows.select(
+    out = F.struct(
         *others,
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.array_size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("drop").isNull(), F.coalesce(of_row, F.lit(""))).otherwise(left).alias("kept"),
     )
+    return rows.select(out.alias("out")).select("out.*")
 
 
 def batches_of(docs: DataFrame, n: int) -> list[DataFrame]:
