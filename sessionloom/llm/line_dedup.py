@@ -114,14 +114,16 @@ def without_lines(docs: DataFrame, common: DataFrame, text: str = "text", least:
     line, and its ``kept`` is empty. All other columns come back as they were; columns of those three
     names give way. Repeated rows come back each time; an empty table gives an empty result.
     """
+    ensure_checkpoint_dir(docs.sparkSession)
     whole = F.col(f"`{text}`")
     of_text = ["text_high", "text_low"]
     few = common.count() <= BROADCAST_LINES
     lines = docs.select(*hashes(whole, of_text), F.posexplode(lines_of(whole)).alias("at", "line"))
     keyed = lines.where(F.char_length(stripped(F.col("line"))) >= least).select(*of_text, "at", *hashes(key_of(F.col("line")), HASH))
     hits = keyed.join(F.broadcast(common) if few else common, HASH)
-    # equal texts lose the same lines
-    drops = hits.groupBy(*of_text).agg(F.array_sort(F.collect_set("at")).alias("drop"))
+    # equal texts lose the same lines; stored, as a text that very many rows share is split in the join
+    # only if neither side of it comes straight from an aggregation
+    drops = hits.groupBy(*of_text).agg(F.array_sort(F.collect_set("at")).alias("drop")).checkpoint()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *hashes(whole, of_text)).join(drops, of_text, "left")
     of_row = F.col("row").getField(text)
     rows = rows.withColumn("lines", lines_of(of_row))
