@@ -80,34 +80,47 @@ def main(argv: list[str] | None = None) -> int:
         parser().error("a folder or file is needed")
     single = a.root.endswith(".jsonl")
     path = a.root if single else f"{a.root}/projects/*/*.jsonl"
-    files = transcripts.read_files(spark, path, empty=single).cache()
-    model = transcripts.parse(files, store=True)
+    if not (a.census or a.sweep or a.calibrate):
+        return report_one(spark, a, single, path)
+    model = transcripts.parse(transcripts.read_files(spark, path, empty=single), store=True)
     if a.census:
         rows = formats.census(model.record_types).collect()
         print(formats.census_text(rows))
         return int(formats.disagrees(rows))
     probing = transcripts.with_needle(spark, path, corpus.PROBE_NEEDLE)
-    if a.sweep or a.calibrate:
-        out = corpus.sweep(model, probing, a.limit, a.siblings, calibrate.WIDTH if a.calibrate else 160)
-        files_row, rates, fields = out["files"].first().asDict(), out["rates"].collect(), out["fields"].collect()
-        if a.calibrate:
-            rows = calibrate.select(out["findings"], model.sessions).collect()
-            print(calibrate.file_text(rows, {"sessions": files_row["sessions"], "checks": {r["check"]: {"share": r["share"]} for r in rates}}))
-        else:
-            print(corpus.sweep_text(files_row, rates, fields) if a.text else json.dumps({"files": files_row, "rates": [r.asDict() for r in rates], "fields": [r.asDict() for r in fields]}, indent=1))
-        return 0
+    out = corpus.sweep(model, probing, a.limit, a.siblings, calibrate.WIDTH if a.calibrate else 160)
+    files_row, rates, fields = out["files"].first().asDict(), out["rates"].collect(), out["fields"].collect()
+    if a.calibrate:
+        rows = calibrate.select(out["findings"], model.sessions).collect()
+        print(calibrate.file_text(rows, {"sessions": files_row["sessions"], "checks": {r["check"]: {"share": r["share"]} for r in rates}}))
+    else:
+        print(corpus.sweep_text(files_row, rates, fields) if a.text else json.dumps({"files": files_row, "rates": [r.asDict() for r in rates], "fields": [r.asDict() for r in fields]}, indent=1))
+    return 0
+
+
+def report_one(spark: SparkSession, a: argparse.Namespace, single: bool, path: str) -> int:
+    """The report of one session. The files' names, ages and sizes say which it is; it is parsed, and the newest
+    files that may hold siblings, and no others."""
     if single:
-        chosen = model.sessions.select("session")
+        chosen = [a.root if "://" in a.root else str(Path(a.root).absolute())]
     else:
         listed = transcripts.listing(spark, a.root)
         if a.cwd:
             listed = transcripts.of_folder(listed, a.cwd)
-        chosen = transcripts.current(listed, a.session).select(F.col("path").alias("session"))
-    one = model.only(chosen)
-    near = corpus.siblings(model, probing, a.siblings).join(chosen, "session", "left_semi")
-    row = report.report(Context(one, near, model)).first()
+        chosen = [r["path"] for r in transcripts.current(listed, a.session).select("path").collect()]  # one row
+    probing = transcripts.newest_with_needle(spark, path, corpus.PROBE_NEEDLE, a.siblings + 1) if a.siblings else None
+    near = [r["session"] for r in probing.collect()] if probing is not None else []  # so many rows at most
+    wanted = list({transcripts.plain_path(p): p for p in [*near, *chosen]}.values())
+    files = transcripts.read_files(spark, wanted if wanted else path, empty=single)
+    model = transcripts.parse(files if wanted else files.limit(0), store=True)
+    row = why = None
+    if chosen:
+        mine = model.sessions.where(F.col("path").endswith(transcripts.plain_path(chosen[0]))).select("session")
+        one = model.only(mine).stored()
+        pairs = corpus.siblings(model, probing, a.siblings).join(mine, "session", "left_semi") if probing is not None else None
+        row = report.report(Context(one, pairs, model)).first()
+        why = None if row else report.refused(one).first()
     if row is None:
-        why = report.refused(one).first()
         print(json.dumps({"error": why["reason"] if why else "no transcript found", "hint": "pass --session <stem> for another one"}))
         return 1
     if a.emit:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
@@ -10,9 +12,12 @@ from sessionloom.operators.calls import in_order
 from sessionloom.plans import registry
 from sessionloom.plans.model import Model
 from sessionloom.plans.registry import Context
+from sessionloom.session import ensure_checkpoint_dir
 
 FINGERPRINT_CALLS, SIBLINGS, PROBE_NEEDLE = 10, 12, "--help"
 QUANTILES, ACCURACY = (0.5, 0.9), 10_000
+#: values of a key that one task sorts, bins of a histogram, keys whose bounds may be broadcast
+OPEN_VALUES, BINS, BROADCAST_KEYS = 1_000_000, 1024, 100_000
 
 
 def fingerprints(model: Model) -> DataFrame:
@@ -81,13 +86,17 @@ def base_rates(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rates, distribution(findings.select("check", F.explode("metrics").alias("field", "value")), ["check", "field"])
 
 
-def distribution(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def distribution(values: DataFrame, keys: list[str], value: str = "value", open_values: int = OPEN_VALUES) -> DataFrame:
     """n, nonzero, min, nearest-rank median and p90, and max of a value by keys; nulls are left out.
 
-    A summary of each key's values (``percentile_approx``, whose rank is off by a stated share at
-    most) says between which two values a rank lies. Values below are counted, and only those in
-    between are sorted: a small share of a key's values, whatever their number.
+    Rows are read twice and never dealt out by key. A mergeable summary of each key's values
+    (``percentile_approx``, whose rank is off by a stated share at most) says between which two values a
+    rank lies; then values below are counted, and those between, each different one once, all summed
+    before they leave their task. Where so many lie between that one task should not sort them, a
+    histogram of their range is summed, and only the bin with the rank stays open, until it is small.
     """
+    spark = values.sparkSession
+    ensure_checkpoint_dir(spark)
     rows = values.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("key"), F.col(value).alias("v"))
     margin = 4 / ACCURACY
     around = F.array(*[F.lit(q + side * margin) for q in QUANTILES for side in (-1, 1)])
@@ -96,34 +105,66 @@ def distribution(values: DataFrame, keys: list[str], value: str = "value") -> Da
     )
     # where the margin is less than a few ranks, all values are few enough to be sorted
     few = F.col("n") < 2 * ACCURACY
-    bounds = groups.select(
-        "key", "n", "nonzero", "min", "max", *[c for i in range(len(QUANTILES)) for c in (F.when(few, F.col("min")).otherwise(F.col("near")[2 * i]).alias(f"low{i}"), F.when(few, F.col("max")).otherwise(F.col("near")[2 * i + 1]).alias(f"high{i}"))]
-    )
-    placed = rows.join(bounds, "key")
-    out = bounds.select("key", "n", "nonzero", "min", "max")
-    for i, q in enumerate(QUANTILES):
-        below = placed.where(F.col("v") < F.col(f"low{i}")).groupBy("key").agg(F.count(F.lit(1)).alias("below"))
-        counted = placed.where(F.col("v").between(F.col(f"low{i}"), F.col(f"high{i}"))).groupBy("key", "n", "v").agg(F.count(F.lit(1)).alias("c")).join(below, "key", "left")
-        upto = F.coalesce("below", F.lit(0)) + F.sum("c").over(W.partitionBy("key").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
-        rank = F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n")))
-        found = counted.withColumn("upto", upto).where(F.col("upto") > rank).groupBy("key").agg(F.min("v").alias(f"at{i}"))
-        out = out.join(found, "key")
-    return out.select("key.*", "n", "nonzero", "min", F.col("at0").alias("median"), F.col("at1").alias("p90"), "max")
-
-
-def sweep(model: Model, probing: DataFrame | None = None, limit: int = 0, sibling_limit: int = SIBLINGS, width: int = 160) -> dict[str, DataFrame]:
+    ranks = [
+        F.struct(
+            F.lit(i).alias("i"),
+            F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n"))).alias("rank"),
+            F.when(few, F.col("min")).otherwise(F.col("near")[2 * i]).alias("low"),
+            F.when(few, F.col("max")).otherwise(F.col("near")[2 * i + 1]).alias("high"),
+        )
+        for i, q in enumerate(QUANTILES)
+    ]
+    bounds = groups.select("key", "n", "nonzero", "min", "max", F.array(*ranks).alias("ranks")).checkpoint()
+    held = bounds.agg(F.count(F.lit(1)).alias("keys"), F.max("n").alias("n")).first()
+    sides = bounds.select("key", "ranks")
+    placed = rows.join(F.broadcast(sides) if held["keys"] <= BROADCAST_KEYS else sides, "key").select("key", "v", F.inline("ranks"))
+    inside = F.when(F.col("v") >= F.col("low"), F.col("v"))
+    counted = placed.where("v <= high").groupBy("key", "i", "rank", inside.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    most = 2 * margin * (held["n"] or 0)
+    while most > open_values:
+        counted = _narrowed(counted.checkpoint())
+        most = counted.where("v IS NOT NULL").groupBy("key", "i").count().agg(F.max("count")).first()[0]
+    upto = F.sum("c").over(W.partitionBy("key", "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow))
+    found = counted.withColumn("upto", upto).where("upto > rank AND v IS NOT NULL").groupBy("key").agg(*[F.min(F.when(F.col("i") == i, F.col("v"))).alias(f"at{i}") for i in range(len(QUANTILES))])
+    return bounds.join(found, "key").select("key.*", "n", "nonzero", "min", F.col("at0").alias("median"), F.col("at1").alias("p90"), "max")
+
+
+def _narrowed(counted: DataFrame, bins: int = BINS) -> DataFrame:
+    """Counts of open values (those below are under null) with all but the bin of the rank closed.
+
+    The range from the least to the greatest open value is cut in equal bins, and always in two parts at least.
+    """
+    open_ = counted.where("v IS NOT NULL")
+    edges = open_.groupBy("key", "i").agg(F.min("v").cast("double").alias("least"), F.max("v").cast("double").alias("greatest"))
+    part = F.when(F.col("v") >= F.col("greatest"), F.lit(bins)).otherwise(F.floor((F.col("v") - F.col("least")) / (F.col("greatest") - F.col("least")) * bins))
+    binned = counted.join(F.broadcast(edges), ["key", "i"]).withColumn("bin", F.when(F.col("v").isNull(), F.lit(-1)).otherwise(F.least(part, F.lit(bins))).cast("int"))
+    sums = binned.groupBy("key", "i", "rank", "bin").agg(F.sum("c").alias("c"))
+    upto = F.sum("c").over(W.partitionBy("key", "i").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow))  # as many rows as bins
+    chosen = sums.withColumn("upto", upto).where("upto > rank").groupBy("key", "i").agg(F.min("bin").alias("chosen"))
+    kept = binned.join(F.broadcast(chosen), ["key", "i"]).where("bin <= chosen")
+    return kept.groupBy("key", "i", "rank", F.when(F.col("bin") == F.col("chosen"), F.col("v")).alias("v")).agg(F.sum("c").alias("c"))
+
+
+def sweep(model: Model, probing: DataFrame | None = None, limit: int = 0, sibling_limit: int = SIBLINGS, width: int = 160, observe: Callable[[DataFrame], None] | None = None) -> dict[str, DataFrame]:
     """Every session through every check: ``files`` (one row), ``findings``, ``rates``, ``fields``.
 
     ``limit`` keeps the newest files only (0: all); siblings are always drawn from the whole corpus.
+    What is judged is chosen and stored once, and so are the findings; all counts are made from these.
+    ``observe`` is given the stored findings before anything is made of them.
     """
+    ensure_checkpoint_dir(model.sessions.sparkSession)
     considered = model
     if limit:
         considered = model.only(model.sessions.orderBy(F.col("modified").desc(), "session").limit(limit))
     judged, files = population(considered)
-    chosen = considered.only(judged)
-    near = siblings(model, probing, sibling_limit).join(judged, "session", "left_semi") if probing is not None and sibling_limit else None
-    found = registry.run(Context(chosen, near, model), width)
-    rates, fields = base_rates(found)
+    judged = judged.checkpoint()
+    chosen = considered.only(judged).stored()
+    near = siblings(model, probing, sibling_limit).join(judged, "session", "left_semi").checkpoint() if probing is not None and sibling_limit else None
+    found, counts = registry.run_apart(Context(chosen, near, model), width)
+    if observe is not None:
+        observe(found)
+    rates = counts.withColumn("share", P.share(F.col("fired"), F.greatest("sessions", F.lit(1))))
+    fields = distribution(found.select("check", F.explode("metrics").alias("field", "value")), ["check", "field"])
     return {"files": files.withColumn("found", F.lit(model.sessions.count())), "findings": found, "rates": rates, "fields": fields}
 
 

@@ -216,12 +216,13 @@ GROUNDING = f"""WITH {CALLS}, n AS (SELECT session, max(step) + 1 AS n FROM call
         SELECT session, quarter, coalesce(ground, 0) AS ground, coalesce(edits, 0) AS edits, round_even(coalesce(ground, 0) / greatest(1, coalesce(edits, 0)), 2) AS ratio FROM q LEFT JOIN u USING (session, quarter)"""
 
 PARTIAL_USE = f"""WITH {CALLS}, d AS (SELECT *, split_part(path, '/', 2) AS base FROM dump_rows WHERE path <> ''), p AS (
-            SELECT d.session, d.call_no, d.path, d.result_chars AS chars, d.turn, l.step AS proof_step, l.call_no AS proof_no, strpos(l.command, base) - 1 AS before, l.command AS line,
-                   least(length(l.command), greatest(before + length(base), before + 35)) AS last, greatest(last - 70, 0) AS start,
-                   CASE WHEN l.tool = 'Read' THEN '{calls.READ_PROOF}' ELSE '`' || CASE WHEN length(line) <= 70 THEN line ELSE CASE WHEN start > 0 THEN '…' ELSE '' END || substr(line, start + 1, last - start) || CASE WHEN last < length(line) THEN '…' ELSE '' END END || '` later searched it' END AS proof
+            SELECT d.session, d.call_no, d.path, d.result_chars AS chars, d.turn, l.step AS proof_step, l.call_no AS proof_no, l.tool, l.command, base,
+                   string_split(left(l.command, strpos(l.command, base) - 1), ' ') AS lw, string_split(substr(l.command, strpos(l.command, base) + length(base)), ' ') AS rw, lw[:len(lw) - 1] AS b, rw[2:] AS a
             FROM d JOIN calls l ON l.session = d.session AND l.step > d.step
             WHERE (l.tool = 'Read' AND l.path = d.path AND l.windowed) OR (contains(l.command, 'grep') AND contains(l.command, base))
-        ) SELECT session, call_no, path, chars, turn, proof_step, proof FROM p QUALIFY row_number() OVER (PARTITION BY session, call_no ORDER BY proof_no) = 1"""
+        ) SELECT session, call_no, path, chars, turn, proof_step, CASE WHEN tool = 'Read' THEN '{calls.READ_PROOF}' ELSE '`' || CASE WHEN len(b) > 4 THEN '… ' ELSE '' END
+              || array_to_string(list_concat(b[greatest(len(b) - 3, 1):], list_concat([lw[len(lw)] || base || rw[1]], a[:4])), ' ') || CASE WHEN len(a) > 4 THEN ' …' ELSE '' END || '` later searched it' END AS proof
+        FROM p QUALIFY row_number() OVER (PARTITION BY session, call_no ORDER BY proof_no) = 1"""
 
 REREADS = f"WITH {CALLS}, {READ_PAIRS} SELECT session, path, call_no, outcome FROM read_pairs"
 
@@ -250,7 +251,7 @@ ORACLES: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY session ORDER BY markers DESC, turn) AS rank FROM marked WHERE candidate) WHERE rank <= 6""",
     "dispute_phrases": f"""SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(CASE doc_id % 5 WHEN 0 THEN 'I disagree. ' WHEN 1 THEN 'No ENTIENDO nada: ' WHEN 2 THEN 'bist du sicher? ' ELSE '' END || coalesce(text, ''), '{PHRASES}')) AS disputes
         FROM documents GROUP BY lang""",
-    "reply_markers": f"""SELECT doc_id, concat_ws(';', {", ".join(f"CASE WHEN regexp_matches({c}, '{phrases(p)}') THEN '{name}' END" for name, p, c in (("opens by agreeing", AGREE_OPEN, strip("said")), ("explicit reversal", REVERSAL, "said"), ("claim softened to non-claim", HEDGE, "said")))}) AS markers
+    "reply_markers": f"""SELECT doc_id, concat_ws(';', {", ".join(f"CASE WHEN regexp_matches({c}, '{phrases(p)}') THEN '{name}' END" for name, p, c in (("agrees first", AGREE_OPEN, strip("said")), ("takes its word back", REVERSAL, "said"), ("weakens its claim", HEDGE, "said")))}) AS markers
         FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'You''re absolutely right. ' WHEN 1 THEN 'Well, it depends. ' WHEN 2 THEN 'Sorry, let me correct that. ' ELSE 'Done. ' END || text AS said FROM documents)""",
     "looks_english": f"WITH {TESTED} SELECT session, english FROM english",
     "specification_by_session": f"""WITH {TALK}, r AS (
@@ -270,7 +271,7 @@ ORACLES: dict[str, str] = {
         FROM s GROUP BY session""",
     "tool_ledger": f"WITH {CALLS}, {SHOWN} SELECT * FROM ledger",
     "tools_lines": f"WITH {CALLS}, {SHOWN} SELECT * FROM tool_lines",
-    "scrub_positions": "SELECT conv_id, turn, 'As I said in [position removed] ([position removed]), ' || text AS scrubbed FROM conversations",
+    "scrub_positions": "SELECT conv_id, turn, 'As I said in [place] ([place]), ' || text AS scrubbed FROM conversations",
     "clean_boilerplate": f"""SELECT conv_id, turn, {strip("'  ' || text || '   ' || role || '    '")} AS cleaned FROM conversations""",
     "session_stats": f"""WITH {CALLS}, c AS (SELECT session, count(*) AS calls, max(step) + 1 AS responses, count(DISTINCT turn) AS turns FROM calls GROUP BY 1)
         SELECT session, turns, responses, calls, CAST(depth AS BIGINT) AS depth_tokens, (SELECT count(*) FROM seams s WHERE s.session = c.session) AS compactions, 'm1' AS model,

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from sessionloom.session import store_by
+
 CALLS = (
     "session string, call_no long, step long, turn long, tool string, path string, command string, key string, "
     "line_offset long, line_limit long, windowed boolean, written long, file_path string, ok boolean, declined boolean, "
@@ -35,6 +37,10 @@ class Model:
         """Keep the parsed tables (memory, then disk) when many checks read them."""
         return Model(*[x.cache() if x is not None else None for x in (self.sessions, self.turns, self.steps, self.calls, self.seams, self.record_types)])
 
+    def stored(self) -> Model:
+        """The tables in the shared folder, dealt out by session once for all that reads them."""
+        return Model(*[store_by(x, "session") if x is not None else None for x in (self.sessions, self.turns, self.steps, self.calls, self.seams, self.record_types)])
+
     def only(self, sessions: DataFrame) -> Model:
         """The model of some sessions (a table with ``session``)."""
         keep = sessions.select("session").distinct()

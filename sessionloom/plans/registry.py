@@ -7,12 +7,21 @@ A check's frame has ``session``, ``fired`` (boolean), ``summary`` (string), ``sp
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from threading import Timer
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from sessionloom.functions import pytext as P
 from sessionloom.plans.model import Model
+from sessionloom.session import ensure_checkpoint_dir
+
+#: checks whose jobs run at a time
+SIDE_BY_SIDE = 6
 
 FINDINGS = "session string, check string, fired boolean, line string, metrics map<string,double>, specifics array<string>, error string"
 FIXED = ("session", "fired", "summary", "specifics")
@@ -80,30 +89,67 @@ def findings(context: Context, name: str, width: int = 160) -> DataFrame:
     )
 
 
-def run(context: Context, width: int = 160, names: list[str] | None = None, isolate: bool = False) -> DataFrame:
-    """Findings of all checks.
+def failed(context: Context, name: str, error: Exception) -> DataFrame:
+    """A row for each session that says that a check could not be made."""
+    kind = type(error).__name__
+    return context.model.sessions.select(
+        "session",
+        F.lit(name).alias("check"),
+        F.lit(False).alias("fired"),
+        P.check_line(F.lit(REGISTRY[name].label), F.lit(f"check failed ({kind})")).alias("line"),
+        F.create_map().cast("map<string,double>").alias("metrics"),
+        F.array().cast("array<string>").alias("specifics"),
+        F.lit(f"{kind}: {error}"[:500]).alias("error"),
+    )
+
 
-    A plan that cannot be built gives an error row for each session instead of breaking the rest.
-    With ``isolate`` each check is also run on its own first, so that an error that only shows when
-    rows are read is caught in the same way.
-    """
-    out = None
+def run(context: Context, width: int = 160, names: list[str] | None = None) -> DataFrame:
+    """Findings of all checks, as one plan; one that cannot be built gives error rows and breaks no other."""
+    parts = []
     for name in names or list(REGISTRY):
         try:
-            part = findings(context, name, width)
-            if isolate:
-                part = part.cache()
-                part.count()
+            parts.append(findings(context, name, width))
+        except Exception as error:  # a new check must not break the rest
+            parts.append(failed(context, name, error))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def run_apart(context: Context, width: int = 160, names: list[str] | None = None, seconds: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Findings of all checks, stored, and their rates: each check is a job of its own over the model, and
+    these run side by side.
+
+    A check that fails, also while rows are read, or that takes more than ``seconds`` and is cancelled by
+    its tag, gives error rows; the others are run once and keep what they found. The rates (``check``,
+    ``sessions``, ``fired``, ``errors``) are observed as findings are written, so nothing is read for them.
+    """
+    names = names or list(REGISTRY)
+    spark = context.model.sessions.sparkSession
+    sc, run_tag = spark.sparkContext, f"checks-{uuid4().hex}"
+    ensure_checkpoint_dir(spark)
+
+    def counted(part: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        stored = part.observe(seen, F.count(F.lit(1)).alias("sessions"), F.count_if("fired").alias("fired"), F.count_if(F.col("error").isNotNull()).alias("errors")).checkpoint()
+        return stored, seen.get
+
+    def one(name: str) -> tuple[DataFrame, dict]:
+        sc.addJobTag(f"{run_tag}-{name}")
+        late = Timer(seconds, sc.cancelJobsWithTag, [f"{run_tag}-{name}"]) if seconds else None
+        try:
+            if late:
+                late.start()
+            return counted(findings(context, name, width))
         except Exception as error:  # a new check must not break the rest
-            kind = type(error).__name__
-            part = context.model.sessions.select(
-                "session",
-                F.lit(name).alias("check"),
-                F.lit(False).alias("fired"),
-                P.check_line(F.lit(REGISTRY[name].label), F.lit(f"check failed ({kind})")).alias("line"),
-                F.create_map().cast("map<string,double>").alias("metrics"),
-                F.array().cast("array<string>").alias("specifics"),
-                F.lit(f"{kind}: {error}"[:500]).alias("error"),
-            )
-        out = part if out is None else out.unionByName(part)
-    return out
+            if late:
+                late.cancel()
+            sc.clearJobTags()
+            return counted(failed(context, name, error))
+        finally:
+            if late:
+                late.cancel()
+            sc.clearJobTags()
+
+    with ThreadPoolExecutor(min(len(names), SIDE_BY_SIDE)) as pool:
+        done = list(pool.map(inheritable_thread_target(spark)(one), names))
+    rates = spark.createDataFrame([(n, int(seen["sessions"]), int(seen["fired"]), int(seen["errors"])) for n, (_, seen) in zip(names, done)], "check string, sessions long, fired long, errors long")
+    return reduce(DataFrame.unionByName, [part for part, _ in done]), rates

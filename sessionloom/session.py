@@ -6,9 +6,10 @@ import gc
 import os
 import tempfile
 import time
+from uuid import uuid4
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -18,6 +19,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # duplicate JSON keys: the last one wins, as in most readers
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # noting where each column expression was written takes longer than making it
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -68,6 +71,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def store_by(df: DataFrame, key: str) -> DataFrame:
+    """A frame as a stored table in the shared folder, in sorted buckets of a key, as many as a shuffle has
+    partitions: what groups, joins or orders by that key moves no row."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"stored_{uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    df.repartition(n, key).write.option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
 def present(spark: SparkSession, path: str) -> bool:
     """Whether a path or glob names any file, in whatever store Spark reads it from."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

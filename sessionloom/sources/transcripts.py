@@ -12,14 +12,21 @@ from pyspark.sql import Window as W
 
 from sessionloom.functions import pytext as P
 from sessionloom.plans.model import Model
-from sessionloom.session import ensure_checkpoint_dir, present
+from sessionloom.session import ensure_checkpoint_dir, present, store_by
 
 READ_CAP = 24 * 1024 * 1024
 
 
-def raw_files(spark: SparkSession, path: str) -> DataFrame:
+def plain_path(path: str) -> str:
+    """A path without the scheme that Spark puts before it."""
+    return path.split(":", 1)[-1].lstrip("/") if ":" in path.split("/", 1)[0] else path.lstrip("/")
+
+
+def raw_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Spark's binary files, none where a path names none; a file that cannot be read is passed over."""
-    if not present(spark, path):
+    if isinstance(path, list):
+        path = [p for p in path if present(spark, p)]
+    if not path or isinstance(path, str) and not present(spark, path):
         return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     return spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(path)
 
@@ -47,12 +54,25 @@ def current(files: DataFrame, session_id: str | None = None) -> DataFrame:
     return files.orderBy(*([(F.col("stem") == session_id).desc()] if session_id else []), *newest).limit(1)
 
 
-def with_needle(spark: SparkSession, path: str, needle: str) -> DataFrame:
+def with_needle(spark: SparkSession, path: str | list[str], needle: str) -> DataFrame:
     """(session, modified) of the files that hold the needle anywhere, also before the part that is read."""
     files = raw_files(spark, path)
     return files.where((F.col("length") > 0) & F.contains("content", F.lit(needle).cast("binary"))).select(F.col("path").alias("session"), F.col("modificationTime").alias("modified"))
 
 
+def newest_with_needle(spark: SparkSession, path: str, needle: str, limit: int) -> DataFrame:
+    """The newest ``limit`` rows of ``with_needle``. Files are looked into from the newest on, four times as
+    many each time, until there are so many, so the rest of a large corpus is not read."""
+    files = raw_files(spark, path).where("length > 0").select("path", "modificationTime", "length").orderBy(F.col("modificationTime").desc(), "path")
+    n, asked = files.count(), 16 * limit
+    while True:
+        paths = [r["path"] for r in files.limit(asked).select("path").collect()] if asked < n else path
+        found = with_needle(spark, paths, needle).orderBy(F.col("modified").desc(), "session").limit(limit).checkpoint()
+        if asked >= n or found.count() >= limit:
+            return found
+        asked *= 4
+
+
 def first_folder(content: Column) -> Column:
     """The working folder that a log's first record with one names."""
     lines = F.filter(F.split(content, "\n", -1), lambda x: F.contains(x, F.lit('"cwd"')))
@@ -62,21 +82,21 @@ def first_folder(content: Column) -> Column:
 
 def of_folder(files: DataFrame, folder: str) -> DataFrame:
     """The rows of ``listing`` that belong to a working folder: those of the project by its name, or, if
-    there is none, of the project whose newest log names the folder."""
+    there is none, of the project whose newest log names the folder; one file of each project is read."""
     named = files.where(F.col("project") == mangled(folder))
     if not named.isEmpty():
         return named
-    paths = [r["path"] for r in files.select("path").limit(1).collect()]
+    newest = files.groupBy("project").agg(F.max_by("path", F.struct("modified", "path")).alias("path"), F.max("modified").alias("modified"))
+    paths = [r["path"] for r in newest.select("path").collect()]  # one for each project
     if not paths:
         return named
-    root = paths[0].rsplit("/", 2)[0]
     spark = files.sparkSession
-    found = raw_files(spark, f"{root}/*/*.jsonl").where(first_folder(F.col("content").cast("string")) == folder).orderBy(F.col("modificationTime").desc(), "path").limit(1)
+    found = raw_files(spark, paths).where(first_folder(F.col("content").cast("string")) == folder).orderBy(F.col("modificationTime").desc(), "path").limit(1)
     project = found.select(F.element_at(F.split("path", "/"), -2).alias("project"))
     return files.join(F.broadcast(project), "project", "left_semi")  # one row
 
 
-def read_files(spark: SparkSession, path: str, read_cap: int = READ_CAP, empty: bool = False) -> DataFrame:
+def read_files(spark: SparkSession, path: str | list[str], read_cap: int = READ_CAP, empty: bool = False) -> DataFrame:
     """Files with the part that is read: all of a file, or its tail from the first whole line.
 
     No path, file or line makes this fail. Empty files are left out; with ``empty``, a path under which
@@ -84,7 +104,7 @@ def read_files(spark: SparkSession, path: str, read_cap: int = READ_CAP, empty:
     """
     files = raw_files(spark, path).where("length > 0")
     if empty and files.isEmpty():
-        files = spark.createDataFrame([(path, None, 0, b"")], "path string, modificationTime timestamp, length long, content binary")
+        files = spark.createDataFrame([(path if isinstance(path, str) else path[0], None, 0, b"")], "path string, modificationTime timestamp, length long, content binary")
     over = F.col("length") > read_cap
     tail = F.substr("content", F.greatest(F.col("length") - read_cap, F.lit(0)) + 1, F.lit(read_cap))
     lost = F.octet_length(F.substring_index(tail.cast("string"), "\n", 1)) + 1
@@ -158,11 +178,14 @@ def parse(files: DataFrame, store: bool = False) -> Model:
     """The model of ``read_files`` (``session``, ``content``, ``truncated``, ``dropped_bytes``).
 
     With ``store`` the placed records and the tables go to the shared folder: a corpus is parsed
-    once, later plans begin at files and stay short, and a lost executor costs no second parse.
+    once, later plans begin at files and stay short, and a lost executor costs no second parse. All
+    tables are dealt out by session there, and what is later grouped, joined or put in order by it
+    moves no row.
     """
+    spark = files.sparkSession
     if store:
-        ensure_checkpoint_dir(files.sparkSession)
-    kept = (lambda df: df.checkpoint()) if store else (lambda df: df)
+        ensure_checkpoint_dir(spark)
+    kept = (lambda df: store_by(df, "session")) if store else (lambda df: df)
     every = records(files)
     record_types = kept(every.groupBy("session", "kind").agg(F.count(F.lit(1)).alias("n")))
     good = every.where(~F.col("kind").isin("<unparsed>", "<not-an-object>"))
@@ -210,7 +233,7 @@ def parse(files: DataFrame, store: bool = False) -> Model:
         .withColumn("asked", F.sum(F.col("prompt").isNotNull().cast("long")).over(so_far))
         .withColumn("carried", F.last(F.expr("nullif(own_depth, 0)"), ignorenulls=True).over(so_far))
     )
-    placed = kept(placed)
+    placed = placed.checkpoint() if store else placed
     merged = F.aggregate(
         F.slice("texts", 2, F.greatest(F.size("texts") - 1, F.lit(0))),
         F.element_at("texts", 1),
@@ -236,7 +259,7 @@ def parse(files: DataFrame, store: bool = False) -> Model:
     calls = kept(_calls(placed, steps))
     seams = kept(_seams(placed, steps, turns))
     sessions = summarise(files.select("session", "path", "modified", "truncated", "dropped_bytes"), heads, turns, steps, calls, seams)
-    return Model(kept(sessions), turns, steps, calls, seams, record_types)
+    return Model(kept(sessions), kept(turns), steps, calls, seams, record_types)
 
 
 def _calls(placed: DataFrame, steps: DataFrame) -> DataFrame:

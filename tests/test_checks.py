@@ -267,7 +267,7 @@ def test_excerpt_is_blind_and_complete(spark, write):
         log += [human(f"as in turn {i} I said"), asst(f"reply {i}", [(f"c{i}", "Read", {"file_path": "/a.py", "offset": 1, "limit": 9})]), result(f"c{i}", "x" * 1500)]
     m = transcripts.load(spark, write("s", log), store=True)
     text = excerpt.build(m).first()["excerpt"]
-    assert text.count("### Exchange") == 12 and excerpt.GAP in text and "turn 3" not in text and "[position removed]" in text
+    assert text.count("### Exchange") == 12 and excerpt.GAP in text and "turn 3" not in text and "[place]" in text
     assert "E1  Read  /a.py [lines 1-10]  (1k)" in text
     ledger = rows(excerpt.ledger(m, 5), "at")
     assert len(ledger) == 6 and ledger[-1]["row"] == excerpt.LEDGER_CUT

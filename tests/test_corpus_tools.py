@@ -140,10 +140,26 @@ def test_needles_and_folders_over_whole_files(spark, write):
     assert stems("/work/a") == ["long"] and stems("/home/me/work.b") == ["other"] and stems("/nowhere") == []
 
 
+def test_a_report_parses_its_session_and_its_siblings_only(spark, write, capsys, monkeypatch):
+    for i in range(12):
+        write(f"probe{i}", [human("go"), asst("x", [("a", "Bash", {"command": f"app{i} --help"})])], mtime=1_700_000_000 + i)
+        write(f"plain{i}", [human("go"), asst("y")], mtime=1_700_000_100 + i)
+    parsed, parse = [], transcripts.parse
+    monkeypatch.setattr(transcripts, "parse", lambda files, store=False: parsed.append(sorted(r["path"].rsplit("/", 1)[1] for r in files.collect())) or parse(files, store))
+    assert cli.main([write.root, "--session", "plain3", "--siblings", "2"]) == 0
+    assert parsed == [["plain3.jsonl", "probe10.jsonl", "probe11.jsonl", "probe9.jsonl"]]
+    assert json.loads(capsys.readouterr().out)["session"].endswith("plain3.jsonl")
+    looked, look = [], transcripts.with_needle
+    monkeypatch.setattr(transcripts, "with_needle", lambda spark, path, needle: looked.append(path) or look(spark, path, needle))
+    got = transcripts.newest_with_needle(spark, f"{write.root}/projects/*/*.jsonl", "--help", 1)
+    assert [r["session"].rsplit("/", 1)[1] for r in got.collect()] == ["probe11.jsonl"]
+    assert len(looked) == 1 and len(looked[0]) == 16  # of 24 files
+
+
 def test_launcher(tmp_path):
     link = tmp_path / "linked"
     link.symlink_to(Path(cli.__file__).parents[1] / "bin" / "sessionloom")
-    done = subprocess.run([str(link), "--catalog", "--text"], capture_output=True, text=True, env=os.environ | {"PATH": f"{Path(sys.executable).parent}:{os.environ['PATH']}"})
+    done = subprocess.run(["sh", str(link), "--catalog", "--text"], capture_output=True, text=True, env=os.environ | {"PATH": f"{Path(sys.executable).parent}:{os.environ['PATH']}"})
     assert done.returncode == 0 and "rereads" in done.stdout
 
 
