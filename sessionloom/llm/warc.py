@@ -18,6 +18,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from hashlib import sha1
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,8 @@ SCHEMA = (
     "content_type string, content_length long, block_digest string, payload_digest string, source_payload_digest string, "
     "digest_ok boolean, complete boolean, http_status int, n_links long, n_chars long, block binary"
 )
+#: bytes of blocks that are handed on at once, and what a row counts besides
+OUT_BYTES, ROW_BYTES = 32 << 20, 512
 FIELDS = [x.split() for x in SCHEMA.split(", ")]
 ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
 
@@ -263,7 +266,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).selectExpr("path", "content AS warc")
 
 
-def derivatives(records: DataFrame, key: str, key_type: str = "string", with_block: bool = True) -> DataFrame:
+def derivatives(records: DataFrame, key: str, key_type: str = "string", with_block: bool = True, out_bytes: int = OUT_BYTES) -> DataFrame:
     """All derivatives of the records in ``warc`` of each row, with the row's ``key`` column.
 
     Null and empty ``warc`` values and records other than responses give nothing; repeated records
@@ -271,24 +274,30 @@ def derivatives(records: DataFrame, key: str, key_type: str = "string", with_blo
     not fit its payload is reported in ``digest_ok`` (null where the source claims none), not
     repaired, a block shorter than its Content-Length in ``complete``. Bytes of a gzip file that
     cannot be unpacked are a row of type ``damaged`` with their number in ``content_length``, and
-    reading goes on behind them. Very long records are read whole, one member at a time. An empty
-    table gives an empty result; other columns are not read.
+    reading goes on behind them. Very long records are read whole, one member at a time, and results are
+    handed on after about ``out_bytes`` of blocks. An empty table gives an empty result; other columns
+    are not read.
     """
     fields = [(n, t) for n, t in FIELDS if with_block or n != "block"]
 
+    def told(batch: pa.RecordBatch, keys: list[int], found: list[dict]) -> pa.RecordBatch:
+        columns = [batch.column(key).take(pa.array(keys, pa.int64()))]
+        columns += [pa.array([x[n] for x in found], ARROW[t]) for n, t in fields]
+        return pa.RecordBatch.from_arrays(columns, [key, *(n for n, _ in fields)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                keys, found = [], []
-                for k, raw in enumerate(part.column("warc")):
-                    for data, lost in unpacked(raw.as_py() or b""):
-                        new = [y for x in parse(data) for y in derive(*x)] + ([damage(lost)] if lost else [])
-                        found += new
-                        keys += [k] * len(new)
-                columns = [part.column(key).take(pa.array(keys, pa.int64()))]
-                columns += [pa.array([x[n] for x in found], ARROW[t]) for n, t in fields]
-                yield pa.RecordBatch.from_arrays(columns, [key, *(n for n, _ in fields)])
+            keys, found, held = [], [], 0
+            for k, raw in enumerate(batch.column("warc")):
+                for data, lost in unpacked(raw.as_py() or b""):
+                    for row in chain((y for x in parse(data) for y in derive(*x)), [damage(lost)] if lost else []):
+                        keys.append(k)
+                        found.append(row)
+                        held += ROW_BYTES + len(row["block"] or b"")
+                        if held >= out_bytes:  # within a row, too: one archive may unpack to any size
+                            yield told(batch, keys, found)
+                            keys, found, held = [], [], 0
+            yield told(batch, keys, found)
 
     return records.select(key, "warc").mapInArrow(run, f"`{key}` {key_type}, " + ", ".join(f"{n} {t}" for n, t in fields))
 

@@ -349,6 +349,14 @@ def test_query_gives_records_that_can_be_written(spark, sf_dir):
     assert fields and all(b"source-warc-record-id: " in b and b"http-content-type: " in b for b in fields)
 
 
+def test_results_are_handed_on_by_their_bytes(spark):
+    """Many records in one row come out in several batches, and are the same records."""
+    made = b"".join(warc.response(i, f"http://a/{i}", "<p>" + "word " * 200) for i in range(60))
+    df = spark.createDataFrame([("k", made), ("l", gzip.compress(made)), ("m", b"")], "k string, warc binary").coalesce(1)
+    rows = lambda out: sorted(tuple(r[c] for c in ("k", "record_id", "block_digest")) for r in warc.derivatives(df, "k", out_bytes=out).collect())
+    assert rows(5000) == rows(1 << 26) and len(rows(5000)) == 240
+
+
 def test_archive_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "<title>T &amp; U</title><p>x<br>y <a href='/z'>z</a>"), (2, None, None), (3, "http://b/", "é")], "page_id long, url string, html string")
     rows = warc.derivatives(warc.responses(pages), "page_id", "long")
