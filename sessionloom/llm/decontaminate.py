@@ -21,8 +21,9 @@ from sessionloom.llm import bytekit
 from sessionloom.session import ensure_checkpoint_dir
 
 WINDOW = 10
-#: text of a benchmark that is sent to every task; its windows take about forty times that there
-SENT_BYTES = 8 << 20
+#: text of a benchmark that is sent to every task; its windows take some 150 times that there, and two
+#: seconds a MiB to build
+SENT_BYTES = 1 << 20
 #: bits of the sieve for larger ones, as a power of two, and how they are cut to be put together
 SIEVE_BITS, SIEVE_BLOCK = 24, 1 << 18
 
