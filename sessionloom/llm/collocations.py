@@ -1,7 +1,8 @@
 """Phrase collocations by position bitmaps that are shifted, intersected and counted.
 
 Texts are packed into stored shards: the distinct words of a shard, and the word at each of its positions.
-A position is left free between two pieces of text, so no phrase crosses one. In a shard every word has
+A position is left free between two pieces of text and for a word that is rare everywhere, so no phrase
+crosses one. In a shard every word has
 a bitmap of its positions, compressed to its non-empty blocks of ``BITS`` positions. The bitmap of a phrase's
 ends, shifted by one position and intersected with a word's bitmap, is that of the phrase with the
 word behind it, and its bits are its occurrences. Phrases are extended depth-first, some first words
@@ -9,7 +10,9 @@ at a time, so that a task holds the bitmaps of few of them. Counts are summed ov
 
 Phrases of one more word are counted in each round. A phrase is only as frequent as its parts, so only
 ends of phrases that are frequent over all shards are kept before the last extension. Every shard
-learns which those are from a sieve of fixed size; what it lets through besides is counted and found rare.
+learns which those are from a sieve of fixed size. A round counts hashes first, sent as compressed sorted
+differences, which makes the sieve of its phrases; then the phrases that pass it are counted as they are
+written, so what a sieve lets through besides is found rare.
 """
 
 from __future__ import annotations
@@ -32,9 +35,11 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 #: a phrase goes if one that holds it has this share (percent) of its occurrences
 COVERED = 80
 #: text of a shard, positions of a block, blocks of bitmaps that are extended at once
-SHARD_BYTES, BITS, AT_ONCE = 4 << 20, 16, 1 << 16
+SHARD_BYTES, BITS, AT_ONCE = 1 << 20, 16, 1 << 15
 #: bits of the sieve, as a power of two, and of the blocks in which it is put together
 SIEVE_BITS, SIEVE_BLOCK = 26, 1 << 20
+#: bits of a hash that are sent, hashes that a task holds before it sends them, shards for each range of hashes
+HASH_BITS, HELD, SHARDS_A_RANGE = 36, 1 << 22, 8
 #: parts into which a language's phrases are dealt before they are ranked
 SALTS = 32
 
@@ -45,31 +50,59 @@ WORD[[0x20, 9]] = False
 STEP = np.uint64(0x9FB21C651E98DF25)
 
 
-def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards of texts: ``langs`` and ``words`` (lists side by side, each pair once) and ``at``, the
-    number of the word at each position, -1 between pieces."""
-    for batch in batches:
-        for part in bytekit.slices(batch, "text", SHARD_BYTES):
-            data, offsets = bytekit.flat(part.column("text"))
-            data = bytekit.LOWER[data]
-            starts, ends = bytekit.words(WORD[data], offsets)
-            if not len(starts):
-                continue
-            row = bytekit.row_of(bytekit.row_bounds(starts, offsets))
-            piece = np.cumsum(BREAK[data])[starts]
-            apart = np.zeros(len(starts), np.int64)
-            apart[1:] = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])
-            where, word = bytekit.distinct_spans(data, starts, ends)
-            lang = part.column("lang").dictionary_encode()
-            pairs, first, number = np.unique(lang.indices.to_numpy()[row].astype(np.int64) * len(where) + word, return_index=True, return_inverse=True)
-            place = np.arange(len(starts)) + np.cumsum(apart)
-            at = np.full(place[-1] + 1, -1, np.int32)
-            at[place] = number
-            raw = data.tobytes()
-            words = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-            langs = lang.dictionary.take(pa.array(pairs // len(where)))
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (langs, pa.array(words, pa.string()), pa.array(at))]
-            yield pa.RecordBatch.from_arrays(lists, ["langs", "words", "at"])
+SHARD = "langs array<string>, totals array<long>, n int, of binary, words binary, size int, at binary"
+
+
+def packer(sieve: bytes | None = None):
+    """Texts to shards: the ``langs`` and their words in all (``totals``); ``n`` different words with a space
+    behind each (``words``), most frequent first, and the number of each one's language (``of``); and for
+    ``size`` positions the number of the word there, from 1 on, 0 where none is (``at``). Words that do not
+    pass the sieve are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in bytekit.slices(batch, "text", SHARD_BYTES):
+                data, offsets = bytekit.flat(part.column("text"))
+                data = bytekit.LOWER[data]
+                starts, ends = bytekit.words(WORD[data], offsets)
+                if not len(starts):
+                    continue
+                row = bytekit.row_of(bytekit.row_bounds(starts, offsets))
+                piece = np.cumsum(BREAK[data])[starts]
+                apart = np.zeros(len(starts), np.int64)
+                apart[1:] = (piece[1:] != piece[:-1]) | (row[1:] != row[:-1])
+                where, word = bytekit.distinct_spans(data, starts, ends)
+                lang = part.column("lang").dictionary_encode()
+                code = lang.indices.to_numpy()[row].astype(np.int64)
+                pairs, first, number, count = np.unique(code * len(where) + word, return_index=True, return_inverse=True, return_counts=True)
+                order = np.argsort(-count, kind="stable")
+                of, first = pairs[order] // len(where), first[order]
+                raw = data.tobytes()
+                words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+                new = np.empty(len(order), np.int64)
+                new[order] = np.arange(1, len(order) + 1)
+                if sieve is not None:
+                    plain = pa.array(words, pa.binary()).cast(pa.string())
+                    good = passes(np.frombuffer(sieve, np.uint8), word_hashes(lang.dictionary.take(pa.array(of)), plain))
+                    new = np.where(good, np.cumsum(good), 0)[new - 1]
+                    of, words = of[good], [w for w, g in zip(words, good.tolist()) if g]
+                place = np.arange(len(starts)) + np.cumsum(apart)
+                at = np.zeros(place[-1] + 1, np.int64)
+                at[place] = new[number]
+                cells = [lang.dictionary.to_pylist(), np.bincount(code, minlength=len(lang.dictionary)).tolist(), len(words), squeezed(of), b"".join([w + b" " for w in words]), len(at), squeezed(at)]
+                types = [pa.list_(pa.string()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, types)], ["langs", "totals", "n", "of", "words", "size", "at"])
+
+    return run
+
+
+def unpacked(batch: pa.RecordBatch, r: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """A shard's words with their languages, side by side, and its word numbers by position, -1 where none is."""
+    n, of, words, size, at = (batch.column(c)[r].as_py() for c in ("n", "of", "words", "size", "at"))
+    data = np.frombuffer(words, np.uint8)
+    ends = np.flatnonzero(data == 0x20) - np.arange(n)
+    plain = pa.StringArray.from_buffers(n, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data[data != 0x20]))
+    return batch.column("langs")[r].values.take(pa.array(expanded(of, n))), plain, expanded(at, size) - 1
 
 
 def string_hashes(strings: pa.Array) -> np.ndarray:
@@ -90,33 +123,100 @@ def phrase_hashes(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sieve_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's part of the sieve of its phrases (``lang``, ``phrase``, ``size``: all of one size)."""
-    places = []
-    for batch in batches:
-        size = batch.column("size")[0].as_py() if batch.num_rows else 0
-        if size:
-            data, offsets = bytekit.flat(batch.column("phrase"))
-            starts, ends = bytekit.words(data != 0x20, offsets)
-            lang = bytekit.mix(np.zeros(0, np.uint64)) if not len(starts) else np.repeat(string_hashes(batch.column("lang")), size)
-            hashes = bytekit.mix(bytekit.span_hash(data, starts, ends) + STEP * lang).reshape(-1, size)
-            places.append(np.unique(phrase_hashes([hashes[:, i] for i in range(size)]) >> np.uint64(64 - SIEVE_BITS)))
-    if places:
-        at = np.unique(np.concatenate(places)).astype(np.int64)
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Small numbers of 32 bits, compressed by their bytes' places."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def expanded(data: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(data, 4 * n, "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its counts or ``most``."""
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    return keys[order][first], np.minimum(np.add.reduceat(counts[order], first), most) if len(first) else counts
+
+
+SENT = "range int, n int, hashes binary, counts binary"
+
+
+def sender(size: int, sieves: list[bytes], least: int, ranges: int):
+    """Shards to hashes of their phrases of ``size`` words with their counts (``least`` at most), cut at
+    the bounds of ``ranges``."""
+
+    def sent(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        of = keys * ranges >> HASH_BITS
+        edges = np.searchsorted(of, np.arange(ranges + 1))
+        rows: list[tuple] = []
+        for r, a, b in zip(range(ranges), edges.tolist(), edges[1:].tolist()):
+            if a < b:
+                # a range spans fewer than 2^32 hashes; the first difference is from its lower bound
+                rows.append((r, b - a, squeezed(np.diff(keys[a:b], prepend=-(-(r << HASH_BITS) // ranges))), squeezed(counts[a:b])))
+        columns = list(zip(*rows)) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["range", "n", "hashes", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = [np.frombuffer(x, np.uint8) for x in sieves]
+        held: list[tuple] = []
+        for batch in batches:
+            for r in range(batch.num_rows):
+                langs, words, at = unpacked(batch, r)
+                hashes = word_hashes(langs, words)
+                for rows, count in phrases_of(at, hashes, size, bits):
+                    held.append(((phrase_hashes([hashes[rows[:, i]] for i in range(size)]) >> np.uint64(64 - HASH_BITS)).astype(np.int64), count))
+                if sum(len(k) for k, _ in held) > HELD:
+                    held = [summed(*(np.concatenate(x) for x in zip(*held)), least)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield sent(*held.pop())
+        if held:
+            yield sent(*summed(*(np.concatenate(x) for x in zip(*held)), least))
+
+    return run
+
+
+def adder(least: int, ranges: int):
+    """The part of the sieve that a range's frequent hashes make, in blocks of packed bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        waiting: list[tuple] = []
+        for batch in batches:
+            for r, n, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("range", "n", "hashes", "counts"))):
+                waiting.append((np.cumsum(expanded(hashes, n)) + -(-(r << HASH_BITS) // ranges), expanded(counts, n)))
+            if sum(len(k) for k, _ in waiting) > HELD:
+                total = summed(*(np.concatenate(x) for x in zip(total, *waiting)), least)
+                waiting = []
+        keys, counts = summed(*(np.concatenate(x) for x in zip(total, *waiting)), least)
+        at = np.unique(keys[counts >= least] >> (HASH_BITS - SIEVE_BITS))
         for block in np.unique(at // SIEVE_BLOCK).tolist():
             bits = np.zeros(SIEVE_BLOCK, bool)
             bits[at[at // SIEVE_BLOCK == block] % SIEVE_BLOCK] = True
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
+    return run
+
 
 def either(table: pa.Table) -> pa.Table:
     out = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table.column("bits")])
     return pa.table({"block": table.column("block")[:1], "bits": pa.array([out.tobytes()], pa.binary())})
 
 
-def sieve_of(phrases: DataFrame) -> bytes:
-    """The sieve of all phrases of a table, whatever their number: ``SIEVE_BITS`` says its size."""
-    parts = phrases.mapInArrow(sieve_blocks, "block int, bits binary").groupBy("block").applyInArrow(either, "block int, bits binary")
+def sieve_of(shards: DataFrame, size: int, sieves: list[bytes], least: int, ranges: int) -> bytes:
+    """The sieve of the phrases of ``size`` words that occur ``least`` times over all shards, whatever
+    their number: ``SIEVE_BITS`` says its size."""
+    return gathered(shards.mapInArrow(sender(size, sieves, least, ranges), SENT), least, ranges)
+
+
+def ranges_for(n: int) -> int:
+    """A power of two, so that no range spans more than 32 bits of a hash."""
+    return 1 << max(8, n.bit_length())
+
+
+def gathered(sent: DataFrame, least: int, ranges: int) -> bytes:
+    parts = sent.groupBy("range").applyInArrow(adder(least, ranges), "block int, bits binary").groupBy("block").applyInArrow(either, "block int, bits binary")
     out = np.zeros(((1 << SIEVE_BITS) // SIEVE_BLOCK, SIEVE_BLOCK // 8), np.uint8)
     for r in parts.collect():  # one row for each block of the sieve
         out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
@@ -184,21 +284,22 @@ def phrases_of(at: np.ndarray, hashes: np.ndarray, size: int, sieves: list[np.nd
     """The phrases of ``size`` words of a shard whose parts pass the sieves, a few first words at a time:
     their words' numbers, a row each, and how often they occur.
 
-    ``sieves``: of one word, two words and so on, one less than ``size``.
+    ``sieves``: of one word, two words and so on; with one of ``size`` words, the phrases pass that, too.
     """
     known = len(hashes)
-    # whether a phrase of 1, 2 ... words that passes ends at a position
+    if not known:
+        return
     own = np.where(at >= 0, hashes[at], 0)
+    # ends[j]: whether a phrase of j + 1 words that passes ends at a position; the first words are hashed first
     ends, whole = [], at >= 0
-    value = own
     for j, sieve in enumerate(sieves):
         if j:
             whole = np.append(False, whole[:-1]) & (at >= 0)
-            # the words before are hashed first
-            value = phrase_hashes([np.append(np.zeros(j - i, np.uint64), own[: len(own) - (j - i)]) for i in range(j + 1)])
+        value = phrase_hashes([np.append(np.zeros(j - i, np.uint64), own[: len(own) - (j - i)]) for i in range(j + 1)])
         ends.append(whole & passes(sieve, value) & (ends[-1] if ends else True))
-    first = Bitmaps(at, ends[0], known)
-    levels = [Bitmaps(at, ends[min(j, size - 2)], known) for j in range(1, size)]
+    marked = ends if len(ends) == size else [*ends, ends[-1] if ends else at >= 0]
+    first = Bitmaps(at, marked[0], known)
+    levels = [Bitmaps(at, marked[j], known) for j in range(1, size)]
     order = np.argsort(first.word, kind="stable")
     word, block, mask = first.word[order], first.block[order], first.mask[order]
     edges = np.append(np.flatnonzero(np.diff(word, prepend=-1)), len(word))
@@ -207,9 +308,8 @@ def phrases_of(at: np.ndarray, hashes: np.ndarray, size: int, sieves: list[np.nd
         # first words whose bitmaps have so many blocks together, or one of more
         j = max(i + 1, int(np.searchsorted(edges, edges[i] + AT_ONCE, side="right")) - 1)
         here = slice(edges[i], edges[j])
-        roots = word[edges[i:j]]
         phrase = np.repeat(np.arange(j - i), np.diff(edges[i : j + 1]))
-        state = (roots[:, None], phrase, block[here], mask[here])
+        state = (word[edges[i:j]][:, None], phrase, block[here], mask[here])
         for level in levels:
             state = extended(*state, level, known)
         if len(state[0]):
@@ -218,22 +318,18 @@ def phrases_of(at: np.ndarray, hashes: np.ndarray, size: int, sieves: list[np.nd
 
 
 def counter(size: int, sieves: list[bytes]):
-    """Shards to rows of ``lang``, ``phrase``, ``n``: the phrases of ``size`` words."""
+    """Shards to rows of ``lang``, ``phrase``, ``n``: the phrases of ``size`` words that pass the sieves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [np.frombuffer(x, np.uint8) for x in sieves]
+        names = ["lang", "phrase", "n"]
         for batch in batches:
             for r in range(batch.num_rows):
-                langs, words = (batch.column(n)[r].values for n in ("langs", "words"))
-                at = batch.column("at")[r].values.to_numpy()
-                if size == 1:
-                    found = [(np.arange(len(words))[:, None], np.bincount(at[at >= 0], minlength=len(words)))]
-                else:
-                    found = phrases_of(at, word_hashes(langs, words), size, bits)
-                for rows, count in found:
-                    text = [words.take(pa.array(rows[:, i])) for i in range(size)]
-                    phrase = pc.binary_join_element_wise(*text, " ") if size > 1 else text[0]
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(rows[:, 0])), phrase, pa.array(count)], ["lang", "phrase", "n"])
+                langs, words, at = unpacked(batch, r)
+                for rows, count in phrases_of(at, word_hashes(langs, words), size, bits):
+                    each = [words.take(pa.array(rows[:, i])) for i in range(size)]
+                    phrase = pc.binary_join_element_wise(*each, " ") if size > 1 else each[0]
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(rows[:, 0])), phrase, pa.array(count)], names)
 
     return run
 
@@ -244,19 +340,19 @@ def frequent(docs: DataFrame, text: str, lang: str, longest: int, least: int) ->
     spark = docs.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/shards-{uuid4().hex}"
     plain = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    plain.mapInArrow(pack, "langs array<string>, words array<string>, at array<int>").write.parquet(folder)
-    shards = spark.read.parquet(folder)
-    tables, sieves, totals = [], [], None
+    tasks = plain.select(F.spark_partition_id()).distinct().count()
+    every, send = packer(), sender(1, [], least, ranges_for(tasks))
+    sieves, tables = [gathered(plain.mapInArrow(lambda batches: send(every(batches)), SENT), least, ranges_for(tasks))], []
+    plain.mapInArrow(packer(sieves[0]), SHARD).write.option("compression", "zstd").parquet(folder)
+    shards = spark.read.schema(SHARD).parquet(folder)
+    ranges = ranges_for(shards.count() // SHARDS_A_RANGE)
     for size in range(1, longest + 1):
+        if size > 1:
+            sieves.append(sieve_of(shards, size, sieves, least, ranges))
         counted = shards.mapInArrow(counter(size, sieves), "lang string, phrase string, n long")
-        summed = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-        if size == 1:
-            summed = summed.checkpoint()
-            totals = summed.groupBy("lang").agg(F.sum("f").alias("n"))
-        found = summed.where(F.col("f") >= least).select("lang", "phrase", F.lit(size).alias("size"), "f").checkpoint()
-        tables.append(found)
-        if size < longest:
-            sieves.append(sieve_of(found))
+        found = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        tables.append(found.select("lang", "phrase", F.lit(size).alias("size"), "f").checkpoint())
+    totals = shards.select(F.inline(F.arrays_zip("langs", "totals"))).toDF("lang", "n").groupBy("lang").agg(F.sum("n").alias("n"))
     return reduce(DataFrame.unionByName, tables), totals
 
 

@@ -234,7 +234,7 @@ def test_bitmaps_shift_over_blocks_and_stop_at_gaps():
     at = rng.integers(-1, 4, 5000).astype(np.int32)
     every = np.full((1 << collocations.SIEVE_BITS) // 8, 255, np.uint8)
     hashes = np.arange(1, 5, dtype=np.uint64)
-    for size in (2, 3, 4):
+    for size in (1, 2, 3, 4):
         want = Counter(tuple(at[i : i + size].tolist()) for i in range(len(at) - size + 1) if (at[i : i + size] >= 0).all())
         got = Counter()
         for rows, count in collocations.phrases_of(at, hashes, size, [every] * (size - 1)):
@@ -242,14 +242,26 @@ def test_bitmaps_shift_over_blocks_and_stop_at_gaps():
         assert got == want
 
 
-def test_sieves_keep_what_is_in_them(spark):
-    phrases = spark.createDataFrame([("en", "a b", 2, 1), ("de", "ü 🙂", 2, 1)], "lang string, phrase string, size int, f long")
-    sieve = np.frombuffer(collocations.sieve_of(phrases), np.uint8)
+def test_sieves_keep_what_is_frequent(spark):
+    rows = [("en", "a b c. " * 20), ("en", "a b. c"), ("de", "ü 🙂 " * 9)] * 2 + [("en", f"x{i} y{i}") for i in range(500)]
+    shards = spark.createDataFrame(rows, "lang string, text string").repartition(3).mapInArrow(collocations.packer(), collocations.SHARD).checkpoint()
+    for ranges in (256, 1 << 12):
+        sieves = []
+        for size in (1, 2):
+            sieves.append(collocations.sieve_of(shards, size, sieves, 10, ranges))
+        one, two = (np.frombuffer(x, np.uint8) for x in sieves)
 
-    def asked(lang, *words):
-        return collocations.passes(sieve, collocations.phrase_hashes([collocations.word_hashes(pa.array([lang]), pa.array([w])) for w in words]))[0]
+        def asked(sieve, lang, *words):
+            return bool(collocations.passes(sieve, collocations.phrase_hashes([collocations.word_hashes(pa.array([lang]), pa.array([w])) for w in words]))[0])
 
-    assert asked("en", "a", "b") and asked("de", "ü", "🙂") and not asked("de", "a", "b") and not asked("en", "b", "a")
+        assert asked(one, "en", "a") and asked(one, "de", "ü") and not asked(one, "de", "a") and not asked(one, "en", "x7")
+        assert asked(two, "en", "a", "b") and asked(two, "de", "ü", "🙂") and not asked(two, "en", "b", "a") and not asked(two, "en", "x7", "y7")
+
+
+def test_differences_come_back():
+    rng = np.random.default_rng(8)
+    for x in (np.zeros(0, np.int64), np.array([0, 1, (1 << 32) - 1]), rng.integers(0, 1 << 20, 1000)):
+        assert collocations.expanded(collocations.squeezed(x), len(x)).tolist() == x.tolist()
 
 
 def test_scores_beyond_64_bits(spark):
@@ -269,7 +281,7 @@ def test_phrases_of_odd_rows(spark, odd, empty):
 
 def test_words_of_a_slice_are_told_apart_by_language():
     batch = pa.RecordBatch.from_arrays([pa.array(["en", "de", "en"]), pa.array(["a b", "a", "B. a"])], ["lang", "text"])
-    (shard,) = collocations.pack(iter([batch]))
-    langs, words, at = (shard.column(n)[0].as_py() for n in ("langs", "words", "at"))
+    (shard,) = collocations.packer()(iter([batch]))
+    langs, words, at = (x.tolist() for x in collocations.unpacked(shard, 0))
     assert [(langs[i], words[i]) if i >= 0 else None for i in at] == [("en", "a"), ("en", "b"), None, ("de", "a"), None, ("en", "b"), None, ("en", "a")]
     assert len(set(zip(langs, words))) == len(words) == 3 and bytekit.SLICE_BYTES
