@@ -211,6 +211,16 @@ LOGS = """
     s AS (SELECT *, answered - 1 AS step, greatest(asked - 1, 0) AS turn, role = 'assistant' AND pos % 4 = 1 AS acts,
                  CASE WHEN conv_id % 2 = 0 AND pos % 4 = 3 THEN NULL ELSE pos + 100 END AS tokens FROM r WHERE role = 'assistant')"""
 
+#: the table of the checksum, byte by byte, and the checksum of a text by it
+CRC_TABLE = "z AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS table_of)"
+
+
+def crc32(c: str) -> str:
+    """Lower-case hexadecimal digits; ``table_of`` is to be in reach."""
+    data = f"list_transform(range(octet_length(encode({c}))), lambda i: CAST('0x' || substr(hex(encode({c})), 2 * i + 1, 2) AS BIGINT))"
+    return f"lower(hex(xor(list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(c >> 8, table_of[1 + (xor(c, b) & 255)])), 4294967295)))"
+
+
 GROUNDING = f"""WITH {CALLS}, n AS (SELECT session, max(step) + 1 AS n FROM calls GROUP BY 1 HAVING max(step) >= 7), q AS (SELECT session, n, unnest([0, 1, 2, 3]) AS quarter FROM n),
         u AS (SELECT session, least(3, step // (n // 4)) AS quarter, count(*) FILTER (tool IN ('Read', 'Grep', 'WebFetch')) AS ground, count(*) FILTER (tool = 'Edit') AS edits FROM calls JOIN n USING (session) GROUP BY ALL)
         SELECT session, quarter, coalesce(ground, 0) AS ground, coalesce(edits, 0) AS edits, round_even(coalesce(ground, 0) / greatest(1, coalesce(edits, 0)), 2) AS ratio FROM q LEFT JOIN u USING (session, quarter)"""
@@ -384,11 +394,11 @@ ORACLES: dict[str, str] = {
     "project_names": """SELECT doc_id, CASE WHEN length(n) <= 24 THEN n ELSE '…' || right(n, 23) END AS project FROM (SELECT doc_id, repeat(lang || '-', doc_id % 12 + 1) || source AS n FROM documents)""",
     "log_turns": f"WITH {LOGS} SELECT session, asked - 1 AS turn, answered AS first_step, md5({strip('text')}) AS prompt FROM r WHERE role = 'user'",
     "log_steps": f"WITH {LOGS} SELECT session, step, turn, coalesce(last_value(tokens IGNORE NULLS) OVER (PARTITION BY session ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) AS depth, md5(text) AS text FROM s",
-    "log_calls": f"""WITH {LOGS} SELECT session, step, turn, CASE conv_id % 4 WHEN 0 THEN 'Read' WHEN 1 THEN 'Write' WHEN 2 THEN 'MultiEdit' ELSE 'Bash' END AS tool,
-               CASE conv_id % 4 WHEN 0 THEN '/w/f' || pos || '.py' WHEN 1 THEN '/w/g.py' WHEN 2 THEN '/w/h.py' ELSE '' END AS path, CASE WHEN conv_id % 4 = 3 THEN left(text, 200) ELSE path END AS key, conv_id % 4 = 0 AS windowed,
+    "log_calls": f"""WITH {LOGS}, {CRC_TABLE} SELECT session, step, turn, CASE conv_id % 4 WHEN 0 THEN 'Read' WHEN 1 THEN 'Write' WHEN 2 THEN 'MultiEdit' ELSE 'Bash' END AS tool,
+               CASE conv_id % 4 WHEN 0 THEN '/w/f' || pos || '.py' WHEN 1 THEN '/w/g.py' WHEN 2 THEN '/w/h.py' ELSE '' END AS path, CASE WHEN conv_id % 4 <> 3 THEN path WHEN length(text) <= 200 THEN text ELSE left(text, 200) || '#' || {crc32('text')} END AS key, conv_id % 4 = 0 AS windowed,
                CAST(CASE conv_id % 4 WHEN 1 THEN length(text) WHEN 2 THEN 2 + length(text) ELSE 0 END AS BIGINT) AS written, conv_id % 5 NOT IN (2, 4) AS ok, conv_id % 5 = 3 AS declined,
                CAST(CASE conv_id % 5 WHEN 1 THEN length(text) + 2 WHEN 2 THEN length(text) + 7 WHEN 3 THEN 42 ELSE length(text) END AS BIGINT) AS result_chars
-        FROM s WHERE acts""",
+        FROM s, z WHERE acts""",
     "log_seams": f"""WITH {LOGS}, n AS (SELECT session, count(*) FILTER (role = 'user') AS users FROM r GROUP BY 1)
         SELECT m.session, row_number() OVER (PARTITION BY m.session ORDER BY m.pos) - 1 AS seam, m.answered AS step, coalesce(s.turn, users - 1) AS turn, 'auto' AS trigger, m.pos + 1000 AS pre_tokens, CAST(10 AS BIGINT) AS post_tokens, true AS from_boundary
         FROM r m JOIN n USING (session) LEFT JOIN s ON s.session = m.session AND s.step = m.answered WHERE m.role = 'system'""",

@@ -503,7 +503,7 @@ def log_steps(spark, sf_dir):
 @query
 def log_calls(spark, sf_dir):
     found = transcripts.parse(logs(spark, sf_dir)).calls
-    return found.select("session", "step", "turn", "tool", "path", F.left("key", F.lit(200)).alias("key"), "windowed", "written", "ok", "declined", "result_chars")
+    return found.select("session", "step", "turn", "tool", "path", "key", "windowed", "written", "ok", "declined", "result_chars")
 
 
 @query
