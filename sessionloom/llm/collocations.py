@@ -10,9 +10,9 @@ at a time, so that a task holds the bitmaps of few of them. Counts are summed ov
 
 Phrases of one more word are counted in each round. A phrase is only as frequent as its parts, so only
 ends of phrases that are frequent over all shards are kept before the last extension. Every shard
-learns which those are from a sieve of fixed size. A round counts hashes first, sent as compressed sorted
-differences, which makes the sieve of its phrases; then the phrases that pass it are counted as they are
-written, so what a sieve lets through besides is found rare.
+learns which those are from a sieve of fixed size. A round (but the last) counts hashes first, sent as
+compressed sorted differences, which makes the sieve of its phrases; then the phrases that pass it are
+counted as they are written, so what a sieve lets through besides is found rare.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
 from sessionloom.llm import bytekit
-from sessionloom.session import ensure_checkpoint_dir
+from sessionloom.session import drop_shuffles, ensure_checkpoint_dir
 
 #: words of the longest phrase, the least occurrences of a phrase, phrases kept of each language
 LONGEST, LEAST, TOP = 4, 30, 2000
@@ -38,8 +38,9 @@ COVERED = 80
 SHARD_BYTES, BITS, AT_ONCE = 1 << 20, 16, 1 << 15
 #: bits of the sieve, as a power of two, and of the blocks in which it is put together
 SIEVE_BITS, SIEVE_BLOCK = 26, 1 << 20
-#: bits of a hash that are sent, hashes that a task holds before it sends them, shards for each range of hashes
-HASH_BITS, HELD, SHARDS_A_RANGE = 36, 1 << 22, 8
+#: bits of a hash that are sent (more are to be, if the different phrases number billions), hashes that a task
+#: holds before it sends them, shards for each range of hashes
+HASH_BITS, HELD, SHARDS_A_RANGE = 32, 1 << 22, 8
 #: parts into which a language's phrases are dealt before they are ranked
 SALTS = 32
 
@@ -211,7 +212,7 @@ def sieve_of(shards: DataFrame, size: int, sieves: list[bytes], least: int, rang
 
 
 def ranges_for(n: int) -> int:
-    """A power of two, so that no range spans more than 32 bits of a hash."""
+    """A power of two, so that ranges are of equal size."""
     return 1 << max(8, n.bit_length())
 
 
@@ -347,11 +348,12 @@ def frequent(docs: DataFrame, text: str, lang: str, longest: int, least: int) ->
     shards = spark.read.schema(SHARD).parquet(folder)
     ranges = ranges_for(shards.count() // SHARDS_A_RANGE)
     for size in range(1, longest + 1):
-        if size > 1:
+        if 1 < size < longest:  # few of the longest are rare, as both of their parts are frequent
             sieves.append(sieve_of(shards, size, sieves, least, ranges))
         counted = shards.mapInArrow(counter(size, sieves), "lang string, phrase string, n long")
         found = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         tables.append(found.select("lang", "phrase", F.lit(size).alias("size"), "f").checkpoint())
+        drop_shuffles(spark)
     totals = shards.select(F.inline(F.arrays_zip("langs", "totals"))).toDF("lang", "n").groupBy("lang").agg(F.sum("n").alias("n"))
     return reduce(DataFrame.unionByName, tables), totals
 
