@@ -166,6 +166,21 @@ def test_runs_are_levelled_and_compacted(spark):
     assert line_dedup.LineRuns(spark).common().count() == 0
 
 
+def test_counts_of_several_runs_meet(spark):
+    """As the runs are read by column batches, which needs compiled stages."""
+    lines = "\n".join(f"line {i}" for i in range(200))
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    try:
+        for fan in (2, 4):  # compacted by twos, or merged at the end alone
+            runs = line_dedup.LineRuns(spark, documents=3, fan=fan)
+            for i in range(3):
+                runs.add(spark.createDataFrame([(f"{lines}\nown {i}",)], "text string"))
+            common = runs.common()
+            assert common.count() == common.distinct().count() == 200
+    finally:
+        spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
 def test_lines_of_many_common_ones_are_joined(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
     rows = line_texts(3, 60)
