@@ -234,6 +234,24 @@ def add_up(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "size": table.column("size"), "totals": pa.array(answers, pa.binary())})
 
 
+def add_up_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The totals of the ranges of a task, mostly one."""
+    held = list(batches)
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    held.clear()
+    ranges = np.unique(table.column("range").to_numpy())
+    for r in ranges:
+        yield from add_up(table if len(ranges) == 1 else table.filter(pa.compute.equal(table.column("range"), r))).to_batches()
+
+
+def answered(asked: DataFrame, bits: int) -> DataFrame:
+    """The totals of all ranges, by chunk. One range a task, whatever the number of shuffle partitions; the
+    task is the group, as a grouping would write all n-grams to disk once more."""
+    return asked.repartitionById(1 << bits, F.col("range").cast("int")).mapInArrow(add_up_ranges, "chunk long, range long, size long, totals binary")
+
+
 def score_chunk(order: int, bits: int, tokens_all: int, types: int, prior: float):
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         docs = opened(chunk.column("rows")[0].as_py())
@@ -320,8 +338,6 @@ def score(docs: DataFrame, held_out: F.Column, order: int = ORDER, prior: float
     tokens, types = seen["n"] or 0, seen["v"]
     drop_shuffles(spark)
     asked = chunks.mapInArrow(request(order, bits), "chunk long, range long, size long, grams binary")
-    # one range a task, whatever the number of shuffle partitions
-    dealt = asked.repartitionById(1 << bits, F.col("range").cast("int"))
-    answers = dealt.groupBy("range").applyInArrow(add_up, "chunk long, range long, size long, totals binary").checkpoint()
+    answers = answered(asked, bits).checkpoint()
     drop_shuffles(spark)  # the n-grams themselves are no longer needed
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score_chunk(order, bits, tokens, types, prior), OUT_DDL)

@@ -13,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -266,3 +267,14 @@ def test_no_rows_to_learn_from(odd, empty):
     assert language_model.score(empty, F.lit(False)).count() == 0
     got = language_model.score(odd, F.lit(True)).collect()
     assert len(got) == 8 and all(r["train_tokens"] == 0 and r["base_score"] == 0 for r in got)
+
+
+def test_n_grams_are_shuffled_once(spark):
+    def asked(a, n, count):  # one n-gram in each of four ranges
+        return [(a, r, 1, language_model.pack(np.array([n], np.uint64), np.array([count]))) for r in range(4)]
+
+    sent = spark.createDataFrame(asked(1, 5, 2) + asked(2, 5, 3) + asked(3, 6, 7), "chunk long, range long, size long, grams binary")
+    answers = language_model.answered(sent, 2)
+    assert answers._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r["chunk"], r["range"]): language_model.unpack_counts(zstandard.decompress(r["totals"]), 1).tolist() for r in answers.collect()}
+    assert got == {(c, r): [n] for c, n in ((1, 5), (2, 5), (3, 7)) for r in range(4)}
